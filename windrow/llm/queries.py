@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from windrow.llm import chat, exact, lines, mixing, packing, quality
+from windrow.llm import chat, exact, jaccard, lines, mixing, packing, quality
 
 QUERIES = {
     "op3_packing": packing.op3_packing,
+    "op5_jaccard": jaccard.op5_jaccard,
     "op6_exact": exact.op6_exact,
     "op7_chat": chat.op7_chat,
     "op8_mixing": mixing.op8_mixing,
