@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from windrow.llm import chat, exact, fingerprints, jaccard, lines, mixing, packing, quality
+from windrow.llm import chat, exact, fingerprints, jaccard, lines, mixing, packing, quality, substrings
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
+    "op2_substrings": substrings.op2_substrings,
     "op3_packing": packing.op3_packing,
     "op5_jaccard": jaccard.op5_jaccard,
     "op6_exact": exact.op6_exact,
