@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from windrow.llm import chat, exact, fingerprints, jaccard, lines, mixing, packing, quality, substrings
+from windrow.llm import chat, exact, fingerprints, jaccard, lines, mixing, packing, pages, quality, substrings
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
     "op2_substrings": substrings.op2_substrings,
     "op3_packing": packing.op3_packing,
+    "op4_pages": pages.op4_pages,
     "op5_jaccard": jaccard.op5_jaccard,
     "op6_exact": exact.op6_exact,
     "op7_chat": chat.op7_chat,
