@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("flow",)
+MODULES = ("flow", "exchange")
 
 
 def load() -> None:

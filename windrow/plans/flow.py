@@ -1,17 +1,20 @@
-"""Dataflow queries: word counts, distinct, union, joins, checksums."""
+"""Dataflow queries: word counts, distinct, union, joins, checksums, sources and sinks."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from windrow.operators import flow
 from windrow.registry import query
+from windrow.sources import files
+from windrow.sources.scratch import scratch
 from windrow.sources.tables import table
 
-
-def words(df: DataFrame, col: str = "text") -> DataFrame:
-    """One row ``word`` for each maximal run of word characters, in lower case."""
-    return df.select(F.explode(F.split(F.lower(col), r"\W+")).alias("word")).filter(F.col("word") != "")
+NARROW = ("l_returnflag", "l_linestatus", "l_quantity")
+STAR_NARROW = ("p_brand", "o_orderpriority", "l_returnflag")
+#: Sizes of the word-count job: words, copies of each, and the tasks that all of them reach.
+LAST_WORD, COPIES, TASKS = 20, 200, 16
 
 
 @query(
@@ -23,4 +26,172 @@ def words(df: DataFrame, col: str = "text") -> DataFrame:
     """,
 )
 def word_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return words(table(spark, sf_dir, "documents")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return flow.words(table(spark, sf_dir, "documents")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "word_count_union_inputs",
+    """
+    SELECT word, CAST(count(*) AS BIGINT) AS n
+    FROM (SELECT unnest(regexp_split_to_array(lower(text), '\\W+')) AS word
+          FROM (SELECT text FROM documents UNION ALL SELECT text FROM conversations UNION ALL SELECT text FROM benchmark) u) t
+    WHERE word <> '' GROUP BY word
+    """,
+)
+def word_count_union_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = flow.union_all(*(table(spark, sf_dir, t).select("text") for t in ("documents", "conversations", "benchmark")))
+    return flow.keyed_sum(flow.words(texts), "word", F.lit(1), "n")
+
+
+@query(
+    "replicate_flatmap",
+    f"""
+    SELECT 'WORD-' || i || '-suffix' AS word, CAST({COPIES * TASKS} AS BIGINT) AS n
+    FROM (SELECT unnest(range(0, {LAST_WORD + 1})) AS i) t
+    """,
+)
+def replicate_flatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = files.sequence(spark, 0, LAST_WORD).select(F.concat(F.lit("WORD-"), F.col("id").cast("string"), F.lit("-suffix")).alias("word"))
+    everywhere = named.join(F.broadcast(spark.range(TASKS).withColumnRenamed("id", "task")), F.lit(True))  # TASKS rows
+    return flow.multiplicity(flow.replicate(everywhere, COPIES), "word")
+
+
+@query("distinct_count", "SELECT CAST(count(1) AS BIGINT) AS res FROM (SELECT DISTINCT * FROM lineitem) t")
+def distinct_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flow.count_all(table(spark, sf_dir, "lineitem").distinct(), "res")
+
+
+@query("distinct_count_narrow", f"SELECT CAST(count(1) AS BIGINT) AS res FROM (SELECT DISTINCT {', '.join(NARROW)} FROM lineitem) t")
+def distinct_count_narrow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flow.count_all(table(spark, sf_dir, "lineitem").select(*NARROW).distinct(), "res")
+
+
+_UNION = " UNION ".join(["SELECT * FROM lineitem"] * 4)
+
+
+@query("union_distinct_count", f"SELECT CAST(count(1) AS BIGINT) AS res FROM ({_UNION}) t")
+def union_distinct_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    return flow.count_all(flow.union_distinct(li, li, li, li), "res")
+
+
+@query("union_distinct_narrow", f"SELECT DISTINCT {', '.join(NARROW)} FROM lineitem")
+def union_distinct_narrow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem").select(*NARROW)
+    return flow.union_distinct(li, li, li, li)
+
+
+@query("union_all_multiplicity", "SELECT o_custkey, CAST(2 * count(*) AS BIGINT) AS n FROM orders GROUP BY o_custkey")
+def union_all_multiplicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select("o_custkey")
+    return flow.multiplicity(flow.union_all(o, o), "o_custkey")
+
+
+@query("sequence_multiplicity", "SELECT i AS id, CAST(2 AS BIGINT) AS n FROM (SELECT unnest(range(0, 10000)) AS i) t")
+def sequence_multiplicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flow.multiplicity(flow.union_all(files.sequence(spark, 0, 9_999), files.sequence(spark, 0, 9_999)), "id")
+
+
+def _star(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flow.star(table(spark, sf_dir, "lineitem"), (table(spark, sf_dir, "part"), "l_partkey", "p_partkey"), (table(spark, sf_dir, "orders"), "l_orderkey", "o_orderkey"))
+
+
+_STAR = "FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey"
+
+
+@query("star_join_distinct_count", f"SELECT CAST(count(1) AS BIGINT) AS res FROM (SELECT DISTINCT * {_STAR}) t")
+def star_join_distinct_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flow.count_all(_star(spark, sf_dir).distinct(), "res")
+
+
+@query("star_join_narrow_distinct", f"SELECT DISTINCT {', '.join(STAR_NARROW)} {_STAR}")
+def star_join_narrow_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _star(spark, sf_dir).select(*STAR_NARROW).distinct()
+
+
+@query("star_join_totals", f"SELECT p_brand, o_orderpriority, CAST(count(*) AS BIGINT) AS n, CAST(sum(l_linenumber) AS BIGINT) AS lines {_STAR} GROUP BY p_brand, o_orderpriority")
+def star_join_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _star(spark, sf_dir).groupBy("p_brand", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.sum("l_linenumber").alias("lines"))
+
+
+_CHAIN = """
+SELECT CAST(sum((f0 + f1) % 77777) % 77777 AS BIGINT) AS checksum, CAST(count(*) AS BIGINT) AS n_rows FROM (
+  SELECT a * 2 % 99999 AS f0, b * 3 % 99999 AS f1 FROM (
+    SELECT a * 2 % 99999 AS a, b * 3 % 99999 AS b FROM (
+      SELECT a * 2 % 99999 AS a, b * 3 % 99999 AS b FROM ({source}) s) t) u) v
+"""
+
+
+@query("mod_chain_checksum", _CHAIN.format(source="SELECT i AS a, i + 1 AS b FROM (SELECT unnest(range(1, 3000001)) AS i) r"))
+def mod_chain_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = files.sequence(spark, 1, 3_000_000).select(F.col("id").alias("f0"), (F.col("id") + 1).alias("f1"))
+    return flow.checksum(flow.mod_chain(pairs, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+@query("mod_chain_on_orders", _CHAIN.format(source="SELECT o_orderkey AS a, o_custkey AS b FROM orders"))
+def mod_chain_on_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("f0"), F.col("o_custkey").alias("f1"))
+    return flow.checksum(flow.mod_chain(pairs, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+@query(
+    "csv_parse_errors",
+    """
+    SELECT p_partkey AS k, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_retailprice END AS price, p_brand AS brand
+    FROM part
+    """,
+)
+def csv_parse_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    price = F.when(F.col("p_partkey") % 7 == 0, F.lit("n/a")).otherwise(F.col("p_retailprice").cast("string"))
+    lines = table(spark, sf_dir, "part").select(F.concat_ws(files.DELIMITER, F.col("p_partkey").cast("string"), price, F.col("p_brand")).alias("value"))
+    return lines.select(files.parse_delimited(F.col("value"), "k long, price double, brand string").alias("r")).select("r.*")
+
+
+@query("csv_round_trip", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders")
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    path = scratch(spark, "orders-csv")
+    files.write_delimited(o, path)
+    return files.read_delimited(spark, path, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double")
+
+
+@query(
+    "text_round_trip",
+    "SELECT '(' || n_name || ',' || n_regionkey || ')' AS value FROM nation UNION ALL SELECT '(' || r_name || ',' || r_regionkey || ')' FROM region",
+)
+def text_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = scratch(spark, "nation-text"), scratch(spark, "region-text")
+    files.write_text(table(spark, sf_dir, "nation").select("n_name", "n_regionkey"), a)
+    files.write_text(table(spark, sf_dir, "region").select("r_name", "r_regionkey"), b)
+    return files.read_text(spark, a, b)
+
+
+@query("insert_select", "SELECT CAST(count(1) AS BIGINT) AS res FROM (SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem) t UNION ALL SELECT CAST(count(1) AS BIGINT) FROM orders")
+def insert_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "result-table")
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    spark.sql(f"CREATE TABLE {name} (res BIGINT) USING parquet LOCATION '{path}'")
+    for t in ("lineitem", "orders"):
+        table(spark, sf_dir, t).createOrReplaceTempView(f"{name}_{t}")
+    spark.sql(f"INSERT INTO {name} SELECT count(1) FROM (SELECT DISTINCT l_returnflag, l_linestatus FROM {name}_lineitem) t")
+    spark.sql(f"INSERT INTO {name} SELECT count(1) FROM {name}_orders")
+    for t in ("lineitem", "orders"):
+        spark.catalog.dropTempView(f"{name}_{t}")
+    spark.sql(f"DROP TABLE {name}")  # the files stay
+    return spark.read.schema("res long").parquet(path)
+
+
+@query(
+    "byte_records",
+    """
+    SELECT CAST(s AS BIGINT) AS source, CAST(count(*) AS BIGINT) AS n_records, CAST(count(DISTINCT i) AS BIGINT) AS n_distinct, CAST(sum(1024) AS BIGINT) AS n_bytes,
+      min(left(sha256(i || '-0'), 16)) AS least
+    FROM (SELECT unnest(range(0, 4)) AS s) a, (SELECT unnest(range(0, 1024)) AS i) b GROUP BY s
+    """,
+)
+def byte_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = files.byte_records(spark, sources=4, records=1024, distinct=1024).repartition(4)
+    return r.groupBy("source").agg(
+        F.count(F.lit(1)).alias("n_records"), F.countDistinct("record").alias("n_distinct"), F.sum(F.octet_length("record")).cast("long").alias("n_bytes"),
+        F.min(F.lower(F.substring(F.hex("record"), 1, 16))).alias("least"),
+    )
