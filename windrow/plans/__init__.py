@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("flow", "exchange")
+MODULES = ("flow", "exchange", "layout", "placement", "control")
 
 
 def load() -> None:
