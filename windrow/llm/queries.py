@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from windrow.llm import chat, exact, fingerprints, jaccard, lines, mixing, packing, pages, quality, substrings
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_quality": quality.op9_quality,
     "op10_lines": lines.op10_lines,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
