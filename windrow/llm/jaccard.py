@@ -14,7 +14,8 @@ shingles that some other set has among its own smallest (a prefix filter; exact)
 Groups of equal signatures are not expanded into pairs. First, members are compared with the
 smallest id of their group, over a part of the signatures, and components are formed; this joins
 groups of near copies by stars. Then the groups are gone through again, and only pairs from
-different components are compared. What is left out is linked already, so components are exact.
+different components are compared, and of these only such as counts of hashes by residue allow to
+be similar. What is left out is linked already or not similar, so components are exact.
 
 Shingles are compared as 64-bit hashes; a collision would have to fall on a pair at the threshold.
 
@@ -48,6 +49,9 @@ STAR_SHARE = 8
 #: Classes that a task remembers, to drop copies before the shuffle.
 REMEMBER = 500_000
 
+#: Residues of a profile; a power of two.
+PROFILE = 128
+
 _U = np.uint64
 
 
@@ -69,6 +73,11 @@ def class_of(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
+def profile(s: np.ndarray) -> bytes:
+    """How many hashes of a set fall on each of ``PROFILE`` residues, 255 at most."""
+    return np.minimum(np.bincount((s & _U(PROFILE - 1)).astype(np.int64), minlength=PROFILE), 255).astype(np.uint8).tobytes()
+
+
 def overlap(size: int, num: int, den: int) -> int:
     """Least intersection of a set of ``size`` with any set as similar as num / den."""
     return -(-num * size // den)
@@ -211,19 +220,21 @@ class Join:
         return by_bucket(sent, buckets).mapInArrow(meet, "short long, k long").groupBy("short").agg(F.sum("k").alias("k"))
 
     def sets(self, ids: DataFrame) -> DataFrame:
-        """``id, set`` of the rows whose id is in ``ids``."""
+        """``id, n, profile, set`` of the rows whose id is in ``ids``."""
         n = self.n
 
         def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                sets = [shingles(t or b"", n).tobytes() for t in b.column(1).cast(pa.binary()).to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["id", "set"])
+                sets = [shingles(t or b"", n) for t in b.column(1).cast(pa.binary()).to_pylist()]
+                cols = pa.array([len(s) for s in sets], pa.int64()), pa.array([profile(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["id", "n", "profile", "set"])
 
-        return self.docs.join(ids, "id", "left_semi").mapInArrow(f, "id long, set binary")
+        return self.docs.join(ids, "id", "left_semi").mapInArrow(f, "id long, n long, profile binary, set binary")
 
-    def groups(self, labelled: DataFrame, share: int, stars: bool) -> DataFrame:
-        """Pairs ``a, b`` to compare among ``id, label, set``: of each group of equal signatures,
-        all with the first (``stars``), or all that have different labels."""
+    def groups(self, labelled: DataFrame, share: int = 1, stars: bool = False) -> DataFrame:
+        """What shares a signature among ``id, label, set``. With ``stars``, pairs ``a, b`` of the
+        first of a group and each other; else ``name, id, label`` of the members of groups with
+        several labels, where groups with the same members are one."""
         num, den, buckets, cells, different = self.num, self.den, self.buckets, self.cells, self.different
 
         def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,26 +261,49 @@ class Join:
             g, i, label = g[fresh], i[fresh], label[fresh]
             starts = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
             counts = np.diff(np.append(starts, len(g)))
-            most, least = np.maximum.reduceat(label, starts), np.minimum.reduceat(label, starts)
-            keep = most != least
-            member = np.repeat(keep, counts)
-            if stars:
-                first = np.repeat(i[starts], counts)[member]
-                yield from _distinct(first, i[member])
-                return
-            # A list of members stands for every group that has the same.
+            keep = np.maximum.reduceat(label, starts) != np.minimum.reduceat(label, starts)
             names = np.add.reduceat(mixed(i.view(_U) + K1), starts) + counts.astype(_U)
-            _, once = np.unique(names[keep], return_index=True)
-            seen: set[tuple[int, int]] = set()
-            for s, n in zip(starts[keep][once].tolist(), counts[keep][once].tolist(), strict=True):
-                ids, ls = i[s : s + n], label[s : s + n]
-                for k in range(0, n, 256):  # blocks bound the memory, whatever the size of the group
-                    x, y = np.nonzero((ls[k : k + 256, None] != ls[None, :]) & (ids[k : k + 256, None] < ids[None, :]))
-                    if len(x):
-                        yield from _distinct(ids[k : k + 256][x], ids[y], seen)
+            chosen = np.flatnonzero(keep)
+            chosen = chosen[np.unique(names[chosen], return_index=True)[1]]
+            once = np.zeros(len(starts), bool)
+            once[chosen] = True
+            member = np.repeat(once, counts)
+            if stars:
+                yield from _distinct(np.repeat(i[starts], counts)[member], i[member])
+            else:
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, counts)[member].view(np.int64)), pa.array(i[member]), pa.array(label[member])], ["name", "id", "label"])
 
         packed = labelled.select("id", "label", "set").mapInArrow(send, packed_schema(3))
-        return by_bucket(packed, buckets).mapInArrow(meet, "a long, b long").distinct()
+        met = by_bucket(packed, buckets)
+        return met.mapInArrow(meet, "a long, b long").distinct() if stars else met.mapInArrow(meet, "name long, id long, label long").distinct()
+
+    def close(self, members: DataFrame, sets: DataFrame) -> DataFrame:
+        """Pairs ``a, b`` of a group with different labels whose sizes and profiles allow a link:
+        what two profiles differ by, two sets differ by at least."""
+        num, den = self.num, self.den
+
+        def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table_ = pa.Table.from_batches(list(batches))
+            name, ids, label, n = (table_.column(k).to_numpy() for k in ("name", "id", "label", "n"))
+            profiles = np.frombuffer(b"".join(table_.column("profile").to_pylist()), np.uint8).reshape(-1, PROFILE)
+            order = np.lexsort((n, name))
+            name, ids, label, n, profiles = name[order], ids[order], label[order], n[order], profiles[order].astype(np.int16)
+            starts = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]])) if len(name) else []
+            seen: set[tuple[int, int]] = set()
+            for s, e in zip(starts, [*starts[1:], len(name)], strict=True):
+                for k in range(s, e - 1):  # sizes rise, so partners are those that follow, up to a size
+                    far = s + np.searchsorted(n[s:e], den * n[k] // num, side="right")
+                    at = np.arange(k + 1, far)
+                    at = at[label[at] != label[k]]
+                    if len(at):
+                        apart = np.abs(profiles[at] - profiles[k]).sum(axis=1, dtype=np.int64)
+                        at = at[(den + num) * apart <= (den - num) * (n[at] + n[k])]
+                        if len(at):
+                            x = np.full(len(at), ids[k])
+                            yield from _distinct(np.minimum(x, ids[at]), np.maximum(x, ids[at]), seen)
+
+        rows = members.join(sets.select("id", "n", "profile"), "id").select("name", "id", "label", "n", "profile")
+        return rows.repartition("name").mapInArrow(f, "a long, b long").distinct()
 
     def linked(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """Those of the pairs ``a, b`` that are similar."""
@@ -292,11 +326,11 @@ class Join:
         need = _needed(reps, self.num, self.den)
         hopeful = saved(need.join(self.hopeful(), "short").filter("k >= m").select("id"), "hopeful")
         sets = saved(self.sets(hopeful), "sets")
-        stars = saved(self.groups(sets.withColumn("label", F.col("id")), STAR_SHARE, True), "stars")
+        stars = saved(self.groups(sets.withColumn("label", F.col("id")), STAR_SHARE, stars=True), "stars")
         first = saved(self.linked(stars, sets), "links")
         linked = saved(components(first), "components")
         labelled = sets.join(linked, "id", "left").select("id", F.coalesce("component", "id").alias("label"), "set")
-        rest = saved(self.groups(labelled, 1, False).join(stars, ["a", "b"], "left_anti"), "pairs")
+        rest = saved(self.close(self.groups(labelled), sets), "pairs")
         more = self.linked(rest, sets)
         linked = saved(components(first.unionAll(more)), "components")
         members = reps.select("class", F.col("id").alias("rep")).join(linked.withColumnRenamed("id", "rep"), "rep", "left").select("class", F.coalesce("component", "rep").alias("component"))
