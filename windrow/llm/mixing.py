@@ -9,15 +9,14 @@ A hot source is no hot task: keys are uniform, so its ranges are as small as any
 
 Defined results: null text has size 0; a null source is a source of its own, last in order; a
 null id has the smallest key; repeated rows count one by one; an empty table gives no rows;
-other columns are carried along untouched, and may not be called ``size``, ``source_size``,
-``target``, ``taken`` or ``epochs`` in ``mix`` (the query selects its columns first).
+other columns are carried along untouched, whatever their names, in the struct ``doc``.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from windrow.llm.common import n_words, saved
@@ -58,53 +57,51 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: in
     return out.select("src", "source_size", F.when(F.col("full"), F.col("cap").cast("double")).otherwise(rest).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", size_col: str = "size",
+def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", size: Column | str = "size",
         weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
-    """``docs`` with ``source_size, target, taken, epochs``: ``taken`` tokens of each document,
-    of which ``epochs`` whole passes; the rest is a prefix of it."""
+    """``doc, size, source_size, target, taken, epochs``: ``taken`` tokens of each document, of
+    which ``epochs`` whole passes; the rest is a prefix of it."""
     rows = docs.count()
     digits = max(0, math.ceil(math.log(max(1.0, rows / rows_per_range), 16)))
     keyed = (
-        docs.withColumn("src_", F.col(source_col))
-        .withColumn("key_", F.coalesce(F.md5(F.col(id_col).cast("string")), F.lit("")))
-        .withColumn("range_", F.substring("key_", 1, digits) if digits else F.lit(""))
-    )
-    ranges = keyed.groupBy(F.col("src_").alias("src"), F.col("range_").alias("range")).agg(F.sum(size_col).alias("range_size"))
-    sizes = ranges.groupBy("src").agg(F.sum("range_size").alias("source_size"))
-    starts = ranges.select(
-        "src", "range",
-        F.coalesce(F.sum("range_size").over(Window.partitionBy("src").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"),
+        docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("id"), F.col(source_col).alias("src"), (F.col(size) if isinstance(size, str) else size).alias("size"))
+        .withColumn("key", F.coalesce(F.md5(F.col("id").cast("string")), F.lit("")))
+        .withColumn("range", F.substring("key", 1, digits) if digits else F.lit(""))
     )
+    ranges = keyed.groupBy(F.col("src").alias("s"), F.col("range").alias("r")).agg(F.sum("size").alias("range_size"))
+    sizes = ranges.groupBy(F.col("s").alias("src")).agg(F.sum("range_size").alias("source_size"))
+    before = Window.partitionBy("s").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranges.select("s", "r", F.coalesce(F.sum("range_size").over(before), F.lit(0)).alias("start"))
     goal = F.floor(F.col("target") + 0.5)
     plan = (
-        starts.join(targets(sizes, weights, max_epochs).withColumnRenamed("src", "src2"), F.col("src").eqNullSafe(F.col("src2"))).drop("src2")
+        starts.join(targets(sizes, weights, max_epochs), F.col("s").eqNullSafe(F.col("src"))).drop("src")
         .withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(goal / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
-        .withColumn("rest_", (goal - F.col("epochs") * F.col("source_size")).cast("long"))
+        .withColumn("rest", (goal - F.col("epochs") * F.col("source_size")).cast("long"))
     )
-    within = Window.partitionBy("src_", "range_").orderBy("key_", id_col, size_col).rowsBetween(Window.unboundedPreceding, -1)
-    placed = keyed.withColumn("within_", F.coalesce(F.sum(size_col).over(within), F.lit(0)))
-    joined = placed.join(plan, placed["src_"].eqNullSafe(plan["src"]) & (placed["range_"] == plan["range"]))
-    part = F.greatest(F.lit(0), F.least(F.col(size_col), F.col("rest_") - F.col("start") - F.col("within_")))
-    return joined.withColumn("taken", (F.col("epochs") * F.col(size_col) + part).cast("long")).drop("src_", "key_", "range_", "src", "range", "start", "rest_", "within_")
+    within = Window.partitionBy("src", "range").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = keyed.withColumn("within", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    joined = placed.join(plan, placed["src"].eqNullSafe(plan["s"]) & (placed["range"] == plan["r"]))
+    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("start") - F.col("within")))
+    return joined.select("doc", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"), "epochs")
 
 
 def mixed_texts(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options: object) -> DataFrame:
     """``docs`` as the mix has them: a row for each pass over a document, the last one cut after
     the words that are still wanted; documents of which nothing is taken are left out."""
-    sized = docs.withColumn("size", n_words(F.col(text_col)))
-    m = mix(sized, id_col, source_col, "size", **options)
-    left = F.col("taken") - F.col("epochs") * F.col("size")
-    pieces = F.regexp_extract_all(F.col(text_col), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    m = mix(docs, id_col, source_col, n_words(F.col(text_col)), **options)
+    text, left = F.col("doc")[text_col], F.col("taken") - F.col("epochs") * F.col("size")
+    pieces = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     head = F.array_join(F.slice(pieces, 1, F.greatest(left, F.lit(1)).cast("int")), "")
-    copies = F.concat(F.array_repeat(F.col(text_col), F.col("epochs").cast("int")), F.when((left > 0) & (F.col("epochs") * F.col("size") + left > 0), F.array(head)).otherwise(F.array().cast("array<string>")))
-    others = [c for c in docs.columns if c != text_col]
-    return m.filter(F.col("taken") > 0).select(*others, F.explode(copies).alias(text_col)).select(*docs.columns)
+    last = F.when(left >= F.col("size"), F.array(text)).when(left > 0, F.array(head)).otherwise(F.array().cast("array<string>"))
+    copies = F.concat(F.array_repeat(text, F.col("epochs").cast("int")), last)
+    m = m.filter(F.col("taken") > 0).select("doc", F.explode(copies).alias("text"))
+    return m.select(*[F.col("text").alias(c) if c == text_col else F.col("doc")[c].alias(c) for c in docs.columns])
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     sized = saved(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "sizes")
-    return mix(sized).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(sized).select("doc.doc_id", "size", "source_size", "target", "taken")
 
 
 OP8_SQL = r"""
