@@ -28,16 +28,18 @@ columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windrow.llm.common import partitions, saved
+from windrow.llm.common import partitions, saved, work_dir
 from windrow.llm.components import components
 from windrow.llm.packed import K1, K2, K3, by_bucket, mixed, pack, packed_schema, unpack
 from windrow.sources.tables import table
@@ -146,6 +148,7 @@ class Join:
     def __init__(self, docs: DataFrame, n: int, num: int, den: int, cells: int = CELLS, different: int = DIFFERENT) -> None:
         self.docs, self.n, self.num, self.den, self.cells, self.different = docs, n, num, den, cells, different
         self.buckets = partitions(docs.sparkSession)
+        self.tables: list[str] = []
 
     def classes(self) -> DataFrame:
         """``id, n_shingles, class``; class is null for empty sets."""
@@ -220,16 +223,23 @@ class Join:
         return by_bucket(sent, buckets).mapInArrow(meet, "short long, k long").groupBy("short").agg(F.sum("k").alias("k"))
 
     def sets(self, ids: DataFrame) -> DataFrame:
-        """``id, n, profile, set`` of the rows whose id is in ``ids``."""
+        """``id, n, profile, set`` of the rows whose id is in ``ids``, as a table bucketed by id:
+        comparisons join it again and again, and it is never shuffled for that. The sets are a
+        column beside the id, so a join by id leaves them in their buckets already."""
         n = self.n
 
-        def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                sets = [shingles(t or b"", n) for t in b.column(1).cast(pa.binary()).to_pylist()]
-                cols = pa.array([len(s) for s in sets], pa.int64()), pa.array([profile(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["id", "n", "profile", "set"])
+        def f(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            for t in texts:
+                sets = [shingles((x or "").encode(), n) for x in t]
+                yield pd.DataFrame({"n": [len(s) for s in sets], "profile": [profile(s) for s in sets], "set": [s.tobytes() for s in sets]})
 
-        return self.docs.join(ids, "id", "left_semi").mapInArrow(f, "id long, n long, profile binary, set binary")
+        made = F.pandas_udf(f, "n long, profile binary, set binary")
+        # Nothing bounds the ids, so they are never broadcast, at whatever size.
+        rows = self.docs.join(ids.hint("merge"), "id", "left_semi").select("id", made("text").alias("s")).select("id", "s.*")
+        name = f"windrow_sets_{uuid.uuid4().hex}"
+        rows.write.bucketBy(self.buckets, "id").sortBy("id").option("path", f"{work_dir(rows.sparkSession)}/windrow/{name}").saveAsTable(name)
+        self.tables.append(name)
+        return rows.sparkSession.table(name)
 
     def groups(self, labelled: DataFrame, share: int = 1, stars: bool = False) -> DataFrame:
         """What shares a signature among ``id, label, set``. With ``stars``, pairs ``a, b`` of the
@@ -325,7 +335,7 @@ class Join:
         reps = saved(reps, "class-reps")
         need = _needed(reps, self.num, self.den)
         hopeful = saved(need.join(self.hopeful(), "short").filter("k >= m").select("id"), "hopeful")
-        sets = saved(self.sets(hopeful), "sets")
+        sets = self.sets(hopeful)
         stars = saved(self.groups(sets.withColumn("label", F.col("id")), STAR_SHARE, stars=True), "stars")
         first = saved(self.linked(stars, sets), "links")
         linked = saved(components(first), "components")
@@ -333,6 +343,8 @@ class Join:
         rest = saved(self.close(self.groups(labelled), sets), "pairs")
         more = self.linked(rest, sets)
         linked = saved(components(first.unionAll(more)), "components")
+        for name in self.tables:
+            docs.sparkSession.sql(f"DROP TABLE {name}")
         members = reps.select("class", F.col("id").alias("rep")).join(linked.withColumnRenamed("id", "rep"), "rep", "left").select("class", F.coalesce("component", "rep").alias("component"))
         return docs.join(members, "class", "left").select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component"))
 
