@@ -9,6 +9,7 @@ from conftest import SF
 from pyspark.sql import functions as F
 
 from windrow.functions import config
+from windrow.functions.options import spark_settings
 from windrow.operators import exchange, flow, layout, metrics, placement, reconcile
 from windrow.operators.ranking import numbered
 from windrow.plans import layout as layout_plans
@@ -209,3 +210,23 @@ def test_word_count_over_a_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert dict(spark.table("words_seen").collect()) == Counter("to be or not to be".split())
+
+
+def test_options_become_settings():
+    got = spark_settings({"job.enable-data-compression": True, "storage.local-data-dirs": "[SSD]/a, /b,", "rpc.timeout": "30s"})
+    assert got == {"spark.shuffle.compress": "true", "spark.local.dir": "/a,/b", "spark.rpc.askTimeout": "30s"}
+    with pytest.raises(KeyError):
+        spark_settings({"no.such": 1})
+
+
+def test_small_reducers_are_read_together(spark):
+    d = spark.range(1000).repartition(4).groupBy((F.col("id") % 7).alias("k")).count()
+    d.collect()
+    assert "AQEShuffleRead coalesced" in d._jdf.queryExecution().executedPlan().toString()
+
+
+def test_session_factory_has_the_defaults(spark):
+    from windrow.session import DEFAULTS, session
+
+    s = session(app="again", spark__sql__shuffle__partitions="4")
+    assert all(s.conf.get(k) == v for k, v in DEFAULTS.items() if k.startswith("spark.sql"))
