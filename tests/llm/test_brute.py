@@ -84,8 +84,8 @@ def brute_windows(rows, w=50):
     return out
 
 
-@pytest.mark.parametrize(("seed", "per_group"), [(1, 1000), (2, 3), (3, 1)])
-def test_substrings(spark, frame, monkeypatch, seed, per_group):
+@pytest.mark.parametrize(("seed", "per_group", "hot"), [(1, 1000, 9), (2, 3, 10_000), (3, 1, 2)])
+def test_substrings(spark, frame, monkeypatch, seed, per_group, hot):
     monkeypatch.setattr(substrings, "BLOCK", 2000)
     rng = random.Random(seed)
     rows = corpus(seed, 50)
@@ -95,7 +95,7 @@ def test_substrings(spark, frame, monkeypatch, seed, per_group):
         rows[k] = (i, (t or "")[: rng.randrange(80)] + passage[rng.randrange(20) :] + (t or "")[80:], *rest)
     rows.append((max(r[0] for r in rows) + 1, "ab" * 400, "en", None, 0))
     rows.append((max(r[0] for r in rows) + 1, "b" + "ab" * 200, "en", None, 0))
-    got = {r["id"]: tuple(r)[1:5] for r in substrings.dedup_substrings(frame(rows, extra=True), with_text=False, rows_per_group=per_group).collect()}
+    got = {r["id"]: tuple(r)[1:5] for r in substrings.dedup_substrings(frame(rows, extra=True), with_text=False, rows_per_group=per_group, hot_groups=hot).collect()}
     assert got == brute_windows(rows)
 
 

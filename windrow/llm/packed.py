@@ -27,9 +27,14 @@ def packed_schema(columns: int) -> str:
     return "bucket int, " + ", ".join(f"c{k} binary" for k in range(columns))
 
 
-def pack(buckets: int, keys: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+def short(keys: np.ndarray) -> np.ndarray:
+    """Half of a key, for where taking two keys for one costs work but no result."""
+    return (mixed(keys) >> np.uint64(32)).astype(np.uint32)
+
+
+def pack(buckets: int, keys: np.ndarray, *columns: np.ndarray, send_keys: bool = True) -> pa.RecordBatch:
     """A batch of rows ``bucket, c0, c1, ...``: keys, then the columns that go with them."""
-    all_columns = (keys, *columns)
+    all_columns = (keys, *columns) if send_keys else columns
     names = ["bucket", *(f"c{k}" for k in range(len(all_columns)))]
     to = (mixed(keys) % np.uint64(buckets)).astype(np.int32)
     order = np.argsort(to, kind="stable")

@@ -14,6 +14,10 @@ occur elsewhere need it:
   prefixes of at least a window are groups of equal windows; the smallest id of a group keeps it.
 * The runs that go are returned to their documents.
 
+A phrase that very many groups have, in different surroundings, would bring all of these together.
+Names of more than ``HOT_GROUPS`` groups therefore part by a second hash of their windows, which
+equal windows share as well.
+
 Documents are dealt to groups of about ``ROWS_PER_GROUP`` by a hash of the id, and what a group has
 several times leaves it once: a passage that a third of all documents share costs one context for
 each group. Texts are shuffled once, by group; the three passes over them reuse that.
@@ -34,11 +38,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from windrow.llm.common import partitions
-from windrow.llm.packed import K1, K2, by_bucket, mixed, pack, packed_schema, unpack
+from windrow.llm.packed import K1, K2, by_bucket, mixed, pack, packed_schema, short, unpack
 from windrow.sources.tables import table
 
 WINDOW, GRAM = 50, 20
 ROWS_PER_GROUP = 1500
+#: Groups that share a name, from which on its contexts get second names and part by them.
+HOT_GROUPS = 10_000
 #: Bytes of contexts that are suffix-sorted at once, as long as one name's fit.
 BLOCK = 1 << 19
 LAST_ID = (1 << 63) - 1
@@ -47,12 +53,12 @@ _U = np.uint64
 _END = b"\xff"  # in no UTF-8 text
 
 
-def runs(b: bytes, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def runs(b: bytes, window: int = WINDOW, gram: int = GRAM, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Names of the windows of ``b`` as runs: name, first start and end of the starts."""
     n = len(b) - gram + 1
     if len(b) < window:
         return np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    h = np.zeros(n, _U)
+    h = np.full(n, _U(seed))
     for j in range(0, gram, 8):  # eight bytes at a time, the last ones overlapping
         h = (h ^ np.ndarray((n,), "<u8", b, min(j, gram - 8), (1,))) * K1
         h ^= h >> _U(29)
@@ -143,8 +149,8 @@ def _rows(t: pa.Table) -> list[tuple[int, bytes]]:
 
 
 class Repeats:
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str, window: int = WINDOW, gram: int = GRAM, rows_per_group: int = ROWS_PER_GROUP) -> None:
-        self.window, self.gram = window, gram
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, window: int = WINDOW, gram: int = GRAM, rows_per_group: int = ROWS_PER_GROUP, hot_groups: int = HOT_GROUPS) -> None:
+        self.window, self.gram, self.hot_groups = window, gram, hot_groups
         self.buckets = partitions(docs.sparkSession)
         groups = max(1, docs.count() // rows_per_group)
         i = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID))
@@ -152,47 +158,59 @@ class Repeats:
         self.docs = d.select(F.pmod(F.xxhash64("id"), F.lit(groups)).alias("g"), "id", "b").repartition(self.buckets, "g")
 
     def shared(self) -> DataFrame:
-        """``g, names``: the names that a group has in common with another."""
-        window, gram, buckets = self.window, self.gram, self.buckets
+        """``g, names, hot``: the names that a group has in common with another, and whether that
+        is with very many."""
+        window, gram, buckets, hot_groups = self.window, self.gram, self.buckets, self.hot_groups
 
         def send(t: pa.Table) -> pa.Table:
             names = np.unique(np.concatenate([runs(b, window, gram)[0] for _, b in _rows(t)]))
-            return pa.Table.from_batches([pack(buckets, names, np.full(len(names), t.column("g")[0].as_py(), np.int64))])
+            return pa.Table.from_batches([pack(buckets, names, short(names), np.full(len(names), t.column("g")[0].as_py(), np.int64), send_keys=False)])
 
         def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            h, g = unpack(batches, "<u8", "<i8")
+            h, g = unpack(batches, "<u4", "<i8")
             order = np.argsort(h, kind="stable")
             h, g = h[order], g[order]
-            same = h[1:] == h[:-1]  # a group sends a name once
-            many = np.concatenate([same, [False]]) | np.concatenate([[False], same]) if len(h) else np.zeros(0, bool)
-            h, g = h[many], g[many]
+            _, counts = np.unique(h, return_counts=True)  # a group sends a name once
+            counts = np.repeat(counts, counts)
+            h, g, hot = h[counts > 1], g[counts > 1], counts[counts > 1] > hot_groups
             order = np.argsort(g, kind="stable")
-            h, g = h[order], g[order]
+            h, g, hot = h[order], g[order], hot[order]
             gs, at = np.unique(g, return_index=True)
-            parts = [x.tobytes() for x in np.split(h, at[1:])] if len(gs) else []
-            yield pa.RecordBatch.from_arrays([pa.array(gs, pa.int64()), pa.array(parts, pa.binary())], ["g", "names"])
+            cols = [[x.tobytes() for x in np.split(c, at[1:])] if len(gs) else [] for c in (h, hot)]
+            yield pa.RecordBatch.from_arrays([pa.array(gs, pa.int64()), *(pa.array(c, pa.binary()) for c in cols)], ["g", "names", "hot"])
 
         sent = self.docs.groupBy("g").applyInArrow(send, packed_schema(2))
-        return by_bucket(sent, buckets).mapInArrow(meet, "g long, names binary")
+        return by_bucket(sent, buckets).mapInArrow(meet, "g long, names binary, hot binary")
 
     def contexts(self, shared: DataFrame) -> DataFrame:
         """Packed contexts for the buckets of their names (kind 0) and runs that go at once (kind 1)."""
         window, gram, buckets = self.window, self.gram, self.buckets
 
+        def again(b: bytes, name: int, start: int, end: int) -> list[tuple[int, int, int]]:
+            """A context of a hot name in parts by the second names of its windows."""
+            both = zip(*(x.tolist() for x in runs(b[start:end], window, gram, 1)), strict=True)
+            return [((name ^ h * int(K2)) % (1 << 64), start + s, start + e + window - 1) for h, s, e in both]
+
         def cut(t: pa.Table, replies: pa.Table) -> pa.Table:
             docs = _rows(t)
             found = [runs(b, window, gram) for _, b in docs]
-            own = np.sort(np.concatenate([np.unique(f[0]) for f in found] or [np.zeros(0, _U)]))
-            names = np.unique(np.concatenate([own[1:][own[1:] == own[:-1]], *(np.frombuffer(x, _U) for x in replies.column("names").to_pylist())]))
+            halves = [short(h) for h, _, _ in found]
+            own = np.sort(np.concatenate([np.zeros(0, np.uint32), *map(np.unique, halves)]))
+            told = [np.frombuffer(x, np.uint32) for x in replies.column("names").to_pylist()]
+            names = np.unique(np.concatenate([own[1:][own[1:] == own[:-1]], *told]))
+            hot = {int(x) for n, f in zip(told, replies.column("hot").to_pylist(), strict=True) for x in n[np.frombuffer(f, bool)]}
             seen: dict[tuple[int, bytes], int] = {}
             keep: list[tuple[int, int, int, int, bytes]] = []
             gone: list[tuple[int, int, int]] = []
-            for r, ((i, b), (h, s, e)) in enumerate(zip(docs, found, strict=True)):
+            for r, ((i, b), (h, s, e), half) in enumerate(zip(docs, found, halves, strict=True)):
                 if not len(names) or not len(h):
                     continue
-                at = np.searchsorted(names, h)
-                ok = names[np.minimum(at, len(names) - 1)] == h
-                for name, start, end in zip(h[ok].tolist(), s[ok].tolist(), (e[ok] + window - 1).tolist(), strict=True):
+                at = np.searchsorted(names, half)
+                ok = names[np.minimum(at, len(names) - 1)] == half
+                cuts = zip(h[ok].tolist(), s[ok].tolist(), (e[ok] + window - 1).tolist(), strict=True)
+                if hot and not hot.isdisjoint(half[ok].tolist()):
+                    cuts = [x for n, cut in zip(half[ok].tolist(), cuts, strict=True) for x in (again(b, *cut) if n in hot else [cut])]
+                for name, start, end in cuts:
                     c = b[start:end]
                     if seen.setdefault((name, c), i) == i:
                         keep.append((name, i, r, start, c))
@@ -207,7 +225,7 @@ class Repeats:
                 used, at = np.unique(to[order], return_index=True)
                 for bucket, some in zip(used.tolist(), np.split(order, at[1:]), strict=True):
                     texts = c[some].tolist()
-                    rows.append((bucket, g, 0, h[some].tobytes(), i[some].tobytes(), r[some].tobytes(), s[some].tobytes(), np.array([len(x) for x in texts], np.int32).tobytes(), b"".join(texts)))
+                    rows.append((bucket, g, 0, short(h[some]).tobytes(), i[some].tobytes(), r[some].tobytes(), s[some].tobytes(), np.array([len(x) for x in texts], np.int32).tobytes(), b"".join(texts)))
             if gone:
                 r, s, e = (np.array(x, np.int32).tobytes() for x in zip(*gone, strict=True))
                 rows.append((g % buckets, g, 1, None, None, r, s, e, None))
@@ -231,7 +249,7 @@ class Repeats:
                         out.setdefault(g, []).extend(zip(rs, ss, ns, strict=True))
                         continue
                     at = 0
-                    for name, doc, row, start, size in zip(np.frombuffer(h, _U).tolist(), np.frombuffer(i, np.int64).tolist(), rs, ss, ns, strict=True):
+                    for name, doc, row, start, size in zip(np.frombuffer(h, np.uint32).tolist(), np.frombuffer(i, np.int64).tolist(), rs, ss, ns, strict=True):
                         names.setdefault(name, {}).setdefault(c[at : at + size], []).append((doc, g, row, start))
                         at += size
             block: list[tuple[bytes, int, list]] = []
