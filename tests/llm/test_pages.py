@@ -33,6 +33,13 @@ def test_odd_pages_do_not_crash(text):
     assert isinstance(pages.main_text(pages.tree(text)), str)
 
 
+def test_deep_pages():
+    deep = "<article>" + "".join(f"<div>{k}" for k in range(2000)) + "</article>"
+    assert pages.main_text(pages.tree(deep)).split("\n") == [str(k) for k in range(2000)]
+    a, b = pages.tree(deep), pages.reference(pages.as_json(pages.tree(deep)))
+    assert pages.aligned(a, b)[0] == len(pages.nodes(a))
+
+
 def test_matching_is_simple_tree_matching():
     def f(s):
         root = pages.tree(s)

@@ -36,6 +36,8 @@ from windrow.sources.tables import table
 LEAST_PAGES, SAME_SHARE = 5, 0.9
 #: Lists of children whose product is larger are matched in order, not by the table.
 MOST_CELLS = 1_000_000
+#: Blocks nested deeper stand beside each other, in page order.
+MOST_DEPTH = 150
 
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -147,6 +149,8 @@ def parse(html: str) -> Node:
                     break
         bad = stack[-1].bad or hidden or tag in UNWANTED_BLOCKS or (not article and (tag == "header" or bool(names and _BAD_OUTSIDE.search(names))))
         node = Node(tag, names, bad)
+        if len(stack) == MOST_DEPTH and tag not in VOID:
+            article -= stack.pop().tag in ("article", "main")
         stack[-1].parts.append(node)
         if tag not in VOID:
             stack.append(node)
