@@ -42,7 +42,8 @@ from windrow.llm.packed import K1, K2, by_bucket, mixed, pack, packed_schema, sh
 from windrow.sources.tables import table
 
 WINDOW, GRAM = 50, 20
-ROWS_PER_GROUP = 1500
+#: A group has about so many rows, and bytes, at most.
+ROWS_PER_GROUP, BYTES_PER_GROUP = 1500, 16 << 20
 #: Groups that share a name, from which on its contexts get second names and part by them.
 HOT_GROUPS = 10_000
 #: Bytes of contexts that are suffix-sorted at once, as long as one name's fit.
@@ -152,7 +153,8 @@ class Repeats:
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, window: int = WINDOW, gram: int = GRAM, rows_per_group: int = ROWS_PER_GROUP, hot_groups: int = HOT_GROUPS) -> None:
         self.window, self.gram, self.hot_groups = window, gram, hot_groups
         self.buckets = partitions(docs.sparkSession)
-        groups = max(1, docs.count() // rows_per_group)
+        n, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()
+        groups = max(1, n // rows_per_group, size // BYTES_PER_GROUP)
         i = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID))
         d = docs.select(i.alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("b"))
         self.docs = d.select(F.pmod(F.xxhash64("id"), F.lit(groups)).alias("g"), "id", "b").repartition(self.buckets, "g")
