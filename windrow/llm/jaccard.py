@@ -215,12 +215,16 @@ class Join:
                 out_c.append(c[many & fresh])
                 out_k.append(np.ones(len(out_c[-1]), np.int64))
             if out_c:
-                c, at = np.unique(np.concatenate(out_c), return_inverse=True)
-                k = np.bincount(at, weights=np.concatenate(out_k), minlength=len(c)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(k)], ["short", "k"])
+                c, k = _summed(np.concatenate(out_c), np.concatenate(out_k))
+                yield pack(buckets, c.view(_U), k)
+
+        def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            c, k = _summed(*unpack(batches, "<i8", "<i8"))
+            yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(k)], ["short", "k"])
 
         sent = self.docs.select("id", "text").mapInArrow(send, packed_schema(2) + ", kind tinyint")
-        return by_bucket(sent, buckets).mapInArrow(meet, "short long, k long").groupBy("short").agg(F.sum("k").alias("k"))
+        met = by_bucket(sent, buckets).mapInArrow(meet, packed_schema(2))
+        return by_bucket(met, buckets).mapInArrow(total, "short long, k long")
 
     def sets(self, ids: DataFrame) -> DataFrame:
         """``id, n, profile, set`` of the rows whose id is in ``ids``, as a table bucketed by id:
@@ -279,18 +283,18 @@ class Join:
             once[chosen] = True
             member = np.repeat(once, counts)
             if stars:
-                yield from _distinct(np.repeat(i[starts], counts)[member], i[member])
+                yield _packed_pairs(buckets, np.repeat(i[starts], counts)[member], i[member])
             else:
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, counts)[member].view(np.int64)), pa.array(i[member]), pa.array(label[member])], ["name", "id", "label"])
 
         packed = labelled.select("id", "label", "set").mapInArrow(send, packed_schema(3))
         met = by_bucket(packed, buckets)
-        return met.mapInArrow(meet, "a long, b long").distinct() if stars else met.mapInArrow(meet, "name long, id long, label long").distinct()
+        return _pairs_once(met.mapInArrow(meet, packed_schema(2)), buckets) if stars else met.mapInArrow(meet, "name long, id long, label long").distinct()
 
     def close(self, members: DataFrame, sets: DataFrame) -> DataFrame:
         """Pairs ``a, b`` of a group with different labels whose sizes and profiles allow a link:
         what two profiles differ by, two sets differ by at least."""
-        num, den = self.num, self.den
+        num, den, buckets = self.num, self.den, self.buckets
 
         def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table_ = pa.Table.from_batches(list(batches))
@@ -299,7 +303,8 @@ class Join:
             order = np.lexsort((n, name))
             name, ids, label, n, profiles = name[order], ids[order], label[order], n[order], profiles[order].astype(np.int16)
             starts = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]])) if len(name) else []
-            seen: set[tuple[int, int]] = set()
+            found: list[tuple[np.ndarray, np.ndarray]] = []
+            held = 0
             for s, e in zip(starts, [*starts[1:], len(name)], strict=True):
                 for k in range(s, e - 1):  # sizes rise, so partners are those that follow, up to a size
                     far = s + np.searchsorted(n[s:e], den * n[k] // num, side="right")
@@ -310,10 +315,16 @@ class Join:
                         at = at[(den + num) * apart <= (den - num) * (n[at] + n[k])]
                         if len(at):
                             x = np.full(len(at), ids[k])
-                            yield from _distinct(np.minimum(x, ids[at]), np.maximum(x, ids[at]), seen)
+                            found.append((np.minimum(x, ids[at]), np.maximum(x, ids[at])))
+                            held += len(at)
+                if held > 500_000:
+                    yield _packed_pairs(buckets, *map(np.concatenate, zip(*found, strict=True)))
+                    found, held = [], 0
+            if found:
+                yield _packed_pairs(buckets, *map(np.concatenate, zip(*found, strict=True)))
 
         rows = members.join(sets.select("id", "n", "profile"), "id").select("name", "id", "label", "n", "profile")
-        return rows.repartition("name").mapInArrow(f, "a long, b long").distinct()
+        return _pairs_once(rows.repartition("name").mapInArrow(f, packed_schema(2)), buckets)
 
     def linked(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """Those of the pairs ``a, b`` that are similar."""
@@ -360,19 +371,36 @@ def _needed(reps: DataFrame, num: int, den: int) -> DataFrame:
     return reps.select("id", "class", "n_shingles").mapInArrow(f, "id long, short long, m long")
 
 
-def _distinct(a: np.ndarray, b: np.ndarray, seen: set[tuple[int, int]] | None = None) -> Iterator[pa.RecordBatch]:
-    """Batches of the distinct pairs with a < b; ``seen`` remembers some of those sent before."""
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    k, at = np.unique(keys, return_inverse=True)
+    return k, np.bincount(at, weights=counts, minlength=len(k)).astype(np.int64)
+
+
+def _unique_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs with a < b."""
     a, b = a[a < b], b[a < b]
-    _, at = np.unique(mixed(mixed(a.view(_U)) + b.view(_U) * K1), return_index=True)
-    a, b = a[at], b[at]
-    if seen is not None:
-        new = [k for k, p in enumerate(zip(a.tolist(), b.tolist(), strict=True)) if p not in seen]
-        a, b = a[new], b[new]
-        if len(seen) < 1_000_000:
-            seen.update(zip(a.tolist(), b.tolist(), strict=True))
-    if len(a):
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    fresh = np.ones(len(a), bool)
+    fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[fresh], b[fresh]
+
+
+def _packed_pairs(buckets: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """Distinct pairs, dealt out by both."""
+    a, b = _unique_pairs(a, b)
+    return pack(buckets, mixed(a.view(_U)) + b.view(_U) * K1, a, b, send_keys=False)
+
+
+def _pairs_once(packed: DataFrame, buckets: int) -> DataFrame:
+    """Rows ``a, b`` of the pairs that tasks have sent, each of them once."""
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = _unique_pairs(*unpack(batches, "<i8", "<i8"))
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
+    return by_bucket(packed, buckets).mapInArrow(f, "a long, b long")
+
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100, cells: int = CELLS, different: int = DIFFERENT) -> DataFrame:
     """``id, n_shingles, component``: groups by links of Jaccard similarity num / den or more."""
