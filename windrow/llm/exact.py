@@ -5,8 +5,9 @@ texts equal lists of chunks. Each distinct chunk is moved once, with copies drop
 shuffle, to verify that its digest names it alone; where a digest names several contents they
 are numbered. From there only recipes, the ordered lists of identifiers, are compared.
 
-A group of copies that holds a third of all rows is one row for each task in the grouping; the
-join that returns the group to its rows is one that Spark splits when it is skewed.
+A group of copies that holds a third of all rows is one row for each task in the grouping. Groups
+of more than a ``MOST_HOT``-th of all rows, of which there are fewer than ``MOST_HOT``, return to
+their rows by broadcast; the others by a join without a hot key.
 
 Defined results: null text counts as empty; the empty text has the empty recipe; of rows that
 repeat an id with equal texts all are kept rows of that id (``kept`` tells id = keep_id); a null
@@ -31,6 +32,8 @@ LEAST, USUAL, MOST = 256, 1024, 8192
 DIGEST_BYTES = 16
 #: Bytes of chunks that a task remembers to drop copies before the shuffle.
 REMEMBER = 32 << 20
+#: Bound on the groups that are broadcast.
+MOST_HOT = 1000
 
 _GEAR = np.frombuffer(hashlib.shake_256(b"gear").digest(256 * 8), dtype="<u8").copy()
 
@@ -102,7 +105,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = normal.mapInArrow(recipes, "id long, recipe binary, text_sha256 string")
     rows = saved(rows, "recipes") if shared.isEmpty() else _numbered(normal, distinct, shared, rows, digest_bytes)
     groups = rows.groupBy("recipe").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return rows.join(groups, "recipe").select("id", "keep_id", "group_size", F.coalesce(F.col("id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"), "text_sha256")
+    hot = groups.filter(F.col("group_size") * MOST_HOT > rows.count())
+    hot = hot.select(F.sha2("recipe", 256).alias("name"), F.col("keep_id").alias("hot_id"), F.col("group_size").alias("hot_size"))
+    marked = rows.join(F.broadcast(hot), F.sha2(rows["recipe"], 256) == F.col("name"), "left")
+    found = marked.filter(F.col("name").isNotNull()).select("id", "text_sha256", F.col("hot_id").alias("keep_id"), F.col("hot_size").alias("group_size"))
+    rest = marked.filter(F.col("name").isNull()).join(groups, "recipe").select("id", "text_sha256", "keep_id", "group_size")
+    return found.unionAll(rest).select("id", "keep_id", "group_size", F.coalesce(F.col("id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"), "text_sha256")
 
 
 def _numbered(normal: DataFrame, distinct: DataFrame, shared: DataFrame, rows: DataFrame, digest_bytes: int) -> DataFrame:
