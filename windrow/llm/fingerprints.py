@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from windrow.llm.common import saved
+from windrow.llm.common import partitions, saved
 from windrow.sources.tables import table
 
 CELLS, PARTS = 24, 4
@@ -179,6 +179,8 @@ def recovered(pairs: DataFrame, tries: int = TRIES) -> DataFrame:
         tables = F.greatest(F.lit(1), F.ceil((F.size("keys") + F.size("others")) * (2 ** (t - 1)) / 8)).cast("long")
         sides = F.explode(F.concat(F.transform("keys", lambda k: F.struct(k.alias("k"), F.lit(1).alias("s"))), F.transform("others", lambda k: F.struct(k.alias("k"), F.lit(-1).alias("s"))))).alias("e")
         keys = pairs.select("x", "y", tables.alias("tables"), sides).select("x", "y", "e.k", "e.s", F.pmod(F.xxhash64(F.lit(-t), "e.k"), "tables").alias("sub"))
+        # Peeling costs far more than its bytes say: tasks are not to be merged by size.
+        keys = keys.repartition(partitions(pairs.sparkSession), "x", "y", "sub")
         subs = keys.groupBy("x", "y", "sub").agg(F.collect_list(F.when(F.col("s") == 1, F.col("k"))).alias("a"), F.collect_list(F.when(F.col("s") == -1, F.col("k"))).alias("b"))
         subs = subs.select("x", "y", peeled(minus(sketch(F.col("a"), t), sketch(F.col("b"), t)), t).alias("r")).select("x", "y", empty(F.col("r.cells")).alias("ok"), "r.plus", "r.minus")
         sums = saved(subs.groupBy("x", "y").agg(F.min("ok").alias("ok"), F.sum("plus").alias("plus"), F.sum("minus").alias("minus")), "peeled")
