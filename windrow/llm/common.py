@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Bytes of a batch of rows for Python.
+BATCH_BYTES = 8 << 20
+
 _OWN: list[tempfile.TemporaryDirectory] = []
 
 
@@ -41,21 +44,16 @@ def reread(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     return spark.read.schema(like.schema).parquet(path)
 
 
-def drop_saved(spark: SparkSession, path: str) -> None:
-    """Remove a table that ``save`` wrote, once what was made from it is written itself."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def small_batches(spark: SparkSession) -> None:
+    """Batches between the JVM and Python of a few megabytes, however long the texts: both sides
+    hold some at once, and the JVM keeps what it once took for them. Lasts for the session."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def lower_ascii(c: Column) -> Column:
-    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def n_words(c: Column) -> Column:
     """Number of words, 0 for null."""
     return F.coalesce(F.regexp_count(c, F.lit(WORD)), F.lit(0)).cast("long")

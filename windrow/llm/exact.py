@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from windrow.llm.common import SPACE, saved
+from windrow.llm.common import SPACE, saved, small_batches
 from windrow.sources.tables import table
 
 #: Least, usual and largest bytes of a chunk; the usual size is a power of two.
@@ -76,6 +76,7 @@ def _normal(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_bytes: int = DIGEST_BYTES) -> DataFrame:
     """A row for each document: ``id, keep_id, group_size, kept, text_sha256``."""
+    small_batches(docs.sparkSession)
     normal = _normal(docs, id_col, text_col)
 
     def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

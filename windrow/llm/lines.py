@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windrow.llm.common import partitions, save, saved, work_dir
+from windrow.llm.common import partitions, save, saved, small_batches, work_dir
 from windrow.sources.tables import table
 
 LEAST_CHARS = 10
@@ -91,6 +91,7 @@ class Runs:
 def dropped_lines(docs: DataFrame, id_col: str, text_col: str, batches: int = BATCHES, fanout: int = FANOUT, least_chars: int = LEAST_CHARS) -> DataFrame:
     """``id, row, drops``: for each document that loses lines, their numbers in order."""
     spark = docs.sparkSession
+    small_batches(spark)
     d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
     bounds = d.agg(F.percentile_approx("id", [k / batches for k in range(1, batches)], 1000).alias("q")).first()["q"] or []
 

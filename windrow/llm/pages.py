@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windrow.llm.common import saved
+from windrow.llm.common import saved, small_batches
 from windrow.sources.tables import table
 
 #: A node is template if at least this many pages have it, and this share of them with one text.
@@ -315,6 +315,7 @@ def _host(url: str) -> F.Column:
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``id, url, text`` of every page."""
+    small_batches(pages.sparkSession)
     p = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), _host(url_col).alias("host"))
     kind = dict(p.dtypes)["id"]
     key = F.struct(F.xxhash64("id", "url").alias("h"), "id", "url")

@@ -27,6 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from windrow.llm.common import small_batches
 from windrow.sources.tables import table
 
 #: Bound on the labelled rows that training reads.
@@ -181,6 +182,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> Model:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most_rows: int = MOST_ROWS) -> Model:
     """Fit on the labelled rows that aren't held out, ``most_rows`` at most."""
+    small_batches(docs.sparkSession)
     i = F.col(id_col)
     rows = labels.select(i.alias("id_"), F.col(label_col).cast("int").alias("label_")).filter(F.col("label_").isin(0, 1) & i.isNotNull() & ~held_out(i))
     rows = rows.orderBy(F.xxhash64(F.lit(9), "id_"), "id_", "label_").limit(most_rows)

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windrow.llm.common import partitions
+from windrow.llm.common import partitions, small_batches
 from windrow.llm.packed import K1, K2, by_bucket, mixed, pack, packed_schema, short, unpack
 from windrow.sources.tables import table
 
@@ -153,6 +153,7 @@ class Repeats:
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, window: int = WINDOW, gram: int = GRAM, rows_per_group: int = ROWS_PER_GROUP, hot_groups: int = HOT_GROUPS) -> None:
         self.window, self.gram, self.hot_groups = window, gram, hot_groups
         self.buckets = partitions(docs.sparkSession)
+        small_batches(docs.sparkSession)
         n, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()
         groups = max(1, n // rows_per_group, size // BYTES_PER_GROUP)
         i = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID))
