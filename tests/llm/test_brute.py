@@ -164,15 +164,15 @@ def brute_groups(rows, n, num, den):
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
-@pytest.mark.parametrize(("seed", "n", "num", "cells", "different"), [(1, 3, 90, 3, 1), (2, 5, 80, 4, 2)])
-def test_jaccard(spark, frame, seed, n, num, cells, different):
+@pytest.mark.parametrize(("seed", "n", "num", "cells", "different", "most"), [(1, 3, 90, 3, 1, 2048), (2, 5, 80, 4, 2, 3), (3, 3, 90, 3, 1, 2)])
+def test_jaccard(spark, frame, seed, n, num, cells, different, most):
     rng = random.Random(seed)
     rows = corpus(seed, 80)
     base = prose(rng, 120).split(" ")
     for k in range(40):  # chains of edits around the threshold
         base[rng.randrange(len(base))] = f"new{k}"
         rows.append((1000 + k, " ".join(base), "en", None, 0))
-    got = {r["id"]: (r["n_shingles"], r["component"]) for r in jaccard.similar_groups(frame(rows, extra=True), n=n, num=num, cells=cells, different=different).collect()}
+    got = {r["id"]: (r["n_shingles"], r["component"]) for r in jaccard.similar_groups(frame(rows, extra=True), n=n, num=num, cells=cells, different=different, most_members=most).collect()}
     assert got == brute_groups(rows, n, num, 100)
 
 

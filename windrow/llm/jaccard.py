@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windrow.llm.common import partitions, saved, work_dir
+from windrow.llm.common import partitions, saved, small_batches, work_dir
 from windrow.llm.components import components
 from windrow.llm.packed import K1, K2, K3, by_bucket, mixed, pack, packed_schema, unpack
 from windrow.sources.tables import table
@@ -48,9 +48,13 @@ from windrow.sources.tables import table
 CELLS, DIFFERENT = 3, 1
 #: The share of signatures that the first round of comparisons uses.
 STAR_SHARE = 8
+#: Bound on the hot members that are broadcast by id, and the tasks that each one's set goes to.
+MOST_HOT, SALTS = 1000, 32
 #: Classes that a task remembers, to drop copies before the shuffle.
 REMEMBER = 500_000
 
+#: Members of a group that one task compares with as many others; larger groups go to more tasks.
+MOST_MEMBERS = 2048
 #: Residues of a profile; a power of two.
 PROFILE = 128
 
@@ -145,9 +149,10 @@ def similar(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
 class Join:
     """One similarity join over the rows ``id, text`` of ``docs``."""
 
-    def __init__(self, docs: DataFrame, n: int, num: int, den: int, cells: int = CELLS, different: int = DIFFERENT) -> None:
-        self.docs, self.n, self.num, self.den, self.cells, self.different = docs, n, num, den, cells, different
+    def __init__(self, docs: DataFrame, n: int, num: int, den: int, cells: int = CELLS, different: int = DIFFERENT, most_members: int = MOST_MEMBERS) -> None:
+        self.docs, self.n, self.num, self.den, self.cells, self.different, self.most_members = docs, n, num, den, cells, different, most_members
         self.buckets = partitions(docs.sparkSession)
+        small_batches(docs.sparkSession)
         self.tables: list[str] = []
 
     def classes(self) -> DataFrame:
@@ -247,7 +252,7 @@ class Join:
 
     def groups(self, labelled: DataFrame, share: int = 1, stars: bool = False) -> DataFrame:
         """What shares a signature among ``id, label, set``. With ``stars``, pairs ``a, b`` of the
-        first of a group and each other; else ``name, id, label`` of the members of groups with
+        first of a group and each other; else ``name, id, label, size`` of the members of groups with
         several labels, where groups with the same members are one."""
         num, den, buckets, cells, different = self.num, self.den, self.buckets, self.cells, self.different
 
@@ -285,11 +290,11 @@ class Join:
             if stars:
                 yield _packed_pairs(buckets, np.repeat(i[starts], counts)[member], i[member])
             else:
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, counts)[member].view(np.int64)), pa.array(i[member]), pa.array(label[member])], ["name", "id", "label"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, counts)[member].view(np.int64)), pa.array(i[member]), pa.array(label[member]), pa.array(np.repeat(counts, counts)[member])], ["name", "id", "label", "size"])
 
         packed = labelled.select("id", "label", "set").mapInArrow(send, packed_schema(3))
         met = by_bucket(packed, buckets)
-        return _pairs_once(met.mapInArrow(meet, packed_schema(2)), buckets) if stars else met.mapInArrow(meet, "name long, id long, label long").distinct()
+        return _pairs_once(met.mapInArrow(meet, packed_schema(2)), buckets) if stars else met.mapInArrow(meet, "name long, id long, label long, size long").distinct()
 
     def close(self, members: DataFrame, sets: DataFrame) -> DataFrame:
         """Pairs ``a, b`` of a group with different labels whose sizes and profiles allow a link:
@@ -298,18 +303,18 @@ class Join:
 
         def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table_ = pa.Table.from_batches(list(batches))
-            name, ids, label, n = (table_.column(k).to_numpy() for k in ("name", "id", "label", "n"))
+            name, p, q, block, ids, label, n = (table_.column(k).to_numpy() for k in ("name", "p", "q", "block", "id", "label", "n"))
             profiles = np.frombuffer(b"".join(table_.column("profile").to_pylist()), np.uint8).reshape(-1, PROFILE)
-            order = np.lexsort((n, name))
-            name, ids, label, n, profiles = name[order], ids[order], label[order], n[order], profiles[order].astype(np.int16)
-            starts = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]])) if len(name) else []
+            order = np.lexsort((n, q, p, name))
+            name, p, q, block, ids, label, n, profiles = (x[order] for x in (name, p, q, block, ids, label, n, profiles.astype(np.int16)))
+            starts = np.flatnonzero(np.concatenate([[True], (name[1:] != name[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])])) if len(name) else []
             found: list[tuple[np.ndarray, np.ndarray]] = []
             held = 0
             for s, e in zip(starts, [*starts[1:], len(name)], strict=True):
                 for k in range(s, e - 1):  # sizes rise, so partners are those that follow, up to a size
                     far = s + np.searchsorted(n[s:e], den * n[k] // num, side="right")
                     at = np.arange(k + 1, far)
-                    at = at[label[at] != label[k]]
+                    at = at[(label[at] != label[k]) & ((block[at] != block[k]) | (p[k] == q[k]))]
                     if len(at):
                         apart = np.abs(profiles[at] - profiles[k]).sum(axis=1, dtype=np.int64)
                         at = at[(den + num) * apart <= (den - num) * (n[at] + n[k])]
@@ -323,8 +328,12 @@ class Join:
             if found:
                 yield _packed_pairs(buckets, *map(np.concatenate, zip(*found, strict=True)))
 
-        rows = members.join(sets.select("id", "n", "profile"), "id").select("name", "id", "label", "n", "profile")
-        return _pairs_once(rows.repartition("name").mapInArrow(f, packed_schema(2)), buckets)
+        # A group of several blocks is compared block by block, each two of them in one task.
+        blocks = F.ceil(F.col("size") / self.most_members).cast("int")
+        two = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least("block", j).alias("p"), F.greatest("block", j).alias("q")))
+        dealt = members.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).select("name", "id", "label", "block", F.explode(two).alias("t"))
+        rows = dealt.join(sets.select("id", "n", "profile"), "id").select("name", "t.p", "t.q", "block", "id", "label", "n", "profile")
+        return _pairs_once(rows.repartition("name", "p", "q").mapInArrow(f, packed_schema(2)), buckets)
 
     def linked(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """Those of the pairs ``a, b`` that are similar."""
@@ -335,8 +344,14 @@ class Join:
                 ok = [similar(np.frombuffer(x, _U), np.frombuffer(y, _U), num, den) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
+        # Members of pairs that very many share are few, and their sets go to several tasks.
+        hot = F.broadcast(pairs.groupBy("a").count().filter(F.col("count") * MOST_HOT > pairs.count()).select(F.col("a").alias("hot")))
         x, y = sets.select(F.col("id").alias("a"), F.col("set").alias("x")), sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
-        return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(f, "a long, b long")
+        marked = pairs.join(hot, F.col("a") == F.col("hot"), "left")
+        cold = marked.filter("hot is null").select("a", "b").join(y, "b").join(x, "a").select("a", "b", "x", "y")
+        salted = x.join(hot, F.col("a") == F.col("hot")).select("a", "x", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        warm = marked.filter("hot is not null").select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int").alias("salt")).join(y, "b").join(salted, ["a", "salt"]).select("a", "b", "x", "y")
+        return cold.unionAll(warm).mapInArrow(f, "a long, b long")
 
     def run(self) -> DataFrame:
         """``id, n_shingles, component`` for each row."""
@@ -402,9 +417,9 @@ def _pairs_once(packed: DataFrame, buckets: int) -> DataFrame:
     return by_bucket(packed, buckets).mapInArrow(f, "a long, b long")
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100, cells: int = CELLS, different: int = DIFFERENT) -> DataFrame:
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100, cells: int = CELLS, different: int = DIFFERENT, most_members: int = MOST_MEMBERS) -> DataFrame:
     """``id, n_shingles, component``: groups by links of Jaccard similarity num / den or more."""
-    return Join(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), n, num, den, cells, different).run()
+    return Join(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), n, num, den, cells, different, most_members).run()
 
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
