@@ -118,7 +118,9 @@ def test_native_plans(spark):
 
 def test_chat_collapses_copies_and_prefixes(spark):
     turns = [(3, 0, "user", "a"), (3, 1, "assistant", "b"), (1, 0, "user", "a"), (2, 0, "user", "a"), (2, 1, "assistant", "b"), (4, 0, "user", "b"), (None, 0, "user", "z")]
-    t = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    from pyspark.sql import functions as F
+
+    t = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumns({c: F.lit(1) for c in ("i", "id", "h1", "h2", "last", "t", "ts", "kept")})
     got = sorted(map(tuple, chat.render(t, chat.maximal(t)).collect()), key=str)
     assert [(r[0], r[1]) for r in got] == [(2, 2), (4, 1), (None, 1)]
     assert got[0][2] == "<|im_start|>user\na<|im_end|>\n<|im_start|>assistant\nb<|im_end|>\n"
