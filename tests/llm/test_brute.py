@@ -21,10 +21,11 @@ def likeness(a, b):
     return len(x & y) / len(x | y)
 
 
-@pytest.mark.parametrize("per_range", [5, 1000])
-def test_fingerprints(spark, frame, monkeypatch, per_range):
+@pytest.mark.parametrize(("per_range", "bounds"), [(5, 1000), (2, 3), (1000, 1000)])
+def test_fingerprints(spark, frame, monkeypatch, per_range, bounds):
     monkeypatch.setattr(fingerprints, "ROWS_PER_RANGE", per_range)
-    rows = sorted(corpus(1)) + [(None, "last\none", "en", None, 0)]
+    monkeypatch.setattr(fingerprints, "MOST_BOUNDS", bounds)
+    rows = sorted((i + (1 << 60) * (i % 7 == 0), *r) for i, *r in corpus(1)) + [(None, "last\none", "en", None, 0)]
     rows[5] = (rows[5][0], "\n".join(str(k) for k in range(700)), "en", None, 0)
     got = {r["doc_id"]: r for r in fingerprints.fingerprints(frame(rows, extra=True)).collect()}
     assert len(got) == len(rows)

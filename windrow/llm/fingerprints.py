@@ -11,7 +11,8 @@ Where peeling gets stuck, the keys are dealt to sub-tables of ``CELLS`` cells, o
 keys and twice as many on each further try, and peeled there; the work is linear in the length of
 the text. After ``TRIES`` tries the differing keys are counted directly.
 
-The next document comes from a window within ranges of ids. Each range also gets a copy of the
+The next document comes from a window within ranges of ids, which quantiles of the ids bound, so
+that they hold about as many rows each. Each range also gets a copy of the
 first row of the next range; there is one such row for each of at most ``MOST_RANGES`` ranges,
 which bounds what is broadcast. Texts are shuffled once.
 
@@ -31,7 +32,7 @@ from windrow.sources.tables import table
 CELLS, PARTS = 24, 4
 ROUNDS = 8
 TRIES = 8
-ROWS_PER_RANGE, MOST_RANGES = 1000, 65_536
+ROWS_PER_RANGE, MOST_RANGES, MOST_BOUNDS = 1000, 65_536, 1000
 LAST_ID = (1 << 63) - 1
 
 _CHECK = 977
@@ -115,16 +116,39 @@ def likeness(n: Column, plus: Column, minus_: Column) -> Column:
     return (n - plus) / (n + minus_)
 
 
+def _range(x: Column, bounds: list[int], parts: int) -> Column:
+    """The place of ``x`` among ascending bounds, by halving, and among ``parts`` equal parts of the
+    stretch between two of them; it never falls as ``x`` rises."""
+    array = F.array(*map(F.lit, bounds)).cast("array<long>")
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        right = F.struct((mid + 1).alias("lo"), s["hi"].alias("hi"))
+        left = F.struct(s["lo"].alias("lo"), mid.alias("hi"))
+        return F.when(s["lo"] >= s["hi"], s).when(F.get(array, mid) <= x, right).otherwise(left)
+
+    start = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
+    at = F.aggregate(F.sequence(F.lit(1), F.lit(len(bounds).bit_length())), start, halve, lambda s: s["lo"])
+    if parts == 1:
+        return at.cast("long")
+
+    def part(k: Column) -> Column:
+        lo, hi = F.get(array, k - 1).cast("double"), F.get(array, k).cast("double")
+        share = F.floor((x.cast("double") - lo) / (hi - lo) * parts)
+        return k * parts + F.coalesce(F.greatest(F.lit(0), F.least(share, F.lit(parts - 1))), F.lit(0))
+
+    return _let(at, part).cast("long")
+
+
 def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``range, id, doc_id, text, next_text`` in ascending order of ids, the last with the first."""
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    stats = d.agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n")).first()
-    ranges = max(1, min(MOST_RANGES, (stats["n"] or 0) // ROWS_PER_RANGE))
-    lo, hi = stats["lo"] or 0, stats["hi"] or 0
-    if hi == LAST_ID:  # null ids: a range of their own at the end
-        hi = d.filter(F.col("id") < LAST_ID).agg(F.max("id")).first()[0] or lo
-    width = max(1, -(-(hi - lo + 1) // ranges))
-    d = d.withColumn("range", F.least(F.floor((F.col("id") - F.lit(lo)) / F.lit(width)), F.lit(ranges)).cast("long"))
+    n = d.count()
+    ranges = max(1, min(MOST_RANGES, n // ROWS_PER_RANGE))
+    parts = min(ranges, MOST_BOUNDS)
+    shares = [k / parts for k in range(parts + 1)]
+    bounds = sorted(set(d.agg(F.percentile_approx("id", shares, 10_000)).first()[0] or [0]))
+    d = d.withColumn("range", _range(F.col("id"), bounds, -(-ranges // parts)))
     firsts = d.groupBy("range").agg(F.min("id").alias("first"))
     order = Window.orderBy("range")
     firsts = firsts.select("first", F.coalesce(F.lag("range").over(order), F.max("range").over(Window.partitionBy())).alias("before"))
