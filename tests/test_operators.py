@@ -171,10 +171,10 @@ def test_reconcile_has_seven_outcomes(spark):
 
 
 def test_metric_groups(spark):
-    m = spark.createDataFrame([("jvm", 1.0), ("remote-shuffle.a", 2.0)], "grp string, value double")
+    m = spark.createDataFrame([("jvm", 1.0), ("exchange.a", 2.0)], "grp string, value double")
     n = lambda *g: metrics.select_groups(m, g).count()
-    assert (n(), n("jvm"), n("remote-shuffle"), n("x"), n("x", "jvm")) == (2, 1, 1, 0, 1)
-    assert metrics.select_groups(m.filter("grp = 'jvm'"), ["remote-shuffle"]).count() == 1
+    assert (n(), n("jvm"), n("exchange"), n("x"), n("x", "jvm")) == (2, 1, 1, 0, 1)
+    assert metrics.select_groups(m.filter("grp = 'jvm'"), ["exchange"]).count() == 1
 
 
 @pytest.mark.parametrize(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: A group name that stands for every group with it as prefix.
-ALL_GROUPS = "remote-shuffle"
+ALL_GROUPS = "exchange"
 
 
 def store_stats(partitions: DataFrame) -> DataFrame:

@@ -104,12 +104,12 @@ def cluster_gauges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.gauges(workers(spark, sf_dir))
 
 
-_METRICS = """SELECT CASE event_type WHEN 'view' THEN 'jvm' WHEN 'click' THEN 'system' WHEN 'error' THEN 'remote-shuffle.errors' WHEN 'purchase' THEN 'remote-shuffle.store' ELSE 'other' END AS grp,
+_METRICS = """SELECT CASE event_type WHEN 'view' THEN 'jvm' WHEN 'click' THEN 'system' WHEN 'error' THEN 'exchange.errors' WHEN 'purchase' THEN 'exchange.store' ELSE 'other' END AS grp,
   'm' || user_id % 3 AS name, value FROM events"""
 
 
 def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = {"view": "jvm", "click": "system", "error": "remote-shuffle.errors", "purchase": "remote-shuffle.store"}
+    names = {"view": "jvm", "click": "system", "error": "exchange.errors", "purchase": "exchange.store"}
     grp = F.lit("other")
     for k, v in names.items():
         grp = F.when(F.col("event_type") == k, v).otherwise(grp)
@@ -120,9 +120,9 @@ def _by_group(df: DataFrame) -> DataFrame:
     return df.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("metric_group_filter", f"SELECT grp, CAST(count(*) AS BIGINT) AS n FROM ({_METRICS}) m WHERE grp LIKE 'remote-shuffle%' OR grp = 'jvm' GROUP BY grp")
+@query("metric_group_filter", f"SELECT grp, CAST(count(*) AS BIGINT) AS n FROM ({_METRICS}) m WHERE grp LIKE 'exchange%' OR grp = 'jvm' GROUP BY grp")
 def metric_group_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _by_group(metrics.select_groups(_metrics(spark, sf_dir), ["remote-shuffle", "jvm", "no-such"]))
+    return _by_group(metrics.select_groups(_metrics(spark, sf_dir), ["exchange", "jvm", "no-such"]))
 
 
 @query("metric_group_unknown", f"SELECT grp, CAST(count(*) AS BIGINT) AS n FROM ({_METRICS}) m WHERE false GROUP BY grp")
@@ -132,8 +132,8 @@ def metric_group_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("metric_group_all", f"SELECT grp, CAST(count(*) AS BIGINT) AS n FROM ({_METRICS}) m WHERE grp IN ('jvm', 'system', 'other') GROUP BY grp")
 def metric_group_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    others = _metrics(spark, sf_dir).filter("grp not like 'remote-shuffle%'")
-    return _by_group(metrics.select_groups(others, ["remote-shuffle"]))
+    others = _metrics(spark, sf_dir).filter("grp not like 'exchange%'")
+    return _by_group(metrics.select_groups(others, ["exchange"]))
 
 
 @query("metric_summaries", f"SELECT grp, name, CAST(count(*) AS BIGINT) AS n, min(value) AS low, max(value) AS high, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95 FROM ({_METRICS}) m GROUP BY grp, name")
