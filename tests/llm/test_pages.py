@@ -66,6 +66,32 @@ def test_template_of_a_host_is_left_out(spark):
     assert pages.extract(d.limit(0)).count() == 0
 
 
+def story(k, paragraphs):
+    return [f"part {j} of story {k} " + f"word{k}x{j} " * 12 for j in range(paragraphs)]
+
+
+def shown(paragraphs, before="", after=""):
+    return "<body><div class=top><p>Welcome to the site</p></div><article>" + before + "".join(f"<p>{x}</p>" for x in paragraphs) + after + "<p>Read our terms</p></article></body>"
+
+
+def extracted(spark, htmls):
+    rows = [(k, f"https://h.example/{k}", h) for k, h in enumerate(htmls)]
+    got = {r["id"]: r["text"] for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    return [got[k] for k in range(len(rows))]
+
+
+@pytest.mark.parametrize("edited", [False, True])
+def test_copies_of_a_long_article_keep_their_text(spark, edited):
+    copies = [[*story(0, 20)] for _ in range(7)]
+    if edited:
+        for k, c in enumerate(copies):
+            c[3 + k] = f"edited {k} " + "other " * 10
+    short = [story(k, 2) for k in range(1, 9)]
+    got = extracted(spark, [shown(x) for x in [*copies, *short]])
+    want = ["\n".join(" ".join(x.split()) for x in s) for s in [*copies, *short]]
+    assert [g.removesuffix("\nRead our terms") for g in got] == want
+
+
 def test_generated_pages(spark, duck):
     got = {r["page_id"]: r for r in QUERIES["op4_pages"](spark, SF).collect()}
     rows = duck.execute("SELECT page_id, html FROM pages").fetchall()

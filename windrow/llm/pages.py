@@ -2,15 +2,18 @@
 
 A page is parsed into a tree of blocks. The pages of a host are aligned, by simple tree matching,
 with two of its pages (those with the least and the greatest hash of their id; a page with the one
-it matches better). For every node of a reference page it is counted, over all pages of the host,
-how often the node matched and how often it had the same text: nodes that nearly always have are
-template, the others are slots that content varies in. Then each page is aligned once more and the
+it matches better). For every node of a reference page it is counted, over the distinct articles
+among all pages of the host, how often the node matched and how often it had the same text: nodes
+that nearly always have are template, the others are slots that content varies in. A page is an
+article of its own if ``OWN_SHARE`` of its text is on no other page of the host; those that aren't,
+copies and near copies, are one article where the longest text that they share is the same, so
+copies alone never make an article's text template. Then each page is aligned once more and the
 text of its slots is taken, from its article element where it has one, or else from the smallest
 block that holds most of the varying text; menus, headers, footers, sidebars, notices, adverts,
 forms and comments are left out by their elements and class names.
 
-References are two small trees for each host; counts are summed in each task before they are
-shuffled. A hot host is a skewed side of a join that Spark splits.
+References are two small trees for each host. What pages share is found from hashes of their texts;
+counts are summed in each task before they are shuffled. A hot host is a skewed side of a join that Spark splits.
 
 Defined results: null html, or none with text, gives an empty text; a null or odd url belongs to
 no host and has no template; where all of an article is template it is kept; pages that repeat an
@@ -19,6 +22,7 @@ id are extracted one by one; an empty table gives no rows; other columns are ign
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
@@ -32,8 +36,10 @@ from pyspark.sql import functions as F
 from windrow.llm.common import saved, small_batches
 from windrow.sources.tables import table
 
-#: A node is template if at least this many pages have it, and this share of them with one text.
+#: A node is template if at least this many articles have it, and this share of them with one text.
 LEAST_PAGES, SAME_SHARE = 5, 0.9
+#: With less of its text on no other page of its host, a page may be a copy.
+OWN_SHARE = 0.2
 #: Lists of children whose product is larger are matched in order, not by the table.
 MOST_CELLS = 1_000_000
 #: Blocks nested deeper stand beside each other, in page order.
@@ -309,6 +315,46 @@ def main_text(root: Node) -> str:
     return "\n".join(texts)
 
 
+_MATCHED = pa.list_(pa.struct([("ref", pa.int32()), ("at", pa.int32()), ("same", pa.bool_())]))
+_LEAVES = pa.list_(pa.struct([("leaf", pa.int64()), ("len", pa.int32())]))
+
+
+def leaves(root: Node) -> dict[int, int]:
+    """The texts of a page, named by a hash of their labels from the root and of themselves: lengths."""
+    out, todo = {}, [(root, b"")]
+    while todo:
+        x, above = todo.pop()
+        path = hashlib.blake2b(x.label.encode(errors="replace"), digest_size=8, key=above).digest()
+        if x.text:
+            leaf = hashlib.blake2b(x.text.encode(errors="replace"), digest_size=8, key=path).digest()
+            out[int.from_bytes(leaf, "big", signed=True)] = len(x.text)
+        todo += [(k, path) for k in x.kids]
+    return out
+
+
+def articles(seen: DataFrame) -> DataFrame:
+    """``page, article`` of the pages ``h, page, total, leaves`` that aren't the only one of an article."""
+    texts = seen.select("h", "page", "total", F.explode("leaves").alias("x")).select("h", "page", "total", "x.*")
+    shared = texts.groupBy("h", "leaf").agg(F.min("page").alias("a"), F.max("page").alias("b"), F.count("*").alias("pages")).filter("a <> b")
+    sizes = seen.groupBy("h").agg(F.count("*").alias("all"))
+    shared = shared.join(sizes, "h").select("h", "leaf", (F.col("pages") < SAME_SHARE * F.col("all")).alias("some"))
+    had = texts.join(shared, ["h", "leaf"]).groupBy("page").agg(F.first("total").alias("total"), F.collect_set(F.struct("len", "leaf", "some")).alias("x"))
+    length = F.aggregate("x", F.lit(0).cast("long"), lambda a, x: a + x["len"])
+    longest = F.array_max(F.filter("x", lambda x: x["some"]))["leaf"]
+    near = had.filter(length > (1 - OWN_SHARE) * F.col("total")).select("page", longest.alias("article")).filter("article IS NOT NULL")
+    same = seen.groupBy("page").count().filter("count > 1").select("page", F.lit(None).cast("long").alias("article"))
+    both = near.unionAll(same).groupBy("page").agg(F.coalesce(F.max("article"), F.col("page")).alias("article"))
+    return saved(both, "articles")
+
+
+def _by_article(rows: DataFrame, grouped: DataFrame, keys: list[str]) -> DataFrame:
+    """``n, same`` by ``keys``: in how many articles they are, and in how many with the same text."""
+    d = rows.join(grouped, "page", "left").groupBy(*keys, "article").agg(F.count("*").alias("n"), F.sum(F.col("same").cast("double")).alias("same"))
+    one = F.col("article").isNotNull()
+    d = d.select(*keys, F.when(one, 1).otherwise(F.col("n")).alias("n"), F.when(one, F.col("same") / F.col("n")).otherwise(F.col("same")).alias("same"))
+    return d.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("same").alias("same"))
+
+
 def _host(url: str) -> F.Column:
     return F.lower(F.nullif(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit("")))
 
@@ -331,30 +377,30 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     refs = found.mapInArrow(trees, "host string, tree string").groupBy("host").agg(F.slice(F.sort_array(F.collect_set("tree")), 1, 2).alias("trees"))
     refs = saved(refs, "reference-trees")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict[str, list[Node]] = {}
-        sums: dict[tuple[str, int, int], list[int]] = {}
         for b in batches:
-            for host, html, texts in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            totals, matched, found = [], [], []
+            for host, html, texts in zip(*(b.column(k).to_pylist() for k in ("host", "html", "trees")), strict=True):
                 if host not in made:
                     if len(made) > 1000:
                         made.clear()
                     made[host] = [reference(t) for t in texts]
-                k, pairs = best_alignment(tree(html), made[host])
-                for x, r in pairs:
-                    if r.text and x.text:
-                        s = sums.setdefault((host, k, r.at), [0, 0])
-                        s[0] += 1
-                        s[1] += zlib.crc32(x.text.encode()) == r.text
-            if len(sums) > 100_000:
-                yield _sums(sums)
-                sums = {}
-        yield _sums(sums)
-
-    counts = p.join(refs, "host").select("host", "html", "trees").mapInArrow(count, "host string, ref int, at int, n long, same long")
-    sure = counts.groupBy("host", "ref", "at").agg(F.sum("n").alias("n"), F.sum("same").alias("same")).filter((F.col("n") >= LEAST_PAGES) & (F.col("same") >= SAME_SHARE * F.col("n")))
-    template = sure.groupBy("host").agg(F.collect_set(F.struct("ref", "at")).alias("template"))
-    wrappers = saved(refs.join(template, "host"), "wrappers")
+                root = tree(html)
+                k, pairs = best_alignment(root, made[host])
+                matched.append([{"ref": k, "at": r.at, "same": zlib.crc32(x.text.encode()) == r.text} for x, r in pairs if r.text and x.text])
+                own = leaves(root)
+                found.append([{"leaf": leaf, "len": n} for leaf, n in own.items()])
+                totals.append(sum(own.values()))
+            arrays = [b.column("h"), b.column("page"), pa.array(totals, pa.int64()), pa.array(matched, _MATCHED), pa.array(found, _LEAVES)]
+            yield pa.RecordBatch.from_arrays(arrays, ["h", "page", "total", "matched", "leaves"])
+
+    keyed = p.withColumns({"h": F.xxhash64("host"), "page": F.xxhash64("host", "html")}).join(refs, "host").select("h", "page", "host", "html", "trees")
+    seen = saved(keyed.mapInArrow(align, "h long, page long, total long, matched array<struct<ref int, at int, same boolean>>, leaves array<struct<leaf long, len int>>"), "aligned")
+    counts = _by_article(seen.select("h", "page", F.explode("matched").alias("m")).select("h", "page", "m.*"), articles(seen), ["h", "ref", "at"])
+    sure = counts.filter((F.col("n") >= LEAST_PAGES) & (F.col("same") >= SAME_SHARE * F.col("n")))
+    template = sure.groupBy("h").agg(F.collect_set(F.struct("ref", "at")).alias("template"))
+    wrappers = saved(refs.withColumn("h", F.xxhash64("host")).join(template, "h").drop("h"), "wrappers")
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict[str, tuple[list[Node], set[tuple[int, int]]]] = {}
@@ -377,12 +423,6 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     return p.join(wrappers, "host", "left").select("id", "url", "html", "host", "trees", "template").mapInArrow(take, f"id {kind}, url string, text string")
 
 
-def _sums(sums: dict[tuple[str, int, int], list[int]]) -> pa.RecordBatch:
-    rows = [(*k, *v) for k, v in sums.items()]
-    kinds = (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["host", "ref", "at", "n", "same"])
-
-
 def op4_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = extract(table(spark, sf_dir, "pages"))
     return p.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
