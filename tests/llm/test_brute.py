@@ -133,6 +133,18 @@ def test_packing(spark, per_shard):
     assert packing.pack(d.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("lengths", "before"), [([260] * 300, 158400.0), ([513] * 100 + [300] * 7, 108800.0)])
+def test_packing_opens_longer_bins_where_they_cost_less(lengths, before):
+    """``before``: the cost of opening the least length that holds the first piece."""
+    bins, offsets, sizes = packing.best_fit(lengths)
+    assert sum(map(packing.cost, sizes)) < 0.85 * before
+    ends = {}
+    for n, b, o in zip(lengths, bins, offsets, strict=True):
+        assert o == ends.get(b, 0)
+        ends[b] = o + n
+    assert all(ends[b] <= sizes[b] for b in ends) and len(ends) == len(sizes)
+
+
 def test_packing_costs_no_more_than_one_size():
     rng = random.Random(1)
     lengths = sorted((rng.randrange(1, 4097) if rng.random() < 0.3 else rng.randrange(1, 500) for _ in range(3000)), reverse=True)

@@ -2,9 +2,11 @@
 
 A sequence of ``c`` tokens costs ``c + c * c / ATTENTION``: the part that is linear in its length
 and the part that is square. Pieces go, longest first, to the open bin that they leave the least
-room in. Where none has room, the bin size is opened that costs least for each token it can
-expect to hold: the piece and as much of what is still to come as fits. At the end each bin
-shrinks to the least permitted length that holds its contents.
+room in. Where none has room, each permitted length is filled on trial with the pieces still to
+come, the longest that fits first, and the one is opened that costs least for each token it then
+holds. At the end each bin shrinks to the least permitted length that holds its contents. A trial
+can't tell which of these pieces go to other bins, so the shard is also packed with the least
+length that holds the piece that opens a bin; the cheaper of both packings is taken.
 
 Rows are dealt to shards by hash, at most about ``ROWS_PER_SHARD`` to each, and a shard is packed
 by itself: only ids and lengths move, and no task depends on how the ids are distributed. Each
@@ -36,20 +38,40 @@ def cost(c: int, attention: int = ATTENTION) -> float:
 def best_fit(lengths: list[int], capacities: tuple[int, ...] = CAPACITIES, attention: int = ATTENTION) -> tuple[list[int], list[int], list[int]]:
     """For lengths in falling order: bin and offset of each, and the final length of each bin."""
     capacities = tuple(sorted(capacities))
+    tried = [_packed(lengths, capacities, attention, least) for least in (True, False)]
+    return min(tried, key=lambda t: sum(cost(c, attention) for c in t[2]))
+
+
+def _filled(n: int, c: int, count: list[int], some: int) -> int:
+    """Tokens in a bin of length ``c`` with a piece of ``n`` and the longest others that fit."""
+    room = c - n
+    while room and (fits := some & ((1 << (room + 1)) - 1)):
+        k = fits.bit_length() - 1
+        room -= k * min(count[k], room // k)
+        some &= (1 << k) - 1
+    return c - room
+
+
+def _packed(lengths: list[int], capacities: tuple[int, ...], attention: int, least: bool) -> tuple[list[int], list[int], list[int]]:
     costs = {c: cost(c, attention) for c in capacities}
     room: list[list[int]] = [[] for _ in range(capacities[-1] + 1)]  # open bins by the room they have
     some = 0  # bit r: room[r] isn't empty
+    count = [0] * (capacities[-1] + 1)  # pieces still to come by their length
+    for n in lengths:
+        count[n] += 1
+    to_come = sum(1 << n for n, k in enumerate(count) if k)  # bit n: count[n] isn't 0
     size, used, bins, offsets = [], [], [], []
-    to_come = sum(lengths)
     for n in lengths:
-        to_come -= n
+        count[n] -= 1
+        if not count[n]:
+            to_come &= ~(1 << n)
         if fits := some >> n:
             r = n + (fits & -fits).bit_length() - 1
             b = room[r].pop()
             if not room[r]:
                 some &= ~(1 << r)
         else:
-            r = min((c for c in capacities if c >= n), key=lambda c: (costs[c] / min(c, n + to_come), c))
+            r = min((c for c in capacities if c >= n), key=lambda c: c if least else (costs[c] / _filled(n, c, count, to_come), c))
             b = len(size)
             size.append(r)
             used.append(0)
