@@ -80,6 +80,12 @@ def extracted(spark, htmls):
     return [got[k] for k in range(len(rows))]
 
 
+def test_page_without_an_article_keeps_all_that_varies():
+    body = f"<p>long text {'word ' * 40}</p>"
+    page = CHROME.replace("{}", f"<div class=post><h1>Title</h1><p>lead</p><div class=body>{body}</div><p>closing</p></div>")
+    assert pages.main_text(pages.tree(page)).split("\n") == ["Title", "lead", "long text " + " ".join(["word"] * 40), "closing"]
+
+
 @pytest.mark.parametrize("edited", [False, True])
 def test_copies_of_a_long_article_keep_their_text(spark, edited):
     copies = [[*story(0, 20)] for _ in range(7)]

@@ -8,8 +8,8 @@ that nearly always have are template, the others are slots that content varies i
 article of its own if ``OWN_SHARE`` of its text is on no other page of the host; those that aren't,
 copies and near copies, are one article where the longest text that they share is the same, so
 copies alone never make an article's text template. Then each page is aligned once more and the
-text of its slots is taken, from its article element where it has one, or else from the smallest
-block that holds most of the varying text; menus, headers, footers, sidebars, notices, adverts,
+text of its slots is taken, from its article element where it has one, or else from the whole page,
+in page order; menus, headers, footers, sidebars, notices, adverts,
 forms and comments are left out by their elements and class names.
 
 References are two small trees for each host. What pages share is found from hashes of their texts;
@@ -298,18 +298,15 @@ def best_alignment(page: Node, refs: list[Node]) -> tuple[int, list[tuple[Node,
 
 
 def main_text(root: Node) -> str:
-    """The texts of the article's blocks that aren't template, a line for each."""
+    """The texts of the article's blocks, or else of all, that aren't template, a line for each."""
     every = nodes(root)
     articles = [x for x in every if x.tag == "article"] or [x for x in every if x.tag == "main" or x.names == "main"]
-    weight: dict[int, int] = {}
-    for x in reversed(every):
-        weight[x.at] = (0 if x.template else len(x.text)) + sum(weight[k.at] for k in x.kids)
+    top = root
     if articles:
+        weight: dict[int, int] = {}
+        for x in reversed(every):
+            weight[x.at] = (0 if x.template else len(x.text)) + sum(weight[k.at] for k in x.kids)
         top = max(articles, key=lambda x: (weight[x.at], -x.at))
-    else:
-        top = root
-        while heavy := [k for k in top.kids if k.kids and weight[k.at] >= 0.8 * weight[root.at] > 0]:
-            top = heavy[0]
     inside = nodes(top)
     texts = [x.text for x in inside if x.text and not x.template] or [x.text for x in inside if x.text]
     return "\n".join(texts)
