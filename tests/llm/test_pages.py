@@ -98,6 +98,14 @@ def test_copies_of_a_long_article_keep_their_text(spark, edited):
     assert [g.removesuffix("\nRead our terms") for g in got] == want
 
 
+@pytest.mark.parametrize(("notice", "left"), [("<div class=x{0}><p>Sign up for {0}</p></div>", 0), ("<p>Sign up for {0}</p>", 36)])
+def test_template_that_neither_reference_has(spark, notice, left):
+    """Six notices on six pages each: left out in a block of their own; one more paragraph of the article stays."""
+    got = extracted(spark, [shown(story(k, 3), before=notice.format(k // 6) if k < 36 else "") for k in range(40)])
+    assert sum("Sign up for" in g for g in got) == left
+    assert all(f"part {j} of story {k} word{k}x{j}" in g for k, g in enumerate(got) for j in range(3))
+
+
 def test_generated_pages(spark, duck):
     got = {r["page_id"]: r for r in QUERIES["op4_pages"](spark, SF).collect()}
     rows = duck.execute("SELECT page_id, html FROM pages").fetchall()

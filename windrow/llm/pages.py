@@ -7,7 +7,9 @@ among all pages of the host, how often the node matched and how often it had the
 that nearly always have are template, the others are slots that content varies in. A page is an
 article of its own if ``OWN_SHARE`` of its text is on no other page of the host; those that aren't,
 copies and near copies, are one article where the longest text that they share is the same, so
-copies alone never make an article's text template. Then each page is aligned once more and the
+copies alone never make an article's text template. What neither reference has is counted by the
+labels from the root: a text is also template if nearly all articles with a text at that path have
+it, on however few pages of the host. Then each page is aligned once more and the
 text of its slots is taken, from its article element where it has one, or else from the whole page,
 in page order; menus, headers, footers, sidebars, notices, adverts,
 forms and comments are left out by their elements and class names.
@@ -313,18 +315,18 @@ def main_text(root: Node) -> str:
 
 
 _MATCHED = pa.list_(pa.struct([("ref", pa.int32()), ("at", pa.int32()), ("same", pa.bool_())]))
-_LEAVES = pa.list_(pa.struct([("leaf", pa.int64()), ("len", pa.int32())]))
+_LEAVES = pa.list_(pa.struct([("path", pa.int64()), ("leaf", pa.int64()), ("len", pa.int32())]))
 
 
-def leaves(root: Node) -> dict[int, int]:
-    """The texts of a page, named by a hash of their labels from the root and of themselves: lengths."""
-    out, todo = {}, [(root, b"")]
+def named(root: Node) -> list[tuple[Node, int, int]]:
+    """The texts of a page with a hash of their labels from the root, and one of it and the text."""
+    out, todo = [], [(root, b"")]
     while todo:
         x, above = todo.pop()
         path = hashlib.blake2b(x.label.encode(errors="replace"), digest_size=8, key=above).digest()
         if x.text:
             leaf = hashlib.blake2b(x.text.encode(errors="replace"), digest_size=8, key=path).digest()
-            out[int.from_bytes(leaf, "big", signed=True)] = len(x.text)
+            out.append((x, int.from_bytes(path, "big", signed=True), int.from_bytes(leaf, "big", signed=True)))
         todo += [(k, path) for k in x.kids]
     return out
 
@@ -386,38 +388,47 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 root = tree(html)
                 k, pairs = best_alignment(root, made[host])
                 matched.append([{"ref": k, "at": r.at, "same": zlib.crc32(x.text.encode()) == r.text} for x, r in pairs if r.text and x.text])
-                own = leaves(root)
-                found.append([{"leaf": leaf, "len": n} for leaf, n in own.items()])
-                totals.append(sum(own.values()))
+                own = {leaf: {"path": path, "leaf": leaf, "len": len(x.text)} for x, path, leaf in named(root)}
+                found.append(list(own.values()))
+                totals.append(sum(x["len"] for x in own.values()))
             arrays = [b.column("h"), b.column("page"), pa.array(totals, pa.int64()), pa.array(matched, _MATCHED), pa.array(found, _LEAVES)]
             yield pa.RecordBatch.from_arrays(arrays, ["h", "page", "total", "matched", "leaves"])
 
     keyed = p.withColumns({"h": F.xxhash64("host"), "page": F.xxhash64("host", "html")}).join(refs, "host").select("h", "page", "host", "html", "trees")
-    seen = saved(keyed.mapInArrow(align, "h long, page long, total long, matched array<struct<ref int, at int, same boolean>>, leaves array<struct<leaf long, len int>>"), "aligned")
-    counts = _by_article(seen.select("h", "page", F.explode("matched").alias("m")).select("h", "page", "m.*"), articles(seen), ["h", "ref", "at"])
-    sure = counts.filter((F.col("n") >= LEAST_PAGES) & (F.col("same") >= SAME_SHARE * F.col("n")))
+    seen = saved(keyed.mapInArrow(align, "h long, page long, total long, matched array<struct<ref int, at int, same boolean>>, leaves array<struct<path long, leaf long, len int>>"), "aligned")
+    grouped = articles(seen)
+    often = (F.col("n") >= LEAST_PAGES) & (F.col("same") >= SAME_SHARE * F.col("n"))
+    sure = _by_article(seen.select("h", "page", F.explode("matched").alias("m")).select("h", "page", "m.*"), grouped, ["h", "ref", "at"]).filter(often)
     template = sure.groupBy("h").agg(F.collect_set(F.struct("ref", "at")).alias("template"))
-    wrappers = saved(refs.withColumn("h", F.xxhash64("host")).join(template, "h").drop("h"), "wrappers")
+    yes = F.lit(True).alias("same")
+    paths = _by_article(seen.select("h", "page", F.explode(F.array_distinct("leaves.path")).alias("path"), yes), grouped, ["h", "path"])
+    texts = _by_article(seen.select("h", "page", F.explode("leaves").alias("x"), yes).select("h", "page", "x.path", "x.leaf", "same"), grouped, ["h", "path", "leaf"])
+    fixed = texts.filter(F.col("same") >= LEAST_PAGES).drop("n").join(paths.select("h", "path", "n"), ["h", "path"]).filter(often)
+    fixed = fixed.groupBy("h").agg(F.collect_set("leaf").alias("fixed"))
+    wrappers = refs.withColumn("h", F.xxhash64("host")).join(template, "h", "left").join(fixed, "h", "left").drop("h")
+    wrappers = saved(wrappers.filter("template IS NOT NULL OR fixed IS NOT NULL"), "wrappers")
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made: dict[str, tuple[list[Node], set[tuple[int, int]]]] = {}
+        made: dict[str, tuple[list[Node], set[tuple[int, int]], set[int]]] = {}
         for b in batches:
             out = []
-            for html, host, texts, template in zip(*(b.column(k).to_pylist() for k in ("html", "host", "trees", "template")), strict=True):
+            for html, host, texts, template, fixed in zip(*(b.column(k).to_pylist() for k in ("html", "host", "trees", "template", "fixed")), strict=True):
                 root = tree(html)
                 if texts:
                     if host not in made:
                         if len(made) > 1000:
                             made.clear()
-                        made[host] = [reference(t) for t in texts], {(x["ref"], x["at"]) for x in template}
-                    refs, sure = made[host]
+                        made[host] = [reference(t) for t in texts], {(x["ref"], x["at"]) for x in template or []}, set(fixed or [])
+                    refs, sure, always = made[host]
                     k, pairs = best_alignment(root, refs)
                     for x, r in pairs:
                         x.template = (k, r.at) in sure and zlib.crc32(x.text.encode()) == r.text
+                    for x, _, leaf in named(root) if always else []:
+                        x.template = x.template or leaf in always
                 out.append(main_text(root))
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("url"), pa.array(out, pa.string())], ["id", "url", "text"])
 
-    return p.join(wrappers, "host", "left").select("id", "url", "html", "host", "trees", "template").mapInArrow(take, f"id {kind}, url string, text string")
+    return p.join(wrappers, "host", "left").select("id", "url", "html", "host", "trees", "template", "fixed").mapInArrow(take, f"id {kind}, url string, text string")
 
 
 def op4_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
