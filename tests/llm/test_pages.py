@@ -86,6 +86,23 @@ def test_page_without_an_article_keeps_all_that_varies():
     assert pages.main_text(pages.tree(page)).split("\n") == ["Title", "lead", "long text " + " ".join(["word"] * 40), "closing"]
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<body class='has-sidebar'><article><p>text</p></article></body>", "text"),
+        ("<html class='no-overlay'><body class='menu-open sticky-header' style='display:none'><p>text</p></body></html>", "text"),
+        ("<body><article class='post no-comments'><p>text</p></article></body>", "text"),
+        ("<body><main id='search-results'><p>text</p></main></body>", "text"),
+        ("<body><div class='page has-sidebar'><p>most of the text</p></div><div class=sidebar>more</div><p>end</p></body>", "most of the text\nend"),
+        ("<body><p>short</p><div id=comments><p>what a reader wrote at length</p></div></body>", "short"),
+        ("<body><article><p>short</p></article><div class='user-comments'><p>what a reader wrote at length</p></div></body>", "short"),
+        ("<body><div id=comments><p>only this</p></div><nav>Home</nav></body>", "only this"),
+    ],
+)
+def test_names_of_large_blocks(page, want):
+    assert pages.main_text(pages.tree(page)) == want
+
+
 @pytest.mark.parametrize("edited", [False, True])
 def test_copies_of_a_long_article_keep_their_text(spark, edited):
     copies = [[*story(0, 20)] for _ in range(7)]

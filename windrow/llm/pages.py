@@ -12,7 +12,9 @@ labels from the root: a text is also template if nearly all articles with a text
 it, on however few pages of the host. Then each page is aligned once more and the
 text of its slots is taken, from its article element where it has one, or else from the whole page,
 in page order; menus, headers, footers, sidebars, notices, adverts,
-forms and comments are left out by their elements and class names.
+forms and comments are left out by their elements and class names. Names don't count on html, body,
+main and article (there only a whole class that is such a word), nor on a block with most of the
+page's text that no article stands beside, unless it holds comments; nor where nothing would be left.
 
 References are two small trees for each host. What pages share is found from hashes of their texts;
 counts are summed in each task before they are shuffled. A hot host is a skewed side of a join that Spark splits.
@@ -78,6 +80,12 @@ _BAD = re.compile(
     r"comments?|commentlist|respond|disqus|replies|reply|related|share|sharing|social\w*|toolbar|widgets?|login|signup|search|pagination|pager|skip|complementary|navigation|contentinfo|search)(?:$|[\s_-])",
     re.I,
 )
+#: Whole classes that hold what readers wrote, however much that is.
+_REPLIES = re.compile(r"(?:^|\s)(?:comments?|commentlist|respond|disqus|replies|reply)(?:$|\s)", re.I)
+#: Elements that hold the whole page, or its main text.
+WHOLE, MAIN = frozenset({"html", "body"}), frozenset({"article", "main"})
+#: Why a block is unwanted: by its names alone, or by its element.
+BY_NAME, BY_ELEMENT = 1, 2
 _BAD_OUTSIDE = re.compile(r"(?:^|[\s_-])(?:header|masthead|footer|banner|top-?bar|branding)(?:$|[\s_-])", re.I)
 
 
@@ -86,16 +94,16 @@ class Node:
 
     __slots__ = ("tag", "names", "parts", "bad", "kids", "text", "at", "template", "label")
 
-    def __init__(self, tag: str, names: str, bad: bool) -> None:
+    def __init__(self, tag: str, names: str, bad: int) -> None:
         self.tag, self.names, self.bad = tag, names, bad
         self.parts: list = []
         self.kids: list[Node] = []
         self.text, self.at, self.template, self.label = "", 0, False, f"{tag}.{names}"
 
 
-def parse(html: str) -> Node:
+def parse(html: str, by_names: bool = True) -> Node:
     """The tree of blocks of a page; inline elements dissolve into their text."""
-    root = Node("#root", "", False)
+    root = Node("#root", "", 0)
     stack, article, inline, pos = [root], 0, None, 0
     search, n = _TOKEN.search, len(html)
     while pos < n:
@@ -134,11 +142,12 @@ def parse(html: str) -> Node:
         names = ""
         if attrs and (found := _NAMES.findall(attrs)):
             names = " ".join(x for t in found for x in t if x)
-        hidden = bool(attrs) and (bool(names and _BAD.search(names)) or bool(_HIDDEN.search(attrs)))
+        named_bad = by_names and bool(names) and tag not in WHOLE and (any(_BAD.fullmatch(x) for x in names.split()) if tag in MAIN else bool(_BAD.search(names)))
+        hidden = bool(attrs) and tag not in WHOLE and bool(_HIDDEN.search(attrs))
         if tag not in BLOCKS:
             if tag == "br":
                 stack[-1].parts.append(" ")
-            elif (tag in UNWANTED or hidden) and tag not in VOID and not attrs.endswith("/"):
+            elif (tag in UNWANTED or hidden or named_bad) and tag not in VOID and not attrs.endswith("/"):
                 inline = [tag, 1]
             continue
         if tag in CLOSES:
@@ -155,10 +164,15 @@ def parse(html: str) -> Node:
                     break
                 if stack[k].tag in NO_P:
                     break
-        bad = stack[-1].bad or hidden or tag in UNWANTED_BLOCKS or (not article and (tag == "header" or bool(names and _BAD_OUTSIDE.search(names))))
+        if hidden or tag in UNWANTED_BLOCKS or (not article and tag == "header"):
+            bad = BY_ELEMENT
+        else:
+            outside = by_names and not article and tag not in WHOLE | MAIN and bool(names and _BAD_OUTSIDE.search(names))
+            bad = BY_NAME if named_bad or outside else 0
         node = Node(tag, names, bad)
         if len(stack) == MOST_DEPTH and tag not in VOID:
-            article -= stack.pop().tag in ("article", "main")
+            article -= stack[-1].tag in ("article", "main")
+            node.bad = max(bad, stack.pop().bad)
         stack[-1].parts.append(node)
         if tag not in VOID:
             stack.append(node)
@@ -166,6 +180,28 @@ def parse(html: str) -> Node:
     return root
 
 
+def spare(root: Node) -> Node:
+    """Keep the blocks unwanted by name that hold most of the page's text, with no article beside them."""
+    every, todo = [], [root]
+    while todo:
+        x = todo.pop()
+        if x.bad != BY_ELEMENT:
+            every.append(x)
+            todo += [k for k in x.parts if not isinstance(k, str)]
+    if not any(x.bad for x in every):
+        return root
+    size: dict[int, int] = {}
+    mains: dict[int, int] = {}
+    for x in reversed(every):
+        kids = [k for k in x.parts if not isinstance(k, str)]
+        size[id(x)] = sum(len(k.strip()) for k in x.parts if isinstance(k, str)) + sum(size.get(id(k), 0) for k in kids)
+        mains[id(x)] = (x.tag in MAIN) + sum(mains.get(id(k), 0) for k in kids)
+    for x in every:
+        if x.bad and 2 * size[id(x)] > size[id(root)] and mains[id(x)] == mains[id(root)] and not _REPLIES.search(x.names):
+            x.bad = 0
+    return root
+
+
 def finish(node: Node) -> Node:
     """Turn the parts of wanted blocks into children, texts decoded and with single spaces."""
     todo = [node]
@@ -204,7 +240,10 @@ def nodes(root: Node) -> list[Node]:
 
 
 def tree(html: str | None) -> Node:
-    return finish(parse(html or ""))
+    root = finish(spare(parse(html or "")))
+    if not root.text and not any(x.text for x in nodes(root)):
+        root = finish(parse(html or "", by_names=False))
+    return root
 
 
 def as_json(root: Node) -> str:
