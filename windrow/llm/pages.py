@@ -9,12 +9,20 @@ article of its own if ``OWN_SHARE`` of its text is on no other page of the host;
 copies and near copies, are one article where the longest text that they share is the same, so
 copies alone never make an article's text template. What neither reference has is counted by the
 labels from the root: a text is also template if nearly all articles with a text at that path have
-it, on however few pages of the host. Then each page is aligned once more and the
-text of its slots is taken, from its article element where it has one, or else from the whole page,
-in page order; menus, headers, footers, sidebars, notices, adverts,
-forms and comments are left out by their elements and class names. Names don't count on html, body,
-main and article (there only a whole class that is such a word), nor on a block with most of the
-page's text that no article stands beside, unless it holds comments; nor where nothing would be left.
+it, or if nearly all texts at that path are ones that several articles have (a footer in three
+languages), on however few pages of the host. Then each page is aligned once more and the text of
+its slots is taken, in page order: of its articles, or else of its main element, or else of all.
+
+Slots can vary and still be no article: menus, sidebars, footers and forms by their elements, and
+blocks of which a whole class, id or role is a name for such a thing. Names decide only where
+elements and the wrapper don't: never on html, body and main; never on a block that holds the only
+articles, or most of the text, of the page (as a form around a whole page does), unless it is for
+readers' comments; inside an article only names of adverts, sharing and comments; and not at all
+where nothing would be left.
+
+Matching is exact at every size and depth. Subtrees of one shape are matched once; children of one
+shape at the start and end of two lists match in some best matching; between them a table is filled
+row by row and only every n-th row is kept.
 
 References are two small trees for each host. What pages share is found from hashes of their texts;
 counts are summed in each task before they are shuffled. A hot host is a skewed side of a join that Spark splits.
@@ -29,10 +37,12 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import json
+import math
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,11 +54,6 @@ from windrow.sources.tables import table
 LEAST_PAGES, SAME_SHARE = 5, 0.9
 #: With less of its text on no other page of its host, a page may be a copy.
 OWN_SHARE = 0.2
-#: Lists of children whose product is larger are matched in order, not by the table.
-MOST_CELLS = 1_000_000
-#: Blocks nested deeper stand beside each other, in page order.
-MOST_DEPTH = 150
-
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol p pre section summary table caption tbody td tfoot th thead tr ul".split()
@@ -56,8 +61,10 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noframes".split())
 #: Elements that hold no main text; the first group also inside a line.
-UNWANTED = frozenset("button select option svg iframe object audio video canvas noscript template datalist label".split())
-UNWANTED_BLOCKS = frozenset("nav aside footer form head dialog menu fieldset".split())
+UNWANTED = frozenset("button select option svg iframe object audio video canvas noscript template datalist".split())
+UNWANTED_BLOCKS = frozenset("nav aside footer head dialog menu".split())
+#: Elements around fields; they may also be around a whole page.
+FIELDS = frozenset({"form", "fieldset"})
 #: What an opening element closes, and the elements that bound the search for it.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -73,39 +80,66 @@ CLOSES = {
 NO_P = frozenset({"html", "body", "head", "td", "th", "caption", "button"})
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
-_NAMES = re.compile(r"""(?:^|[\s"'/])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
-_BAD = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|side-?bar\w*|nav\w*|menu\w*|breadcrumbs?|cookies?|consent|gdpr|notices?|alert|newsletter|subscri\w*|popup|modal|overlay|"
-    r"comments?|commentlist|respond|disqus|replies|reply|related|share|sharing|social\w*|toolbar|widgets?|login|signup|search|pagination|pager|skip|complementary|navigation|contentinfo|search)(?:$|[\s_-])",
-    re.I,
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_HIDING = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
+_DIGITS = re.compile(r"[0-9]+")
+#: Whole names of blocks that are no article, wherever they stand.
+ADVERTS = frozenset("ad ads advert adverts advertisement advertising adsbygoogle sponsor sponsored promo promotion".split())
+SHARING = frozenset("share sharing share-button share-buttons share-links social social-share social-links newsletter newsletter-signup".split())
+REPLIES = frozenset("comment comments comment-list commentlist comments-area comment-section user-comments respond disqus disqus-thread replies reply".split())
+#: Whole names of blocks that are no article where they stand outside of one.
+OUTSIDE = frozenset(
+    "sidebar side-bar nav navbar navigation menu breadcrumb breadcrumbs cookie cookies cookie-banner cookie-notice cookie-consent consent gdpr notice notices alert "
+    "subscribe popup modal overlay related related-posts toolbar widget widgets login signup search pagination pager skip-link complementary contentinfo "
+    "header masthead footer banner topbar top-bar branding site-header site-footer page-header page-footer".split()
 )
-#: Whole classes that hold what readers wrote, however much that is.
-_REPLIES = re.compile(r"(?:^|\s)(?:comments?|commentlist|respond|disqus|replies|reply)(?:$|\s)", re.I)
+ANYWHERE = ADVERTS | SHARING | REPLIES
 #: Elements that hold the whole page, or its main text.
 WHOLE, MAIN = frozenset({"html", "body"}), frozenset({"article", "main"})
-#: Why a block is unwanted: by its names alone, or by its element.
+#: Why a block is unwanted: it may be spared where its names or fields say so, not where its element does.
 BY_NAME, BY_ELEMENT = 1, 2
-_BAD_OUTSIDE = re.compile(r"(?:^|[\s_-])(?:header|masthead|footer|banner|top-?bar|branding)(?:$|[\s_-])", re.I)
 
 
 class Node:
     """A block: its label, the texts and blocks in it, and whether it is unwanted."""
 
-    __slots__ = ("tag", "names", "parts", "bad", "kids", "text", "at", "template", "label")
+    __slots__ = ("tag", "names", "parts", "bad", "kids", "text", "at", "template", "label", "shape", "size")
 
-    def __init__(self, tag: str, names: str, bad: int) -> None:
+    def __init__(self, tag: str, names: frozenset[str], bad: int, label: str = "") -> None:
         self.tag, self.names, self.bad = tag, names, bad
         self.parts: list = []
         self.kids: list[Node] = []
-        self.text, self.at, self.template, self.label = "", 0, False, f"{tag}.{names}"
+        self.text, self.at, self.template, self.label, self.shape, self.size = "", 0, False, label or tag, 0, 1
+
+
+def attributes(text: str) -> dict[str, str]:
+    """Attributes of a tag by their names in lower case; the first of a name counts."""
+    out: dict[str, str] = {}
+    for name, a, b, c in _ATTRIBUTE.findall(text):
+        out.setdefault(name.lower(), a or b or c)
+    return out
+
+
+def names_of(found: dict[str, str]) -> frozenset[str]:
+    return frozenset(" ".join(found.get(k, "") for k in ("class", "id", "role")).lower().replace("_", "-").split())
+
+
+def hides(found: dict[str, str]) -> bool:
+    return "hidden" in found or found.get("aria-hidden", "").lower() == "true" or bool(_HIDING.search(found.get("style", "")))
 
 
 def parse(html: str, by_names: bool = True) -> Node:
     """The tree of blocks of a page; inline elements dissolve into their text."""
-    root = Node("#root", "", 0)
-    stack, article, inline, pos = [root], 0, None, 0
+    root = Node("#root", frozenset(), 0)
+    stack, inline, pos = [root], None, 0
+    open_: dict[str, int] = {}  # how many blocks of a tag are open
     search, n = _TOKEN.search, len(html)
+
+    def close(k: int) -> None:
+        for x in stack[k:]:
+            open_[x.tag] -= 1
+        del stack[k:]
+
     while pos < n:
         m = search(html, pos)
         if m is None:
@@ -129,59 +163,55 @@ def parse(html: str, by_names: bool = True) -> Node:
             if inline is not None or tag not in BLOCKS:
                 continue
         if closing:
-            if tag in BLOCKS and any(x.tag == tag for x in stack):
-                while (x := stack.pop()).tag != tag:
-                    article -= x.tag in ("article", "main")
-                article -= tag in ("article", "main")
-                stack = stack or [root]
+            if tag in BLOCKS and open_.get(tag):
+                k = len(stack) - 1
+                while stack[k].tag != tag:
+                    k -= 1
+                close(k)
             continue
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(html, pos)
             pos = end.end() if end else n
             continue
-        names = ""
-        if attrs and (found := _NAMES.findall(attrs)):
-            names = " ".join(x for t in found for x in t if x)
-        named_bad = by_names and bool(names) and tag not in WHOLE and (any(_BAD.fullmatch(x) for x in names.split()) if tag in MAIN else bool(_BAD.search(names)))
-        hidden = bool(attrs) and tag not in WHOLE and bool(_HIDDEN.search(attrs))
+        article = open_.get("article", 0) + open_.get("main", 0)
+        found = attributes(attrs) if attrs and not attrs.isspace() else {}
+        names = names_of(found) if found else frozenset()
+        hidden = bool(found) and tag not in WHOLE and hides(found)
+        named_bad = by_names and bool(names) and tag not in WHOLE and tag != "main" and not names.isdisjoint(REPLIES if tag == "article" else ANYWHERE if article else ANYWHERE | OUTSIDE)
         if tag not in BLOCKS:
             if tag == "br":
                 stack[-1].parts.append(" ")
-            elif (tag in UNWANTED or hidden or named_bad) and tag not in VOID and not attrs.endswith("/"):
+            elif (tag in UNWANTED or hidden or (named_bad and not names.isdisjoint(ADVERTS | SHARING))) and tag not in VOID and not attrs.endswith("/"):
                 inline = [tag, 1]
             continue
         if tag in CLOSES:
             closes, bound = CLOSES[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in bound:
-                    break
-                if stack[k].tag in closes:
-                    del stack[k:]
-        elif tag not in ("td", "th", "caption"):
+            if any(map(open_.get, closes)):
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k].tag in bound:
+                        break
+                    if stack[k].tag in closes:
+                        close(k)
+                        break
+        elif open_.get("p") and tag not in ("td", "th", "caption"):
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == "p":
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k].tag in NO_P:
                     break
-        if hidden or tag in UNWANTED_BLOCKS or (not article and tag == "header"):
-            bad = BY_ELEMENT
-        else:
-            outside = by_names and not article and tag not in WHOLE | MAIN and bool(names and _BAD_OUTSIDE.search(names))
-            bad = BY_NAME if named_bad or outside else 0
-        node = Node(tag, names, bad)
-        if len(stack) == MOST_DEPTH and tag not in VOID:
-            article -= stack[-1].tag in ("article", "main")
-            node.bad = max(bad, stack.pop().bad)
+        bad = BY_ELEMENT if hidden or tag in UNWANTED_BLOCKS or (not article and tag == "header") else BY_NAME if named_bad or tag in FIELDS else 0
+        node = Node(tag, names, bad, ".".join([tag, *sorted(_DIGITS.sub("#", x) for x in names)]) if names else tag)
         stack[-1].parts.append(node)
         if tag not in VOID:
             stack.append(node)
-            article += tag in ("article", "main")
+            open_[tag] = open_.get(tag, 0) + 1
     return root
 
 
 def spare(root: Node) -> Node:
-    """Keep the blocks unwanted by name that hold most of the page's text, with no article beside them."""
+    """Keep the blocks unwanted by name or for their fields that hold the only articles of the page,
+    or most of its text with no article beside them."""
     every, todo = [], [root]
     while todo:
         x = todo.pop()
@@ -195,9 +225,9 @@ def spare(root: Node) -> Node:
     for x in reversed(every):
         kids = [k for k in x.parts if not isinstance(k, str)]
         size[id(x)] = sum(len(k.strip()) for k in x.parts if isinstance(k, str)) + sum(size.get(id(k), 0) for k in kids)
-        mains[id(x)] = (x.tag in MAIN) + sum(mains.get(id(k), 0) for k in kids)
+        mains[id(x)] = (x.tag in MAIN and not x.bad) + sum(mains.get(id(k), 0) for k in kids)
     for x in every:
-        if x.bad and 2 * size[id(x)] > size[id(root)] and mains[id(x)] == mains[id(root)] and not _REPLIES.search(x.names):
+        if x.bad and mains[id(x)] == mains[id(root)] and (mains[id(x)] or 2 * size[id(x)] > size[id(root)]) and x.names.isdisjoint(REPLIES):
             x.bad = 0
     return root
 
@@ -215,7 +245,7 @@ def finish(node: Node) -> Node:
             if run:
                 raw = "".join(run)
                 if text := " ".join((entities.unescape(raw) if "&" in raw else raw).split()):
-                    leaf = Node("#text", "", x.bad)
+                    leaf = Node("#text", frozenset(), 0)
                     leaf.text = text
                     x.kids.append(leaf)
                 run = []
@@ -229,128 +259,175 @@ def finish(node: Node) -> Node:
 
 
 def nodes(root: Node) -> list[Node]:
-    """All blocks in page order, numbered."""
+    """All blocks in page order."""
     out, todo = [], [root]
     while todo:
         x = todo.pop()
-        x.at = len(out)
         out.append(x)
         todo += reversed(x.kids)
     return out
 
 
+def shaped(root: Node) -> Node:
+    """Number all blocks in page order, and name their shapes: subtrees of equal labels have one."""
+    every = nodes(root)
+    for k, x in enumerate(every):
+        x.at = k
+    for x in reversed(every):
+        x.size = 1 + sum(k.size for k in x.kids)
+        x.shape = hash((x.label, *(k.shape for k in x.kids)))
+    return root
+
+
 def tree(html: str | None) -> Node:
     root = finish(spare(parse(html or "")))
-    if not root.text and not any(x.text for x in nodes(root)):
+    if not any(x.text for x in nodes(root)):
         root = finish(parse(html or "", by_names=False))
-    return root
+    return shaped(root)
 
 
 def as_json(root: Node) -> str:
-    """A reference tree: labels and hashes of texts."""
-
-    def f(x: Node) -> list:
-        return [x.label, zlib.crc32(x.text.encode()) if x.text else 0, [f(k) for k in x.kids]]
-
-    return json.dumps(f(root))
+    """A reference tree: for each block in page order its label, hash of its text, and number of children."""
+    every = nodes(root)
+    return json.dumps([[x.label for x in every], [zlib.crc32(x.text.encode(errors="replace")) if x.text else 0 for x in every], [len(x.kids) for x in every]])
 
 
-def _table(a: Node, b: Node, memo: dict) -> list[list[int]]:
-    """Best matchings of the first i and j children."""
-    rows = [[0] * (len(b.kids) + 1)]
-    for x in a.kids:
-        above, row, left = rows[-1], [0], 0
-        for j, y in enumerate(b.kids):
-            best = above[j] + (matching(x, y, memo) if x.label == y.label else 0)
-            left = max(best, above[j + 1], left)
-            row.append(left)
-        rows.append(row)
-    return rows
+def reference(text: str) -> Node:
+    stack: list[tuple[Node, int]] = []
+    root = None
+    for label, crc, kids in zip(*json.loads(text), strict=True):
+        x = Node("", frozenset(), 0, label)
+        x.text = crc
+        if root is None:
+            root = x
+        else:
+            while len(stack[-1][0].kids) == stack[-1][1]:
+                stack.pop()
+            stack[-1][0].kids.append(x)
+        stack.append((x, kids))
+    return shaped(root)
+
+
+def _ends(a: list[Node], b: list[Node]) -> tuple[int, int]:
+    """How many children of one shape two lists have at their start, and then at their end."""
+    most = min(len(a), len(b))
+    n = next((k for k in range(most) if a[k].shape != b[k].shape), most)
+    m = next((k for k in range(most - n) if a[-1 - k].shape != b[-1 - k].shape), most - n)
+    return n, m
+
+
+class _Table:
+    """Best matchings of the first i of children ``a`` and the first j of ``b``, row by row."""
+
+    def __init__(self, a: list[Node], b: list[Node], weight: Callable[[Node, Node], int]) -> None:
+        self.a, self.n = a, len(b)
+        shapes: dict[int, int] = {}
+        at = np.array([shapes.setdefault(y.shape, len(shapes)) for y in b])
+        firsts = list({y.shape: y for y in reversed(b)}.values())
+        firsts.sort(key=lambda y: shapes[y.shape])
+        self.weights = {x.shape: np.array([weight(x, y) for y in firsts], np.int32)[at] for x in {x.shape: x for x in a}.values()}
+        self.step = math.isqrt(len(a)) + 1
+        self.kept = []
+        row = np.zeros(self.n + 1, np.int32)
+        for i in range(len(a)):
+            if i % self.step == 0:
+                self.kept.append(row)
+            row = self.after(row, i)
+        self.best = int(row[-1])
+
+    def after(self, row: np.ndarray, i: int) -> np.ndarray:
+        out = row.copy()
+        np.maximum(out[1:], row[:-1] + self.weights[self.a[i].shape], out=out[1:])
+        return np.maximum.accumulate(out)
+
+    def pairs(self) -> list[tuple[int, int]]:
+        out, j = [], self.n
+        for k in range(len(self.kept) - 1, -1, -1):
+            first = k * self.step
+            rows = [self.kept[k]]
+            for i in range(first, min(first + self.step, len(self.a))):
+                rows.append(self.after(rows[-1], i))
+            for i in range(len(rows) - 1, 0, -1):
+                j = int(np.searchsorted(rows[i][: j + 1], rows[i][j]))  # the first place with as much
+                if j and rows[i - 1][j] < rows[i][j]:
+                    j -= 1
+                    out.append((first + i - 1, j))
+        return out
+
+
+def _weight(memo: dict[tuple[int, int], int], x: Node, y: Node) -> int | None:
+    """Size of the largest matching of two trees where it is plain or known, else None."""
+    if x.label != y.label:
+        return 0
+    if x.shape == y.shape:
+        return x.size
+    if not x.kids or not y.kids:
+        return 1
+    return memo.get((x.shape, y.shape))
 
 
-def matching(a: Node, b: Node, memo: dict) -> int:
+def matching(a: Node, b: Node, memo: dict[tuple[int, int], int]) -> int:
     """Size of the largest top-down matching of two trees that keeps the order of siblings."""
-    if a.label != b.label:
-        return 0
-    if not a.kids or not b.kids:
-        return 1
-    key = (id(a), id(b))
-    if key not in memo:
-        n = 0
-        while n < min(len(a.kids), len(b.kids)) and a.kids[n].label == b.kids[n].label and not a.kids[n].kids and not b.kids[n].kids:
-            n += 1  # leaves that match in order match in some best matching
-        x, y = Node("", "", False), Node("", "", False)
-        x.kids, y.kids = a.kids[n:], b.kids[n:]
-        if len(x.kids) * len(y.kids) > MOST_CELLS:
-            both = [(p, q) for p, q in zip(x.kids, y.kids, strict=False) if p.label == q.label]
-            memo[key] = (1 + n + sum(matching(p, q, memo) for p, q in both), n, both)
-        else:
-            rows = _table(x, y, memo)
-            memo[key] = (1 + n + rows[-1][-1], n, (x, y, rows))
-    return memo[key][0]
+    todo = [(a, b)]
+    while todo:
+        p, q = todo[-1]
+        if _weight(memo, p, q) is not None:
+            todo.pop()
+            continue
+        n, m = _ends(p.kids, q.kids)
+        x, y = p.kids[n : len(p.kids) - m], q.kids[n : len(q.kids) - m]
+        size = 1 + sum(k.size for k in p.kids[:n]) + sum(k.size for k in p.kids[len(p.kids) - m :])
+        if x and y:
+            once, other = {k.shape: k for k in x}.values(), {k.shape: k for k in y}.values()
+            open_ = [(s, t) for s in once if s.kids for t in other if _weight(memo, s, t) is None]
+            if open_:
+                todo += open_
+                continue
+            size += _Table(x, y, lambda s, t: _weight(memo, s, t)).best
+        memo[p.shape, q.shape] = size
+        todo.pop()
+    return _weight(memo, a, b)
 
 
-def aligned(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
+def aligned(a: Node, b: Node, memo: dict[tuple[int, int], int] | None = None) -> tuple[int, list[tuple[Node, Node]]]:
     """Simple tree matching: its size, and the pairs of nodes that it aligns."""
-    memo: dict = {}
+    memo = {} if memo is None else memo
     size, out, todo = matching(a, b, memo), [], [(a, b)]
     while todo:
         p, q = todo.pop()
         if p.label != q.label:
             continue
         out.append((p, q))
-        if not p.kids or not q.kids:
-            continue
-        matching(p, q, memo)
-        _, n, rest = memo[id(p), id(q)]
+        n, m = _ends(p.kids, q.kids)
         todo += zip(p.kids[:n], q.kids[:n], strict=True)
-        if isinstance(rest, list):
-            todo += rest
-            continue
-        x, y, rows = rest
-        i, j = len(x.kids), len(y.kids)
-        while i and j:
-            if rows[i][j] == rows[i - 1][j]:
-                i -= 1
-            elif rows[i][j] == rows[i][j - 1]:
-                j -= 1
-            else:
-                i, j = i - 1, j - 1
-                todo.append((x.kids[i], y.kids[j]))
+        todo += zip(p.kids[len(p.kids) - m :], q.kids[len(q.kids) - m :], strict=True)
+        x, y = p.kids[n : len(p.kids) - m], q.kids[n : len(q.kids) - m]
+        if x and y:
+            todo += [(x[i], y[j]) for i, j in _Table(x, y, lambda s, t: matching(s, t, memo)).pairs()]
     return size, out
 
 
-def reference(text: str) -> Node:
-    def f(x: list) -> Node:
-        n = Node("", "", False)
-        n.label, n.text, n.kids = x[0], x[1], [f(k) for k in x[2]]
-        return n
-
-    root = f(json.loads(text))
-    nodes(root)
-    return root
-
-
 def best_alignment(page: Node, refs: list[Node]) -> tuple[int, list[tuple[Node, Node]]]:
     """Number of the reference that the page matches best, and the aligned nodes."""
-    tried = [aligned(page, r) for r in refs]
-    k = max(range(len(refs)), key=lambda k: (tried[k][0], -k))
-    return k, tried[k][1]
+    memo: dict[tuple[int, int], int] = {}
+    sizes = [matching(page, r, memo) for r in refs]
+    k = max(range(len(refs)), key=lambda k: (sizes[k], -k))
+    return k, aligned(page, refs[k], memo)[1]
 
 
 def main_text(root: Node) -> str:
-    """The texts of the article's blocks, or else of all, that aren't template, a line for each."""
-    every = nodes(root)
-    articles = [x for x in every if x.tag == "article"] or [x for x in every if x.tag == "main" or x.names == "main"]
-    top = root
-    if articles:
-        weight: dict[int, int] = {}
-        for x in reversed(every):
-            weight[x.at] = (0 if x.template else len(x.text)) + sum(weight[k.at] for k in x.kids)
-        top = max(articles, key=lambda x: (weight[x.at], -x.at))
-    inside = nodes(top)
-    texts = [x.text for x in inside if x.text and not x.template] or [x.text for x in inside if x.text]
-    return "\n".join(texts)
+    """The texts that aren't template of the articles, or else the main element, or else of all, a line for each."""
+    for tag in ("article", "main", "#root"):
+        inside, todo = [], [root]
+        while todo:
+            x = todo.pop()
+            if x.tag == tag:
+                inside += nodes(x)
+            else:
+                todo += reversed(x.kids)
+        if any(x.text for x in inside):
+            return "\n".join([x.text for x in inside if x.text and not x.template] or [x.text for x in inside if x.text])
+    return ""
 
 
 _MATCHED = pa.list_(pa.struct([("ref", pa.int32()), ("at", pa.int32()), ("same", pa.bool_())]))
@@ -426,7 +503,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                     made[host] = [reference(t) for t in texts]
                 root = tree(html)
                 k, pairs = best_alignment(root, made[host])
-                matched.append([{"ref": k, "at": r.at, "same": zlib.crc32(x.text.encode()) == r.text} for x, r in pairs if r.text and x.text])
+                matched.append([{"ref": k, "at": r.at, "same": zlib.crc32(x.text.encode(errors="replace")) == r.text} for x, r in pairs if r.text and x.text])
                 own = {leaf: {"path": path, "leaf": leaf, "len": len(x.text)} for x, path, leaf in named(root)}
                 found.append(list(own.values()))
                 totals.append(sum(x["len"] for x in own.values()))
@@ -442,7 +519,11 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     yes = F.lit(True).alias("same")
     paths = _by_article(seen.select("h", "page", F.explode(F.array_distinct("leaves.path")).alias("path"), yes), grouped, ["h", "path"])
     texts = _by_article(seen.select("h", "page", F.explode("leaves").alias("x"), yes).select("h", "page", "x.path", "x.leaf", "same"), grouped, ["h", "path", "leaf"])
-    fixed = texts.filter(F.col("same") >= LEAST_PAGES).drop("n").join(paths.select("h", "path", "n"), ["h", "path"]).filter(often)
+    several = F.col("same") >= LEAST_PAGES
+    shares = texts.groupBy("h", "path").agg(F.sum("same").alias("all"), F.sum(F.when(several, F.col("same")).otherwise(0)).alias("repeated"))
+    places = paths.select("h", "path", "n").join(shares.filter("repeated > 0"), ["h", "path"])
+    always = (F.col("same") >= SAME_SHARE * F.col("n")) | (F.col("repeated") >= SAME_SHARE * F.col("all"))
+    fixed = texts.filter(several).drop("n").join(places, ["h", "path"]).filter(always)
     fixed = fixed.groupBy("h").agg(F.collect_set("leaf").alias("fixed"))
     wrappers = refs.withColumn("h", F.xxhash64("host")).join(template, "h", "left").join(fixed, "h", "left").drop("h")
     wrappers = saved(wrappers.filter("template IS NOT NULL OR fixed IS NOT NULL"), "wrappers")
@@ -461,7 +542,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                     refs, sure, always = made[host]
                     k, pairs = best_alignment(root, refs)
                     for x, r in pairs:
-                        x.template = (k, r.at) in sure and zlib.crc32(x.text.encode()) == r.text
+                        x.template = (k, r.at) in sure and zlib.crc32(x.text.encode(errors="replace")) == r.text
                     for x, _, leaf in named(root) if always else []:
                         x.template = x.template or leaf in always
                 out.append(main_text(root))
