@@ -230,3 +230,26 @@ def test_session_factory_has_the_defaults(spark):
 
     s = session(app="again", spark__sql__shuffle__partitions="4")
     assert all(s.conf.get(k) == v for k, v in DEFAULTS.items() if k.startswith("spark.sql"))
+
+
+def test_what_queries_write_is_removed(spark, monkeypatch, tmp_path):
+    import os
+
+    from windrow import registry
+    from windrow.sources import scratch
+
+    real = scratch.work_dir
+    monkeypatch.setattr(scratch, "work_dir", lambda s: f"file://{tmp_path}/windrow")
+    left = lambda: os.listdir(tmp_path / "windrow") if (tmp_path / "windrow").exists() else []
+    scratch.clear()
+    assert registry.queries()["insert_select"](spark, SF).count() == 2 and len(left()) == 1
+    scratch.clear()
+    assert left() == []
+    with pytest.raises(KeyError), scratch.tidy():
+        spark.range(3).write.parquet(scratch.scratch(spark, "x"))
+        assert len(left()) == 1
+        raise KeyError
+    assert left() == []
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://somewhere:7077")
+    with pytest.raises(RuntimeError, match="checkpoint.dir"):
+        real(spark)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from windrow.operators import flow
 from windrow.registry import query
 from windrow.sources import files
-from windrow.sources.scratch import scratch
+from windrow.sources.scratch import scratch, scratch_table, tidy
 from windrow.sources.tables import table
 
 NARROW = ("l_returnflag", "l_linestatus", "l_quantity")
@@ -168,16 +168,16 @@ def text_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("insert_select", "SELECT CAST(count(1) AS BIGINT) AS res FROM (SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem) t UNION ALL SELECT CAST(count(1) AS BIGINT) FROM orders")
 def insert_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch(spark, "result-table")
-    name = path.rsplit("/", 1)[1].replace("-", "_")
-    spark.sql(f"CREATE TABLE {name} (res BIGINT) USING parquet LOCATION '{path}'")
-    for t in ("lineitem", "orders"):
-        table(spark, sf_dir, t).createOrReplaceTempView(f"{name}_{t}")
-    spark.sql(f"INSERT INTO {name} SELECT count(1) FROM (SELECT DISTINCT l_returnflag, l_linestatus FROM {name}_lineitem) t")
-    spark.sql(f"INSERT INTO {name} SELECT count(1) FROM {name}_orders")
-    for t in ("lineitem", "orders"):
-        spark.catalog.dropTempView(f"{name}_{t}")
-    spark.sql(f"DROP TABLE {name}")  # the files stay
+    with tidy():
+        name, path = scratch_table(spark, "result-table")
+        spark.sql(f"CREATE TABLE {name} (res BIGINT) USING parquet LOCATION '{path}'")
+        views = {t: f"{name}_{t}" for t in ("lineitem", "orders")}
+        for t, v in views.items():
+            table(spark, sf_dir, t).createOrReplaceTempView(v)
+        spark.sql(f"INSERT INTO {name} SELECT count(1) FROM (SELECT DISTINCT l_returnflag, l_linestatus FROM {views['lineitem']}) t")
+        spark.sql(f"INSERT INTO {name} SELECT count(1) FROM {views['orders']}")
+        for v in views.values():
+            spark.catalog.dropTempView(v)
     return spark.read.schema("res long").parquet(path)
 
 
