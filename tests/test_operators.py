@@ -238,7 +238,6 @@ def test_what_queries_write_is_removed(spark, monkeypatch, tmp_path):
     from windrow import registry
     from windrow.sources import scratch
 
-    real = scratch.work_dir
     monkeypatch.setattr(scratch, "work_dir", lambda s: f"file://{tmp_path}/windrow")
     left = lambda: os.listdir(tmp_path / "windrow") if (tmp_path / "windrow").exists() else []
     scratch.clear()
@@ -250,6 +249,6 @@ def test_what_queries_write_is_removed(spark, monkeypatch, tmp_path):
         assert len(left()) == 1
         raise KeyError
     assert left() == []
-    monkeypatch.setattr(spark.sparkContext, "master", "spark://somewhere:7077")
+    assert scratch.shared("hdfs://x/y/", "yarn") == "hdfs://x/y" and scratch.shared(None, "local[4]").startswith("file:")
     with pytest.raises(RuntimeError, match="checkpoint.dir"):
-        real(spark)
+        scratch.shared(None, "local-cluster[2,1,1024]")

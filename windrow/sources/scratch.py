@@ -44,17 +44,20 @@ class _Left:
 _SCOPES: list[_Left] = [_Left()]
 
 
-def work_dir(spark: SparkSession) -> str:
+def shared(named: str | None, master: str) -> str:
     """The shared folder that the cluster names. A temporary one only where none is named and
     driver and executors are one process; anywhere else that is an error."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
-        return f"{named.rstrip('/')}/windrow"
-    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", master):
         raise RuntimeError("spark.checkpoint.dir is not set: name a folder that all executors share")
     if not _OWN:
         _OWN.append(tempfile.TemporaryDirectory(prefix="windrow-"))
-    return f"file://{_OWN[0].name}/windrow"
+    return f"file://{_OWN[0].name}"
+
+
+def work_dir(spark: SparkSession) -> str:
+    return f"{shared(spark.conf.get('spark.checkpoint.dir', None), spark.sparkContext.master)}/windrow"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
