@@ -177,23 +177,64 @@ def brute_groups(rows, n, num, den):
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
-@pytest.mark.parametrize(("seed", "n", "num", "cells", "different", "most"), [(1, 3, 90, 3, 1, 2048), (2, 5, 80, 4, 2, 3), (3, 3, 90, 3, 1, 2)])
-def test_jaccard(spark, frame, seed, n, num, cells, different, most):
+@pytest.mark.parametrize(("seed", "n", "num", "cells", "different", "most", "many"), [(1, 3, 90, 3, 1, 2048, 64), (2, 5, 80, 4, 2, 3, 1), (3, 3, 90, 3, 1, 2, 2)])
+def test_jaccard(spark, frame, seed, n, num, cells, different, most, many):
     rng = random.Random(seed)
     rows = corpus(seed, 80)
     base = prose(rng, 120).split(" ")
     for k in range(40):  # chains of edits around the threshold
         base[rng.randrange(len(base))] = f"new{k}"
         rows.append((1000 + k, " ".join(base), "en", None, 0))
-    got = {r["id"]: (r["n_shingles"], r["component"]) for r in jaccard.similar_groups(frame(rows, extra=True), n=n, num=num, cells=cells, different=different, most_members=most).collect()}
+    for k in range(20):  # a group of near copies
+        base[5] = f"other{k}"
+        rows.append((2000 + k, " ".join(base), "en", None, 0))
+    got = {r["id"]: (r["n_shingles"], r["component"]) for r in jaccard.similar_groups(frame(rows, extra=True), n=n, num=num, cells=cells, different=different, most_members=most, many=many).collect()}
     assert got == brute_groups(rows, n, num, 100)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_jaccard_with_repeated_ids(spark, frame, seed):
+    """An id with several texts is one node: it is linked with all that any of them is."""
+    rng = random.Random(seed)
+    rows = [(rng.randrange(40), *r) for _, *r in corpus(seed, 60)]
+    numbered = [(1000 + k, *r) for k, (_, *r) in enumerate(rows)]
+    groups = brute_groups(numbered, 3, 90, 100)
+    edges = [(k, groups[k][1]) for k in groups] + [(1000 + k, r[0]) for k, r in enumerate(rows)]
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    want = sorted((r[0], groups[1000 + k][0], find(r[0])) for k, r in enumerate(rows))
+    assert sorted(map(tuple, jaccard.similar_groups(frame(rows), n=3, num=90).collect())) == want
+
+
 def test_jaccard_of_few_rows(spark, frame):
     assert jaccard.similar_groups(frame([])).count() == 0
     rows = [(4, "a b c d", "en", None, 0), (2, "A  B c D", "en", None, 0), (4, "a b c d", "en", None, 0), (9, " ", "en", None, 0), (None, "a b c d", "en", None, 0)]
     got = sorted((tuple(r) for r in jaccard.similar_groups(frame(rows), n=3, num=90).collect()), key=str)
     assert got == [(2, 2, 2), (4, 2, 2), (4, 2, 2), (9, 0, 9), (None, 2, None)]
+    x, y = "one text of some words", "another text with other words"
+    rows = [(5, x), (5, y), (2, y), (9, x), (7, x), (7, " "), (8, None)]
+    got = sorted((tuple(r) for r in jaccard.similar_groups(frame([(*r, "en", None, 0) for r in rows]), n=3, num=90).collect()), key=str)
+    assert got == [(2, 3, 2), (5, 3, 2), (5, 3, 2), (7, 0, 2), (7, 3, 2), (8, 0, 8), (9, 3, 2)]
+
+
+def test_large_groups_are_compared_by_blocks(spark):
+    """20,000 of one component and ten others: the many meet the few, and no two of the many."""
+    from pyspark.sql import functions as F
+
+    join = jaccard.Join(spark.createDataFrame([], "id long, text string"), 3, 90, 100)
+    members = spark.range(20_010).select(F.lit(1).alias("name"), "id", F.when(F.col("id") < 20_000, 7).otherwise(F.col("id")).alias("label"), F.lit(20_010).alias("size"))
+    got = join.blocks(members)
+    tasks = got.groupBy("p", "q").agg(F.count("*").alias("n"), F.sum(F.when(F.col("label") == 7, 1).otherwise(0)).alias("many")).collect()
+    assert sum(r["many"] for r in tasks) == 20_000 and max(r["n"] for r in tasks) < 1.2 * jaccard.MOST_MEMBERS
+    assert {(r["p"], r["q"]) for r in tasks} == {(0, 0), *((0, k) for k in range(1, 11))}
 
 
 @pytest.mark.parametrize(("num", "cells", "different"), [(90, 3, 1), (80, 4, 2), (80, 3, 1)])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from windrow.llm.common import saved
+from windrow.llm.common import forget, saved
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -34,7 +34,8 @@ def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     e = saved(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
     before = _state(e)
     for _ in range(most_rounds):
-        e = saved(_small(_large(e)), "edges")
+        e, last = saved(_small(_large(e)), "edges"), e
+        forget(last)
         now = _state(e)
         if now == before:
             break

@@ -13,35 +13,41 @@ shingles that some other set has among its own smallest (a prefix filter; exact)
 
 Groups of equal signatures are not expanded into pairs. First, members are compared with the
 smallest id of their group, over a part of the signatures, and components are formed; this joins
-groups of near copies by stars. Then the groups are gone through again, and only pairs from
+groups of near copies by stars. A task sends a signature once for each batch that has it, with the
+least of its members there, so a cluster that a third of all rows are in is few rows for any
+reducer. Then the groups are gone through again, and only pairs from
 different components are compared, and of these only such as counts of hashes by residue allow to
-be similar. What is left out is linked already or not similar, so components are exact.
+be similar. What is left out is linked already or not similar, so components are exact. Signatures
+that many sets of a batch have are summed up for the reducer, by their components; their
+members stay spread out and join only where the sums show several components. Of a large group, the
+members of its largest component are compared with the others by blocks, never with each other.
 
 Shingles are compared as 64-bit hashes; a collision would have to fall on a pair at the threshold.
 
 Defined results: null or blank text has an empty set and is linked with nothing; a text with
-fewer words than a shingle is one shingle; rows that repeat an id are one node; rows with a null
-id are linked with nothing and their component is null; an empty table gives no rows; other
+fewer words than a shingle is one shingle; rows that repeat an id are one node, linked with all that
+any of its texts is; rows with a null id are linked with nothing and their component is null; an empty table gives no rows; other
 columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windrow.llm.common import partitions, saved, small_batches, work_dir
+from windrow.llm.common import bucketed, buckets_for, forget, saved, small_batches
 from windrow.llm.components import components
 from windrow.llm.packed import K1, K2, K3, by_bucket, mixed, pack, packed_schema, unpack
+from windrow.sources.scratch import tidied
 from windrow.sources.tables import table
 
 #: Second-level cells of a part, and how many of them may differ.
@@ -53,6 +59,8 @@ MOST_HOT, SALTS = 1000, 32
 #: Classes that a task remembers, to drop copies before the shuffle.
 REMEMBER = 500_000
 
+#: Sets of a batch with one signature, from which on they are summed up for the reducer.
+MANY = 64
 #: Members of a group that one task compares with as many others; larger groups go to more tasks.
 MOST_MEMBERS = 2048
 #: Residues of a profile; a power of two.
@@ -80,8 +88,8 @@ def class_of(s: np.ndarray) -> bytes:
 
 
 def profile(s: np.ndarray) -> bytes:
-    """How many hashes of a set fall on each of ``PROFILE`` residues, 255 at most."""
-    return np.minimum(np.bincount((s & _U(PROFILE - 1)).astype(np.int64), minlength=PROFILE), 255).astype(np.uint8).tobytes()
+    """How many hashes of a set fall on each of ``PROFILE`` residues, 65,535 at most."""
+    return np.minimum(np.bincount((s & _U(PROFILE - 1)).astype(np.int64), minlength=PROFILE), 65_535).astype(np.uint16).tobytes()
 
 
 def overlap(size: int, num: int, den: int) -> int:
@@ -146,14 +154,31 @@ def similar(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return den * both >= num * (len(a) + len(b) - both)
 
 
+def _signed(b: pa.RecordBatch, num: int, den: int, cells: int, different: int, share: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of a batch of ``id, label, set``, their ids and labels, in order, each once."""
+    gs, ids, labels = [np.zeros(0, _U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i, label, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+        if not s:
+            continue
+        g = signatures(np.frombuffer(s, _U), num, den, cells, different)
+        g = g[g % _U(share) == 0] if share > 1 else g
+        gs.append(g)
+        ids.append(np.full(len(g), i, np.int64))
+        labels.append(np.full(len(g), label, np.int64))
+    g, i, label = np.concatenate(gs), np.concatenate(ids), np.concatenate(labels)
+    order = np.lexsort((i, g))
+    g, i, label = g[order], i[order], label[order]
+    fresh = _fresh(g, i)
+    return g[fresh], i[fresh], label[fresh]
+
+
 class Join:
     """One similarity join over the rows ``id, text`` of ``docs``."""
 
-    def __init__(self, docs: DataFrame, n: int, num: int, den: int, cells: int = CELLS, different: int = DIFFERENT, most_members: int = MOST_MEMBERS) -> None:
-        self.docs, self.n, self.num, self.den, self.cells, self.different, self.most_members = docs, n, num, den, cells, different, most_members
-        self.buckets = partitions(docs.sparkSession)
+    def __init__(self, docs: DataFrame, n: int, num: int, den: int, cells: int = CELLS, different: int = DIFFERENT, most_members: int = MOST_MEMBERS, many: int = MANY) -> None:
+        self.docs, self.n, self.num, self.den, self.cells, self.different, self.most_members, self.many = docs, n, num, den, cells, different, most_members, many
         small_batches(docs.sparkSession)
-        self.tables: list[str] = []
+        self.buckets = 1  # known when the classes are
 
     def classes(self) -> DataFrame:
         """``id, n_shingles, class``; class is null for empty sets."""
@@ -171,9 +196,6 @@ class Join:
         n, num, den, buckets = self.n, self.num, self.den, self.buckets
         shared = np.int64(-(1 << 63))  # stands for the classes that were told already
 
-        def kind(k: int, b: pa.RecordBatch) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([*b.columns, pa.array([k] * b.num_rows, pa.int8())], ["bucket", "c0", "c1", "kind"])
-
         def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: set[int] = set()
             for b in batches:
@@ -192,15 +214,15 @@ class Join:
                 h, c = np.concatenate(hs), np.concatenate(cs)
                 order = np.lexsort((c, h))
                 h, c = h[order], c[order]
-                fresh = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])])
+                fresh = _fresh(h, c)
                 h, c = h[fresh], c[fresh]
                 # A shingle that several classes of this batch have is counted for them here and
                 # sent once: what is sent of a hot one follows the batches, not the documents.
                 _, starts, counts = np.unique(h, return_index=True, return_counts=True)
                 many = np.repeat(counts > 1, counts)
                 told, k = np.unique(c[many], return_counts=True)
-                yield kind(0, pack(buckets, np.concatenate([h[~many], h[starts[counts > 1]]]), np.concatenate([c[~many], np.full((counts > 1).sum(), shared)])))
-                yield kind(1, pack(buckets, told.view(_U), k.astype(np.int64)))
+                yield _kind(0, pack(buckets, np.concatenate([h[~many], h[starts[counts > 1]]]), np.concatenate([c[~many], np.full((counts > 1).sum(), shared)])))
+                yield _kind(1, pack(buckets, told.view(_U), k.astype(np.int64)))
 
         def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hs, cs, told, ks = [], [], [], []
@@ -216,7 +238,7 @@ class Join:
                 _, starts, counts = np.unique(h, return_index=True, return_counts=True)
                 last = c[starts + counts - 1]
                 many = np.repeat((c[starts] != last) | (c[starts] == shared), counts) & (c != shared)
-                fresh = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])])
+                fresh = _fresh(h, c)
                 out_c.append(c[many & fresh])
                 out_k.append(np.ones(len(out_c[-1]), np.int64))
             if out_c:
@@ -245,72 +267,144 @@ class Join:
         made = F.pandas_udf(f, "n long, profile binary, set binary")
         # Nothing bounds the ids, so they are never broadcast, at whatever size.
         rows = self.docs.join(ids.hint("merge"), "id", "left_semi").select("id", made("text").alias("s")).select("id", "s.*")
-        name = f"windrow_sets_{uuid.uuid4().hex}"
-        rows.write.bucketBy(self.buckets, "id").sortBy("id").option("path", f"{work_dir(rows.sparkSession)}/windrow/{name}").saveAsTable(name)
-        self.tables.append(name)
-        return rows.sparkSession.table(name)
+        return rows.sparkSession.table(bucketed(rows, "sets", self.buckets, "id")[0])
 
-    def groups(self, labelled: DataFrame, share: int = 1, stars: bool = False) -> DataFrame:
-        """What shares a signature among ``id, label, set``. With ``stars``, pairs ``a, b`` of the
-        first of a group and each other; else ``name, id, label, size`` of the members of groups with
-        several labels, where groups with the same members are one."""
-        num, den, buckets, cells, different = self.num, self.den, self.buckets, self.cells, self.different
+    def stars(self, labelled: DataFrame, share: int) -> DataFrame:
+        """Pairs ``a, b`` of the least id with a signature and each other, from ``id, label, set``."""
+        buckets, how = self.buckets, (self.num, self.den, self.cells, self.different)
 
         def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                gs, ids, labels = [], [], []
-                for i, label, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                    if not s:
-                        continue
-                    g = signatures(np.frombuffer(s, _U), num, den, cells, different)
-                    g = g[g % _U(share) == 0] if share > 1 else g
-                    gs.append(g)
-                    ids.append(np.full(len(g), i, np.int64))
-                    labels.append(np.full(len(g), label, np.int64))
-                if gs:
-                    yield pack(buckets, np.concatenate(gs), np.concatenate(ids), np.concatenate(labels))
+                g, i, _ = _signed(b, *how, share)
+                starts = np.flatnonzero(_fresh(g))
+                yield _kind(0, pack(buckets, g[starts], i[starts]))
+                firsts = np.repeat(i[starts], np.diff(np.append(starts, len(g))))
+                yield _kind(1, _packed_pairs(buckets, firsts, i))
 
         def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            g, i, label = unpack(batches, "<u8", "<i8", "<i8")
+            gs, ids = [b""], [b""]
+            for b in batches:
+                pairs = pa.compute.equal(b.column("kind"), 1)
+                yield b.drop_columns(["kind"]).filter(pairs)
+                rest = b.filter(pa.compute.invert(pairs))
+                gs += rest.column("c0").to_pylist()
+                ids += rest.column("c1").to_pylist()
+            g, i = np.frombuffer(b"".join(gs), _U), np.frombuffer(b"".join(ids), np.int64)
+            order = np.lexsort((i, g))
+            g, i = g[order], i[order]
+            starts = np.flatnonzero(_fresh(g))
+            yield _packed_pairs(buckets, np.repeat(i[starts], np.diff(np.append(starts, len(g)))), i)
+
+        sent = labelled.select("id", "label", "set").mapInArrow(send, packed_schema(2) + ", kind tinyint")
+        return _pairs_once(by_bucket(sent, buckets).mapInArrow(meet, packed_schema(2)), buckets)
+
+    def groups(self, labelled: DataFrame) -> DataFrame:
+        """``name, id, label, size``: the members of groups of a signature with several labels among
+        ``id, label, set``, where groups with the same members are one."""
+        buckets, many, how = self.buckets, self.many, (self.num, self.den, self.cells, self.different)
+        ddl = packed_schema(6) + ", kind tinyint"
+        fields = pa.schema([("bucket", pa.int32()), *[(f"c{k}", pa.binary()) for k in range(6)], ("kind", pa.int8())])
+
+        def wide(kind: int, b: pa.RecordBatch) -> pa.RecordBatch:
+            none = [pa.nulls(b.num_rows, pa.binary())] * (7 - b.num_columns)
+            return pa.RecordBatch.from_arrays([*b.columns, *none, pa.array([kind] * b.num_rows, pa.int8())], schema=fields)
+
+        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                g, i, label = _signed(b, *how)
+                if not len(g):
+                    continue
+                starts = np.flatnonzero(_fresh(g))
+                counts = np.diff(np.append(starts, len(g)))
+                hot = counts > many
+                each = np.repeat(hot, counts)
+                yield wide(0, pack(buckets, g[~each], i[~each], label[~each]))
+                if hot.any():
+                    yield wide(2, pack(buckets, i[each].view(_U), g[each], label[each]))
+                    low, high, sums = np.minimum.reduceat(label, starts), np.maximum.reduceat(label, starts), np.add.reduceat(mixed(i.view(_U) + K1), starts)
+                    yield wide(1, pack(buckets, g[starts][hot], low[hot], high[hot], counts[hot], sums[hot]))
+
+        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            got: list[list[list[bytes]]] = [[[b""] for _ in range(5)] for _ in range(2)]
+            for b in batches:
+                for kind, *cols in zip(b.column("kind").to_pylist(), *(b.column(f"c{k}").to_pylist() for k in range(5)), strict=True):
+                    for to, x in zip(got[kind], cols, strict=True):
+                        to.append(x or b"")
+            g, i, label = (np.frombuffer(b"".join(x), t) for x, t in zip(got[0], (_U, np.int64, np.int64), strict=False))
+            h, low, high, some, sums = (np.frombuffer(b"".join(x), t) for x, t in zip(got[1], (_U, np.int64, np.int64, np.int64, _U), strict=True))
             order = np.lexsort((i, g))
             g, i, label = g[order], i[order], label[order]
-            if not len(g):
-                return
-            fresh = np.concatenate([[True], (g[1:] != g[:-1]) | (i[1:] != i[:-1])])
+            fresh = _fresh(g, i)
             g, i, label = g[fresh], i[fresh], label[fresh]
-            starts = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-            counts = np.diff(np.append(starts, len(g)))
-            keep = np.maximum.reduceat(label, starts) != np.minimum.reduceat(label, starts)
-            names = np.add.reduceat(mixed(i.view(_U) + K1), starts) + counts.astype(_U)
-            chosen = np.flatnonzero(keep)
-            chosen = chosen[np.unique(names[chosen], return_index=True)[1]]
-            once = np.zeros(len(starts), bool)
+            # A member counts as a sum of one.
+            all_g = np.concatenate([g, h])
+            names, at = np.unique(all_g, return_inverse=True)
+            if not len(names):
+                return
+            least, most = np.full(len(names), np.iinfo(np.int64).max), np.full(len(names), np.iinfo(np.int64).min)
+            np.minimum.at(least, at, np.concatenate([label, low]))
+            np.maximum.at(most, at, np.concatenate([label, high]))
+            size = np.zeros(len(names), np.int64)
+            np.add.at(size, at, np.concatenate([np.ones(len(g), np.int64), some]))
+            total = np.zeros(len(names), _U)
+            np.add.at(total, at, np.concatenate([mixed(i.view(_U) + K1), sums]))
+            name = (total + size.astype(_U)).view(np.int64)
+            hot = np.zeros(len(names), bool)
+            hot[at[len(g) :]] = True
+            chosen = np.flatnonzero(least != most)
+            chosen = chosen[np.unique(name[chosen], return_index=True)[1]]
+            once = np.zeros(len(names), bool)
             once[chosen] = True
-            member = np.repeat(once, counts)
-            if stars:
-                yield _packed_pairs(buckets, np.repeat(i[starts], counts)[member], i[member])
-            else:
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, counts)[member].view(np.int64)), pa.array(i[member]), pa.array(label[member]), pa.array(np.repeat(counts, counts)[member])], ["name", "id", "label", "size"])
+            member, to = once[at[: len(g)]], at[: len(g)]
+            rows = [name[to][member], i[member], label[member], size[to][member]]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, rows), pa.nulls(int(member.sum()), pa.int64())], ["name", "id", "label", "size", "hot"])
+            k = np.flatnonzero(once & hot)  # whose other members are still to come
+            yield pa.RecordBatch.from_arrays([pa.array(name[k]), pa.nulls(len(k), pa.int64()), pa.nulls(len(k), pa.int64()), pa.array(size[k]), pa.array(names[k].view(np.int64))], ["name", "id", "label", "size", "hot"])
 
-        packed = labelled.select("id", "label", "set").mapInArrow(send, packed_schema(3))
-        met = by_bucket(packed, buckets)
-        return _pairs_once(met.mapInArrow(meet, packed_schema(2)), buckets) if stars else met.mapInArrow(meet, "name long, id long, label long, size long").distinct()
+        def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                cols = [np.frombuffer(b"".join(b.column(f"c{k}").to_pylist()), np.int64) for k in (1, 0, 2)]
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, cols)), ["hot", "id", "label"])
+
+        sent = saved(labelled.select("id", "label", "set").mapInArrow(send, ddl), "signatures")
+        met = saved(by_bucket(sent.filter("kind < 2"), buckets).mapInArrow(meet, "name long, id long, label long, size long, hot long"), "groups")
+        members = met.filter("id is not null").select("name", "id", "label", "size")
+        hot = met.filter("hot is not null").select("hot", "name", "size")
+        if hot.isEmpty():
+            return members.distinct()
+        late = sent.filter("kind = 2").mapInArrow(spread, "hot long, id long, label long").join(hot, "hot")
+        return members.unionAll(late.select("name", "id", "label", "size")).distinct()
+
+    def blocks(self, members: DataFrame) -> DataFrame:
+        """``name, p, q, block, id, label``: the members once for each comparison of two blocks. The
+        largest component of a large group has blocks of its own, which only others are compared with."""
+        most = self.most_members
+        large = members.filter(F.col("size") > most).groupBy("name", "label").agg(F.count(F.lit(1)).alias("k"), F.max("size").alias("size"))
+        large = large.groupBy("name").agg(F.max_by("label", F.struct("k", "label")).alias("major"), F.max("size").alias("all"), F.max("k").alias("k"))
+        few = F.coalesce(F.ceil((F.col("all") - F.col("k")) / most), F.lit(1)).cast("int")
+        d = members.join(large, "name", "left").withColumns({"few": few, "rest": F.coalesce(F.ceil(F.col("k") / most), F.lit(0)).cast("int"), "minor": F.coalesce(F.col("label") != F.col("major"), F.lit(True))})
+        nth = F.pmod(F.xxhash64("id"), F.when(F.col("minor"), F.col("few")).otherwise(F.col("rest"))).cast("int")
+        d = d.withColumn("block", F.when(F.col("minor"), nth).otherwise(F.col("few") + nth))
+        pair = lambda x, y: F.struct(x.alias("p"), y.alias("q"))
+        to_few = F.sequence(F.lit(0), F.col("few") - 1)
+        to_rest = F.when(F.col("rest") > 0, F.transform(F.sequence(F.lit(0), F.col("rest") - 1), lambda j: pair(F.col("block"), F.col("few") + j))).otherwise(F.array().cast("array<struct<p:int,q:int>>"))
+        minor = F.concat(F.transform(to_few, lambda j: pair(F.least("block", j), F.greatest("block", j))), to_rest)
+        both = F.when(F.col("minor"), minor).otherwise(F.transform(to_few, lambda j: pair(j, F.col("block"))))
+        return d.select("name", "id", "label", "block", F.explode(both).alias("t")).select("name", "t.p", "t.q", "block", "id", "label")
 
     def close(self, members: DataFrame, sets: DataFrame) -> DataFrame:
         """Pairs ``a, b`` of a group with different labels whose sizes and profiles allow a link:
         what two profiles differ by, two sets differ by at least."""
         num, den, buckets = self.num, self.den, self.buckets
 
-        def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table_ = pa.Table.from_batches(list(batches))
-            name, p, q, block, ids, label, n = (table_.column(k).to_numpy() for k in ("name", "p", "q", "block", "id", "label", "n"))
-            profiles = np.frombuffer(b"".join(table_.column("profile").to_pylist()), np.uint8).reshape(-1, PROFILE)
-            order = np.lexsort((n, q, p, name))
-            name, p, q, block, ids, label, n, profiles = (x[order] for x in (name, p, q, block, ids, label, n, profiles.astype(np.int16)))
-            starts = np.flatnonzero(np.concatenate([[True], (name[1:] != name[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])])) if len(name) else []
+        def compared(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            """The pairs of whole groups, in order of their sizes within each."""
+            p, q, block, ids, label, n = (t.column(k).to_numpy() for k in ("p", "q", "block", "id", "label", "n"))
+            profiles = np.frombuffer(b"".join(t.column("profile").to_pylist()), np.uint16).reshape(-1, PROFILE).astype(np.int32)
+            starts = np.flatnonzero(_fresh(t.column("name").to_numpy(), p, q))
             found: list[tuple[np.ndarray, np.ndarray]] = []
             held = 0
-            for s, e in zip(starts, [*starts[1:], len(name)], strict=True):
+            for s, e in zip(starts, [*starts[1:], len(p)], strict=True):
                 for k in range(s, e - 1):  # sizes rise, so partners are those that follow, up to a size
                     far = s + np.searchsorted(n[s:e], den * n[k] // num, side="right")
                     at = np.arange(k + 1, far)
@@ -319,8 +413,7 @@ class Join:
                         apart = np.abs(profiles[at] - profiles[k]).sum(axis=1, dtype=np.int64)
                         at = at[(den + num) * apart <= (den - num) * (n[at] + n[k])]
                         if len(at):
-                            x = np.full(len(at), ids[k])
-                            found.append((np.minimum(x, ids[at]), np.maximum(x, ids[at])))
+                            found.append((np.full(len(at), ids[k]), ids[at]))
                             held += len(at)
                 if held > 500_000:
                     yield _packed_pairs(buckets, *map(np.concatenate, zip(*found, strict=True)))
@@ -328,12 +421,20 @@ class Join:
             if found:
                 yield _packed_pairs(buckets, *map(np.concatenate, zip(*found, strict=True)))
 
-        # A group of several blocks is compared block by block, each two of them in one task.
-        blocks = F.ceil(F.col("size") / self.most_members).cast("int")
-        two = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least("block", j).alias("p"), F.greatest("block", j).alias("q")))
-        dealt = members.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).select("name", "id", "label", "block", F.explode(two).alias("t"))
-        rows = dealt.join(sets.select("id", "n", "profile"), "id").select("name", "t.p", "t.q", "block", "id", "label", "n", "profile")
-        return _pairs_once(rows.repartition("name", "p", "q").mapInArrow(f, packed_schema(2)), buckets)
+        def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: pa.Table | None = None  # a group that the next batch may go on with
+            for b in batches:
+                t = pa.Table.from_batches([b])
+                t = t if held is None else pa.concat_tables([held, t])
+                starts = np.flatnonzero(_fresh(*(t.column(k).to_numpy() for k in ("name", "p", "q"))))
+                whole = int(starts[-1]) if len(starts) else 0
+                yield from compared(t.slice(0, whole)) if whole else ()
+                held = t.slice(whole).combine_chunks()
+            if held is not None and held.num_rows:
+                yield from compared(held)
+
+        rows = self.blocks(members).join(sets.select("id", "n", "profile"), "id").select("name", "p", "q", "block", "id", "label", "n", "profile")
+        return _pairs_once(rows.repartition("name", "p", "q").sortWithinPartitions("name", "p", "q", "n").mapInArrow(f, packed_schema(2)), buckets)
 
     def linked(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """Those of the pairs ``a, b`` that are similar."""
@@ -356,23 +457,51 @@ class Join:
     def run(self) -> DataFrame:
         """``id, n_shingles, component`` for each row."""
         docs = saved(self.classes(), "classes")
-        named = docs.filter(F.col("id").isNotNull() & F.col("class").isNotNull())
+        spark, known = docs.sparkSession, docs.filter(F.col("id").isNotNull())
+        self.buckets = buckets_for(spark, 8 * (docs.agg(F.sum("n_shingles")).first()[0] or 0))
+        named = known.filter(F.col("class").isNotNull())
         reps = named.groupBy("class").agg(F.min("id").alias("id"), F.min("n_shingles").alias("n_shingles"))
         reps = saved(reps, "class-reps")
+        own = self.repeated(known, reps)
         need = _needed(reps, self.num, self.den)
-        hopeful = saved(need.join(self.hopeful(), "short").filter("k >= m").select("id"), "hopeful")
+        hopeful = saved(need.join(self.hopeful(), "short").filter("k >= m").select("id").distinct(), "hopeful")
         sets = self.sets(hopeful)
-        stars = saved(self.groups(sets.withColumn("label", F.col("id")), STAR_SHARE, stars=True), "stars")
-        first = saved(self.linked(stars, sets), "links")
+        stars = saved(self.stars(sets.withColumn("label", F.col("id")), STAR_SHARE), "stars")
+        first = saved(own.unionAll(self.linked(stars, sets)), "links")
         linked = saved(components(first), "components")
         labelled = sets.join(linked, "id", "left").select("id", F.coalesce("component", "id").alias("label"), "set")
-        rest = saved(self.close(self.groups(labelled), sets), "pairs")
+        members = saved(self.groups(labelled), "members")
+        rest = saved(self.close(members, sets), "pairs")
         more = self.linked(rest, sets)
         linked = saved(components(first.unionAll(more)), "components")
-        for name in self.tables:
-            docs.sparkSession.sql(f"DROP TABLE {name}")
-        members = reps.select("class", F.col("id").alias("rep")).join(linked.withColumnRenamed("id", "rep"), "rep", "left").select("class", F.coalesce("component", "rep").alias("component"))
-        return docs.join(members, "class", "left").select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component"))
+        for t in (stars, first, members, rest, hopeful):
+            forget(t)
+        to = reps.select("class", F.col("id").alias("rep")).join(linked.withColumnRenamed("id", "rep"), "rep", "left").select("class", F.coalesce("component", "rep").alias("component"))
+        some = docs.filter(F.col("class").isNotNull()).join(to, "class", "left").select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
+        none = docs.filter(F.col("class").isNull()).join(linked, "id", "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component"))
+        return some.unionAll(none)
+
+    def repeated(self, known: DataFrame, reps: DataFrame) -> DataFrame:
+        """Links ``a, b`` of the ids that have several texts with the least id of each of these."""
+        h = F.xxhash64("class")  # the same for all empty texts
+        several = known.groupBy("id").agg(F.min(h).alias("x"), F.max(h).alias("y")).filter("x <> y").select("id")
+        several = saved(several, "repeated-ids")
+        links = known.join(several, "id").select("id", "class").join(reps.select("class", F.col("id").alias("rep")), "class")
+        return links.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()
+
+
+def _kind(k: int, b: pa.RecordBatch) -> pa.RecordBatch:
+    """A packed batch of two columns, marked."""
+    return pa.RecordBatch.from_arrays([*b.columns, pa.array([k] * b.num_rows, pa.int8())], ["bucket", "c0", "c1", "kind"])
+
+
+def _fresh(*sorted_columns: np.ndarray) -> np.ndarray:
+    """Where rows in order differ from the row before."""
+    out = np.zeros(len(sorted_columns[0]), bool)
+    out[:1] = True
+    for c in sorted_columns:
+        out[1:] |= c[1:] != c[:-1]
+    return out
 
 
 def _needed(reps: DataFrame, num: int, den: int) -> DataFrame:
@@ -392,12 +521,11 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _unique_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct pairs with a < b."""
-    a, b = a[a < b], b[a < b]
+    """The distinct pairs of different ids, the lesser first."""
+    a, b = np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
     order = np.lexsort((b, a))
     a, b = a[order], b[order]
-    fresh = np.ones(len(a), bool)
-    fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    fresh = _fresh(a, b)
     return a[fresh], b[fresh]
 
 
@@ -417,9 +545,10 @@ def _pairs_once(packed: DataFrame, buckets: int) -> DataFrame:
     return by_bucket(packed, buckets).mapInArrow(f, "a long, b long")
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100, cells: int = CELLS, different: int = DIFFERENT, most_members: int = MOST_MEMBERS) -> DataFrame:
+@tidied
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100, cells: int = CELLS, different: int = DIFFERENT, most_members: int = MOST_MEMBERS, many: int = MANY) -> DataFrame:
     """``id, n_shingles, component``: groups by links of Jaccard similarity num / den or more."""
-    return Join(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), n, num, den, cells, different, most_members).run()
+    return Join(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), n, num, den, cells, different, most_members, many).run()
 
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
