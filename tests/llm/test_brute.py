@@ -100,11 +100,24 @@ def test_substrings(spark, frame, monkeypatch, seed, per_group, hot):
     assert got == brute_windows(rows)
 
 
+def test_nothing_goes_but_by_the_sorted_suffixes(monkeypatch):
+    same, other = b"the same bytes in several documents, and more than fifty", b"the same bytes in several documents, and more than sixty of them"
+    names = {1: {same: [(7, 0), (3, 0), (9, 0)]}, 2: {same: [(4, 0)], other: [(5, 0), (2, 0)]}, 3: {other: [(8, 0), (8, 5)]}}
+    assert sorted(substrings.gone(names)) == [((3, 0), 0, 51), ((4, 0), 0, 51), ((5, 0), 0, 64), ((7, 0), 0, 56), ((9, 0), 0, 56)]
+    monkeypatch.setattr(substrings, "suffix_order", lambda t, depth: np.zeros(0, np.int64))
+    assert list(substrings.gone(names)) == []
+
+
 def test_substrings_of_few_rows(spark, frame):
     assert substrings.dedup_substrings(frame([])).count() == 0
     rows = [(5, "x" * 80, "en", None, 0)] * 2 + [(None, "x" * 60, "en", None, 0), (6, None, "en", None, 0)]
     got = sorted(((r["id"], r["n_removed"], bytes(r["kept"])) for r in substrings.dedup_substrings(frame(rows)).collect()), key=str)
     assert got == [(5, 0, b"x" * 80), (5, 0, b"x" * 80), (6, 0, b""), (None, 60, b"")]
+    last = (1 << 63) - 1
+    rows = [(i, "y" * 70, "en", None, 0) for i in (None, last, None)] + [(-last - 1, "z" * 50, "en", None, 0), (None, "z" * 50, "en", None, 0)]
+    for per_group in (1, 100):
+        got = sorted(((r["id"], r["n_removed"]) for r in substrings.dedup_substrings(frame(rows), rows_per_group=per_group).collect()), key=str)
+        assert got == [(-last - 1, 0), (last, 0), (None, 50), (None, 70), (None, 70)]
 
 
 # -- packing ----------------------------------------------------------------------------------

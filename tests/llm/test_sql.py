@@ -60,6 +60,10 @@ def test_repeated_rows(spark, frame):
     assert got == [(1, 1, 1, True), (1, 1, 2, True), (1, 1, 2, True), (2, 2, 1, True)]
     kept = sorted((r["doc"]["doc_id"], r["text"], r["n_dropped"]) for r in lines.dedup_lines(frame(rows)).collect())
     assert kept == [(1, "a line of some length\nb", 0)] * 2 + [(1, "a line of some length\nother", 0), (2, "c", 1)]
+    last = (1 << 63) - 1
+    rows = [(i, t, "en", "s", 1) for i, t in ((None, "a line of some length\nb"), (last, "a line of some length"), (None, "only without an id"), (None, "only without an id\nc"), (-last - 1, "B"))]
+    kept = sorted(((r["doc"]["doc_id"], r["text"], r["n_dropped"]) for r in lines.dedup_lines(frame(rows)).collect()), key=str)
+    assert kept == sorted([(-last - 1, "B", 0), (last, "a line of some length", 0), (None, "b", 1), (None, "only without an id", 0), (None, "only without an id\nc", 0)], key=str)
 
 
 @pytest.mark.parametrize("digest_bytes", [0, 1])

@@ -17,7 +17,6 @@ an empty table gives no rows; other columns are carried along untouched.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,13 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windrow.llm.common import partitions, save, saved, small_batches, work_dir
+from windrow.llm.common import bucketed, partitions, save, saved, small_batches
+from windrow.sources.scratch import tidied
 from windrow.sources.tables import table
 
 LEAST_CHARS = 10
 BATCHES = 6
 FANOUT = 3
-LAST_ID = (1 << 63) - 1
 
 _BLANK = b" \t\n\v\f\r"
 
@@ -53,10 +52,7 @@ class Runs:
         self.buckets = partitions(spark)
 
     def write(self, run: DataFrame) -> tuple[str, str]:
-        name = f"windrow_run_{uuid.uuid4().hex}"
-        path = f"{work_dir(self.spark)}/windrow/{name}"
-        run.repartition(self.buckets, "hash").write.bucketBy(self.buckets, "hash").sortBy("hash").option("path", path).saveAsTable(name)
-        return name, path
+        return bucketed(run.repartition(self.buckets, "hash"), "run", self.buckets, "hash")
 
     def unseen(self, hashes: DataFrame) -> DataFrame:
         """``hashes`` less those that a run holds."""
@@ -76,23 +72,16 @@ class Runs:
             for t in tables[1:]:
                 merged = merged.unionAll(t)
             self.levels.setdefault(level + 1, []).append(self.write(merged))
-            for n, _ in self.levels[level]:
-                self.spark.sql(f"DROP TABLE {n}")  # the files stay for readers of the run
             self.levels[level] = []
             level += 1
         return path
 
-    def close(self) -> None:
-        for level in self.levels.values():
-            for n, _ in level:
-                self.spark.sql(f"DROP TABLE {n}")
-
 
 def dropped_lines(docs: DataFrame, id_col: str, text_col: str, batches: int = BATCHES, fanout: int = FANOUT, least_chars: int = LEAST_CHARS) -> DataFrame:
     """``id, row, drops``: for each document that loses lines, their numbers in order."""
     spark = docs.sparkSession
     small_batches(spark)
-    d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
+    d = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
     bounds = d.agg(F.percentile_approx("id", [k / batches for k in range(1, batches)], 1000).alias("q")).first()["q"] or []
 
     def hashes(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,16 +100,16 @@ def dropped_lines(docs: DataFrame, id_col: str, text_col: str, batches: int = BA
     lines = d.mapInArrow(hashes, "id long, row long, at int, hash binary")
     nth = F.lit(0)
     for b in sorted(set(bounds)):
-        nth = nth + (F.col("id") > b).cast("int")
+        nth = nth + F.coalesce(F.col("id") > b, F.lit(True)).cast("int")
     lines = saved(lines.withColumn("batch", nth), "lines", "batch")
     runs, out = Runs(spark, fanout), []
     for k in range(len(set(bounds)) + 1):
         batch = lines.filter(F.col("batch") == k)
         own = runs.add(batch.groupBy("hash").agg(F.min("id").alias("owner")))
-        owned = spark.read.schema("hash binary, owner long").parquet(own).select("hash", F.col("owner").alias("id"))
-        gone = batch.join(owned, ["hash", "id"], "left_anti")
+        # Only documents without an id hold what a null owns, since the least id is an id if there is one.
+        owned = spark.read.schema("hash binary, owner long").parquet(own).withColumnRenamed("hash", "own")
+        gone = batch.join(owned, (F.col("hash") == F.col("own")) & F.col("id").eqNullSafe(F.col("owner")), "left_anti")
         out.append(save(gone.groupBy("id", "row").agg(F.sort_array(F.collect_set("at")).alias("drops")), "dropped-lines"))
-    runs.close()
     return spark.read.schema("id long, row long, drops array<int>").parquet(*out)
 
 
@@ -133,11 +122,12 @@ def _without(text: pd.Series, drops: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["text", "n_lines", "n_dropped"])
 
 
+@tidied
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
     """``docs`` as structs ``doc`` with ``text, n_lines, n_dropped``: the text that is left."""
     drops = dropped_lines(docs, id_col, text_col, **options)
-    d = docs.select(F.struct("*").alias("doc"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id_"), F.xxhash64(text_col).alias("row_"), F.col(text_col).alias("text_"))
-    joined = d.join(drops, (d["id_"] == drops["id"]) & (d["row_"] == drops["row"]), "left")
+    d = docs.select(F.struct("*").alias("doc"), F.col(id_col).cast("long").alias("id_"), F.xxhash64(text_col).alias("row_"), F.col(text_col).alias("text_"))
+    joined = d.join(drops, d["id_"].eqNullSafe(drops["id"]) & (d["row_"] == drops["row"]), "left")
     without = F.pandas_udf(_without, "text string, n_lines long, n_dropped long")
     return joined.select("doc", without("text_", "drops").alias("r")).select("doc", "r.*")
 

@@ -7,37 +7,40 @@ occur elsewhere need it:
 * Every window is named by the least hash of the ``GRAM``-byte strings in it, so that equal
   windows have equal names, and windows that follow each other mostly share one. Names that occur
   in two documents are found by a packed shuffle of 8 bytes for each run of windows.
-* Runs with such a name go, with the bytes they span (contexts), to the bucket of the name. Equal
-  contexts are one there, kept for the smallest id. Where a name has several contexts, these are
-  joined and suffix-sorted in two stages: suffixes not larger than their successors are sorted
+* Runs with such a name span bytes (contexts). Contexts with one name are joined and
+  suffix-sorted in two stages: suffixes not larger than their successors are sorted
   directly, the others follow by one scan over the buckets of first bytes. Adjacent common
-  prefixes of at least a window are groups of equal windows; the smallest id of a group keeps it.
+  prefixes of at least a window are groups of equal windows, and the smallest id of a group keeps
+  it. Equal contexts are in the text that is sorted once, with all their holders.
+* This is done twice: among the contexts of a group of documents, and then, for the contexts that
+  another group may have too, in the bucket of the name, where each group sends a context once, for
+  its smallest id. No byte goes but by these groups of equal windows.
 * The runs that go are returned to their documents.
 
 A phrase that very many groups have, in different surroundings, would bring all of these together.
 Names of more than ``HOT_GROUPS`` groups therefore part by a second hash of their windows, which
 equal windows share as well.
 
-Documents are dealt to groups of about ``ROWS_PER_GROUP`` by a hash of the id, and what a group has
+Documents are dealt to groups of about ``ROWS_PER_GROUP`` by a hash of the row, and what a group has
 several times leaves it once: a passage that a third of all documents share costs one context for
 each group. Texts are shuffled once, by group; the three passes over them reuse that.
 
 Defined results: null text counts as empty; texts under a window lose nothing; rows that repeat an
-id are one document and lose nothing to each other; a null id comes after all others; an empty
-table gives no rows; other columns are ignored.
+id are one document and lose nothing to each other; so are rows with a null id, which comes after
+all others; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windrow.llm.common import partitions, small_batches
+from windrow.llm.common import buckets_for, small_batches
 from windrow.llm.packed import K1, K2, by_bucket, mixed, pack, packed_schema, short, unpack
 from windrow.sources.tables import table
 
@@ -48,7 +51,10 @@ ROWS_PER_GROUP, BYTES_PER_GROUP = 1500, 16 << 20
 HOT_GROUPS = 10_000
 #: Bytes of contexts that are suffix-sorted at once, as long as one name's fit.
 BLOCK = 1 << 19
-LAST_ID = (1 << 63) - 1
+#: Stands for a null id: above all others.
+LAST = 1 << 63
+#: Marks the row of a null id.
+_NULL = 1 << 30
 
 _U = np.uint64
 _END = b"\xff"  # in no UTF-8 text
@@ -121,8 +127,8 @@ def same_as_previous(t: bytes, order: np.ndarray, depth: int = WINDOW) -> np.nda
     return same
 
 
-def repeated(contexts: list[bytes], ids: list[int], window: int = WINDOW) -> list[np.ndarray]:
-    """For each context, which of its windows also start in a context with a smaller id."""
+def least_holders(contexts: list[bytes], holders: list[int], window: int = WINDOW) -> list[np.ndarray]:
+    """For each context and each of its windows, the least holder of a context with an equal one."""
     t = _END.join(contexts) + _END
     lengths = np.array([len(x) for x in contexts])
     firsts = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
@@ -131,11 +137,39 @@ def repeated(contexts: list[bytes], ids: list[int], window: int = WINDOW) -> lis
     order = suffix_order(t, window)
     order = order[offset[order] <= lengths[owner[order]] - window]
     start = np.flatnonzero(~same_as_previous(t, order, window))
-    docs = np.array(ids)[owner[order]]
-    least = np.repeat(np.minimum.reduceat(docs, start), np.diff(np.append(start, len(order)))) if len(order) else docs
-    gone = np.zeros(len(t), dtype=bool)
-    gone[order] = docs > least
-    return [gone[f : f + n - window + 1] for f, n in zip(firsts.tolist(), lengths.tolist(), strict=True)]
+    held = np.array(holders)[owner[order]]
+    least = np.full(len(t), np.iinfo(np.int64).max)
+    if len(order):
+        least[order] = np.repeat(np.minimum.reduceat(held, start), np.diff(np.append(start, len(order))))
+    return [least[f : f + n - window + 1] for f, n in zip(firsts.tolist(), lengths.tolist(), strict=True)]
+
+
+#: Contexts by their names, and by their bytes the occurrences: the document and where it has them.
+Names = dict[int, dict[bytes, list[tuple[int, ...]]]]
+
+
+def gone(names: Names, window: int = WINDOW) -> Iterator[tuple[tuple[int, ...], int, int]]:
+    """Occurrences with the stretches of their contexts that a smaller document has as well."""
+    block: list[tuple[bytes, list[tuple[int, ...]]]] = []
+    held = 0
+    for same in [*names.values(), None]:
+        if same is not None:
+            docs = {at[0] for where in same.values() for at in where}
+            if len(docs) > 1:
+                block += same.items()
+                held += sum(map(len, same))
+        if block and (same is None or held >= BLOCK):
+            rank = {d: k for k, d in enumerate(sorted({at[0] for _, where in block for at in where}))}
+            holders = [min(rank[at[0]] for at in where) for _, where in block]
+            for (c, where), least in zip(block, least_holders([c for c, _ in block], holders, window), strict=True):
+                low, high = int(least.min()), int(least.max())
+                for at in where:
+                    if (r := rank[at[0]]) > high:
+                        yield at, 0, len(c)
+                    elif r > low:
+                        for x, y in zip(*(z.tolist() for z in spans(r > least)), strict=True):
+                            yield at, x, y + window - 1
+            block, held = [], 0
 
 
 def spans(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,19 +180,18 @@ def spans(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _rows(t: pa.Table) -> list[tuple[int, bytes]]:
     """Documents of a group in the order that numbers them."""
-    return sorted(zip(t.column("id").to_pylist(), t.column("b").to_pylist(), strict=True))
+    return sorted((LAST if i is None else i, b) for i, b in zip(t.column("id").to_pylist(), t.column("b").to_pylist(), strict=True))
 
 
 class Repeats:
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, window: int = WINDOW, gram: int = GRAM, rows_per_group: int = ROWS_PER_GROUP, hot_groups: int = HOT_GROUPS) -> None:
         self.window, self.gram, self.hot_groups = window, gram, hot_groups
-        self.buckets = partitions(docs.sparkSession)
         small_batches(docs.sparkSession)
         n, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()
+        self.buckets = buckets_for(docs.sparkSession, 4 * size)
         groups = max(1, n // rows_per_group, size // BYTES_PER_GROUP)
-        i = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID))
-        d = docs.select(i.alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("b"))
-        self.docs = d.select(F.pmod(F.xxhash64("id"), F.lit(groups)).alias("g"), "id", "b").repartition(self.buckets, "g")
+        d = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("b"))
+        self.docs = d.select(F.pmod(F.xxhash64("id", "b"), F.lit(groups)).alias("g"), "id", "b").repartition(self.buckets, "g")
 
     def shared(self) -> DataFrame:
         """``g, names, hot``: the names that a group has in common with another, and whether that
@@ -186,10 +219,10 @@ class Repeats:
         return by_bucket(sent, buckets).mapInArrow(meet, "g long, names binary, hot binary")
 
     def contexts(self, shared: DataFrame) -> DataFrame:
-        """Packed contexts for the buckets of their names (kind 0) and runs that go at once (kind 1)."""
+        """Packed contexts for the buckets of their names (kind 0) and stretches that go for the group alone (kind 1)."""
         window, gram, buckets = self.window, self.gram, self.buckets
 
-        def again(b: bytes, name: int, start: int, end: int) -> list[tuple[int, int, int]]:
+        def again(b: bytes, name: int, start: int, end: int) -> Iterable[tuple[int, int, int]]:
             """A context of a hot name in parts by the second names of its windows."""
             both = zip(*(x.tolist() for x in runs(b[start:end], window, gram, 1)), strict=True)
             return [((name ^ h * int(K2)) % (1 << 64), start + s, start + e + window - 1) for h, s, e in both]
@@ -199,38 +232,39 @@ class Repeats:
             found = [runs(b, window, gram) for _, b in docs]
             halves = [short(h) for h, _, _ in found]
             own = np.sort(np.concatenate([np.zeros(0, np.uint32), *map(np.unique, halves)]))
-            told = [np.frombuffer(x, np.uint32) for x in replies.column("names").to_pylist()]
-            names = np.unique(np.concatenate([own[1:][own[1:] == own[:-1]], *told]))
-            hot = {int(x) for n, f in zip(told, replies.column("hot").to_pylist(), strict=True) for x in n[np.frombuffer(f, bool)]}
-            seen: dict[tuple[int, bytes], int] = {}
-            keep: list[tuple[int, int, int, int, bytes]] = []
-            gone: list[tuple[int, int, int]] = []
+            told = np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(x, np.uint32) for x in replies.column("names").to_pylist())])
+            hot = set(told[np.frombuffer(b"".join(replies.column("hot").to_pylist()), bool)].tolist())
+            names = np.unique(np.concatenate([own[1:][own[1:] == own[:-1]], told]))
+            told = np.sort(told)
+            here: Names = {}
+            outside: set[int] = set()
             for r, ((i, b), (h, s, e), half) in enumerate(zip(docs, found, halves, strict=True)):
                 if not len(names) or not len(h):
                     continue
-                at = np.searchsorted(names, half)
-                ok = names[np.minimum(at, len(names) - 1)] == half
-                cuts = zip(h[ok].tolist(), s[ok].tolist(), (e[ok] + window - 1).tolist(), strict=True)
-                if hot and not hot.isdisjoint(half[ok].tolist()):
-                    cuts = [x for n, cut in zip(half[ok].tolist(), cuts, strict=True) for x in (again(b, *cut) if n in hot else [cut])]
-                for name, start, end in cuts:
-                    c = b[start:end]
-                    if seen.setdefault((name, c), i) == i:
-                        keep.append((name, i, r, start, c))
-                    else:
-                        gone.append((r, start, end))
+                ok = names[np.minimum(np.searchsorted(names, half), len(names) - 1)] == half
+                away = told[np.minimum(np.searchsorted(told, half[ok]), len(told) - 1)] == half[ok] if len(told) else np.zeros(int(ok.sum()), bool)
+                for name, part, start, end, out in zip(h[ok].tolist(), half[ok].tolist(), s[ok].tolist(), (e[ok] + window - 1).tolist(), away.tolist(), strict=True):
+                    for x, a, z in again(b, name, start, end) if part in hot else ((name, start, end),):
+                        here.setdefault(x, {}).setdefault(b[a:z], []).append((i, r, a))
+                        if out:
+                            outside.add(x)
             g = t.column("g")[0].as_py()
             rows = []
+            keep = [(x, *min(where), c) for x in outside for c, where in here[x].items()]
             if keep:
-                h, i, r, s, c = (np.array(x, ty) for x, ty in zip(zip(*keep, strict=True), (_U, np.int64, np.int32, np.int32, object), strict=True))
+                h, r, s, c = (np.array(x, ty) for x, ty in zip((x for k, x in enumerate(zip(*keep, strict=True)) if k != 1), (_U, np.int32, np.int32, object), strict=True))
+                null = np.array([k[1] == LAST for k in keep])
+                i = np.array([0 if k[1] == LAST else k[1] for k in keep], np.int64)
+                r |= np.where(null, _NULL, 0).astype(np.int32)
                 to = (mixed(h) % _U(buckets)).astype(np.int32)
                 order = np.argsort(to, kind="stable")
                 used, at = np.unique(to[order], return_index=True)
                 for bucket, some in zip(used.tolist(), np.split(order, at[1:]), strict=True):
                     texts = c[some].tolist()
                     rows.append((bucket, g, 0, short(h[some]).tobytes(), i[some].tobytes(), r[some].tobytes(), s[some].tobytes(), np.array([len(x) for x in texts], np.int32).tobytes(), b"".join(texts)))
-            if gone:
-                r, s, e = (np.array(x, np.int32).tobytes() for x in zip(*gone, strict=True))
+            lost = [(at[1], at[2] + x, at[2] + y) for at, x, y in gone(here, window)]
+            if lost:
+                r, s, e = (np.array(x, np.int32).tobytes() for x in zip(*lost, strict=True))
                 rows.append((g % buckets, g, 1, None, None, r, s, e, None))
             cols = list(zip(*rows, strict=True)) or [()] * 9
             kinds = (pa.int32(), pa.int64(), pa.int8(), *[pa.binary()] * 6)
@@ -244,7 +278,7 @@ class Repeats:
 
         def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out: dict[int, list[tuple[int, int, int]]] = {}
-            names: dict[int, dict[bytes, list[tuple[int, int, int, int]]]] = {}
+            names: Names = {}
             for batch in batches:
                 for _, g, kind, h, i, r, s, n, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                     rs, ss, ns = (np.frombuffer(x, np.int32).tolist() for x in (r, s, n))
@@ -253,33 +287,11 @@ class Repeats:
                         continue
                     at = 0
                     for name, doc, row, start, size in zip(np.frombuffer(h, np.uint32).tolist(), np.frombuffer(i, np.int64).tolist(), rs, ss, ns, strict=True):
-                        names.setdefault(name, {}).setdefault(c[at : at + size], []).append((doc, g, row, start))
+                        who, row = (LAST, row ^ _NULL) if row & _NULL else (doc, row)
+                        names.setdefault(name, {}).setdefault(c[at : at + size], []).append((who, g, row, start))
                         at += size
-            block: list[tuple[bytes, int, list]] = []
-            held = 0
-
-            def sort_block() -> None:
-                for (c, doc, where), flags in zip(block, repeated([x[0] for x in block], [x[1] for x in block], window), strict=True):
-                    for a, e in zip(*(x.tolist() for x in spans(flags)), strict=True):
-                        for d, g, row, start in where:
-                            if d == doc:
-                                out.setdefault(g, []).append((row, start + a, start + e + window - 1))
-                block.clear()
-
-            for same in names.values():
-                for c, where in same.items():
-                    least = min(where)[0]
-                    for d, g, row, start in where:
-                        if d > least:
-                            out.setdefault(g, []).append((row, start, start + len(c)))
-                    if len(same) > 1:
-                        block.append((c, least, where))
-                        held += len(c)
-                if held >= BLOCK:
-                    sort_block()
-                    held = 0
-            if block:
-                sort_block()
+            for (_, g, row, start), x, y in gone(names, window):
+                out.setdefault(g, []).append((row, start + x, start + y))
             cols = [list(out), *([np.array(x, np.int32).tobytes() for x in part] for part in zip(*(zip(*v, strict=True) for v in out.values()), strict=True))] if out else [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, (pa.int64(), *[pa.binary()] * 3), strict=True)], ["g", "r", "s", "e"])
 
@@ -298,7 +310,7 @@ class Repeats:
                 own = slice(bounds[k], bounds[k + 1])
                 cover = np.cumsum(np.bincount(s[own], minlength=len(b) + 1) - np.bincount(e[own], minlength=len(b) + 1))[: len(b)] > 0
                 left = np.frombuffer(b, np.uint8)[~cover].tobytes() if cover.any() else b
-                out.append((None if i == LAST_ID else i, len(b), len(b) - len(left), len(spans(cover)[0]), hashlib.sha256(left).hexdigest(), left if with_text else None))
+                out.append((None if i == LAST else i, len(b), len(b) - len(left), len(spans(cover)[0]), hashlib.sha256(left).hexdigest(), left if with_text else None))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             return pa.Table.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
