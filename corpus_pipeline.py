@@ -51,8 +51,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in bins of permitted lengths."""
-    lengths = saved(docs.select("doc_id", n_words(F.col("text")).alias("n_tokens")), "lengths")
-    return packing.pack(lengths).withColumnRenamed("id", "doc_id")
+    return packing.pack(docs.select("doc_id", n_words(F.col("text")).alias("n_tokens"))).withColumnRenamed("id", "doc_id")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -103,7 +103,7 @@ def test_substrings(spark, frame, monkeypatch, seed, per_group, hot):
 def test_nothing_goes_but_by_the_sorted_suffixes(monkeypatch):
     same, other = b"the same bytes in several documents, and more than fifty", b"the same bytes in several documents, and more than sixty of them"
     names = {1: {same: [(7, 0), (3, 0), (9, 0)]}, 2: {same: [(4, 0)], other: [(5, 0), (2, 0)]}, 3: {other: [(8, 0), (8, 5)]}}
-    assert sorted(substrings.gone(names)) == [((3, 0), 0, 51), ((4, 0), 0, 51), ((5, 0), 0, 64), ((7, 0), 0, 56), ((9, 0), 0, 56)]
+    assert sorted(substrings.gone(names)) == [((3, 0), 0, 51), ((4, 0), 0, 56), ((5, 0), 0, 64), ((7, 0), 0, 56), ((9, 0), 0, 56)]
     monkeypatch.setattr(substrings, "suffix_order", lambda t, depth: np.zeros(0, np.int64))
     assert list(substrings.gone(names)) == []
 
@@ -128,7 +128,7 @@ def test_packing(spark, per_shard):
     rng = random.Random(3)
     rows = [(i, rng.choice([0, 1, 5, 300, 900, 4096, 4097, 20_000, rng.randrange(3000)])) for i in range(300)] + [(7, 10), (7, 10), (None, 4), (8, None)]
     d = spark.createDataFrame([(i, n or 0) for i, n in rows], "doc_id long, n_tokens long")
-    got = [r.asDict() for r in packing.pack(d, rows_per_shard=per_shard).collect()]
+    got = [r.asDict() for r in packing.pack(d, pieces_per_shard=per_shard).collect()]
     assert sorted((r["id"] or -1, r["n_tokens"]) for r in got if r["piece"] == 0 and r["n_tokens"] < 4096) == sorted((i or -1, n or 0) for i, n in [(i if i is not None else -1, n) for i, n in rows] if (n or 0) < 4096)
     assert sum(r["n_tokens"] for r in got) == sum(n or 0 for _, n in rows)
     bins = defaultdict(list)
@@ -146,6 +146,55 @@ def test_packing(spark, per_shard):
     assert packing.pack(d.limit(0)).count() == 0
 
 
+def test_shards_hold_pieces_not_rows(spark):
+    """40 long texts, and one row in thousands of copies: no shard has much more than its share."""
+    from pyspark.sql import functions as F
+
+    long_ = spark.range(40).select("id", F.lit(4096 * 5000).alias("n"))
+    same = spark.range(60_000).select(F.lit(None).cast("long").alias("id"), F.lit(3).alias("n"))
+    got = packing.pack(long_.unionAll(same).withColumns({c: F.lit(1) for c in ("piece", "row", "shard", "bin", "start")}), "id", "n", pieces_per_shard=10_000)
+    shards = got.groupBy((F.col("bin") / (1 << 32)).cast("long")).count().collect()
+    assert got.count() == 260_000 and len(shards) == 26 and max(r["count"] for r in shards) < 10_500
+
+
+def brute_packing(lengths, capacities=packing.CAPACITIES):
+    """Best fit done the plain way: bins as lists, all of them tried for each piece."""
+    best = None
+    for least in (True, False):
+        bins, to_come = [], list(lengths)
+        for n in lengths:
+            to_come.remove(n)
+            open_ = [b for b in bins if b[0] - sum(b[1]) >= n]
+            if open_:
+                min(open_, key=lambda b: b[0] - sum(b[1]))[1].append(n)
+                continue
+            cost = {}
+            for c in capacities:
+                if c >= n:
+                    room = c - n
+                    for x in sorted(to_come, reverse=True):
+                        room -= x if x <= room else 0
+                    cost[c] = c if least else packing.cost(c) / (c - room)
+            bins.append([min(cost, key=lambda c: (cost[c], c)), [n]])
+        total = sum(packing.cost(next(c for c in capacities if c >= sum(b[1]))) for b in bins)
+        best = total if best is None else min(best, total)
+    return best
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_packing_is_best_fit(seed):
+    rng = random.Random(seed)
+    top = rng.choice([60, 300, 1500, 4096])
+    lengths = sorted((rng.randrange(1, top + 1) for _ in range(rng.randrange(1, 120))), reverse=True)
+    bins, offsets, sizes = packing.best_fit(lengths)
+    assert sum(map(packing.cost, sizes)) == pytest.approx(brute_packing(lengths))
+    ends = [0] * len(sizes)
+    for n, b, o in zip(lengths, bins, offsets, strict=True):
+        assert o == ends[b]
+        ends[b] += n
+    assert all(c == next(x for x in packing.CAPACITIES if x >= e) for c, e in zip(sizes, ends, strict=True))
+
+
 @pytest.mark.parametrize(("lengths", "before"), [([260] * 300, 158400.0), ([513] * 100 + [300] * 7, 108800.0)])
 def test_packing_opens_longer_bins_where_they_cost_less(lengths, before):
     """``before``: the cost of opening the least length that holds the first piece."""

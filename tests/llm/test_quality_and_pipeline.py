@@ -55,6 +55,16 @@ def test_odd_rows_and_few_labels(spark, frame):
     assert quality.scored(d.limit(0), quality.train(d.limit(0), odd)).count() == 0
 
 
+def test_no_more_rows_than_the_bound_reach_the_driver(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda x, y: seen.append((x.shape, sorted(y))))
+    d = spark.range(5000).selectExpr("cast(1 as long) doc_id", "concat('text ', id % 50) text").unionAll(spark.createDataFrame([(2, "a"), (3, "b")], "doc_id long, text string"))
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, quality int")
+    quality.train(d, labels, most_rows=40)
+    quality.train(d, labels, most_rows=40)
+    assert seen[0] == seen[1] and seen[0][0] == (40, len(quality.FEATURES))
+
+
 def test_labels_and_ids_are_no_inputs(spark, frame):
     a = frame([(1, "some text", "en", "a", 9), (2, "some text", "de", None, 0)])
     m = quality.fit(np.random.default_rng(0).random((50, len(quality.FEATURES))), np.arange(50) % 2.0)

@@ -8,13 +8,16 @@ holds. At the end each bin shrinks to the least permitted length that holds its
 can't tell which of these pieces go to other bins, so the shard is also packed with the least
 length that holds the piece that opens a bin; the cheaper of both packings is taken.
 
-Rows are dealt to shards by hash, at most about ``ROWS_PER_SHARD`` to each, and a shard is packed
+Pieces are dealt to shards by the place of their row in the written table of lengths and by their
+number, so that neither repeated rows nor the many pieces of one text meet in a shard; a shard has
+about ``PIECES_PER_SHARD`` at most and is packed
 by itself: only ids and lengths move, and no task depends on how the ids are distributed. Each
 shard leaves at most a few bins half full.
 
 Defined results: a text longer than the largest length is split into pieces of that length and a
 rest; a text without tokens is one piece of length 0 in no bin (bin null, capacity 0); null text
-has no tokens; repeated rows and null ids are packed like any other; an empty table gives no rows.
+has no tokens; repeated rows and null ids are packed like any other; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,11 +27,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from windrow.llm.common import n_words, saved
+from windrow.sources.scratch import tidied
 from windrow.sources.tables import table
 
 CAPACITIES = (256, 512, 1024, 2048, 4096)
 ATTENTION = 16_384
-ROWS_PER_SHARD = 50_000
+#: Pieces that one task packs, on average at most.
+PIECES_PER_SHARD = 50_000
 
 
 def cost(c: int, attention: int = ATTENTION) -> float:
@@ -84,15 +89,21 @@ def _packed(lengths: list[int], capacities: tuple[int, ...], attention: int, lea
     return bins, offsets, [next(c for c in capacities if c >= u) for u in used]
 
 
+@tidied
 def pack(lengths: DataFrame, id_col: str = "doc_id", length_col: str = "n_tokens", capacities: tuple[int, ...] = CAPACITIES,
-         attention: int = ATTENTION, rows_per_shard: int = ROWS_PER_SHARD) -> DataFrame:
+         attention: int = ATTENTION, pieces_per_shard: int = PIECES_PER_SHARD) -> DataFrame:
     """``id, piece, start, n_tokens, bin, bin_offset, capacity``: where each piece went."""
     most = max(capacities)
-    d = lengths.select(F.col(id_col).cast("long").alias("id"), F.col(length_col).cast("long").alias("n"))
-    pieces = d.select("id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.floor((F.col("n") - 1) / most)).cast("long"))).alias("piece"))
-    pieces = pieces.select("id", "piece", (F.col("piece") * most).alias("start"), F.least(F.lit(most), F.col("n") - F.col("piece") * most).cast("long").alias("n_tokens"))
-    shards = max(1, -(-d.count() // rows_per_shard))
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64(F.lit(3), "id", "piece"), F.lit(shards)))
+    # Written, so that a row has the same place whenever a task is run again.
+    d = saved(lengths.select(F.col(id_col).cast("long").alias("id"), F.col(length_col).cast("long").alias("n")), "lengths")
+    d = d.withColumn("n", F.coalesce("n", F.lit(0)))
+    last = F.greatest(F.lit(0), F.floor((F.col("n") - 1) / most)).cast("long")
+    shards = max(1, -(-(d.agg(F.sum(last + 1)).first()[0] or 0) // pieces_per_shard))
+    pieces = d.select("id", "n", F.monotonically_increasing_id().alias("row"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("piece"))
+    dealt = pieces.select(
+        "id", "piece", (F.col("piece") * most).alias("start"), F.least(F.lit(most), F.col("n") - F.col("piece") * most).cast("long").alias("n_tokens"),
+        F.pmod(F.xxhash64(F.lit(3), "row", "piece"), F.lit(shards)).alias("shard"),
+    )
 
     def shard(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["n_tokens", "id", "piece"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
@@ -111,5 +122,4 @@ def pack(lengths: DataFrame, id_col: str = "doc_id", length_col: str = "n_tokens
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    lengths = saved(docs.select("doc_id", n_words(F.col("text")).alias("n_tokens")), "lengths")
-    return pack(lengths).withColumnRenamed("id", "doc_id")
+    return pack(docs.select("doc_id", n_words(F.col("text")).alias("n_tokens"))).withColumnRenamed("id", "doc_id")

@@ -8,11 +8,13 @@ the same way, from trees of one cut on either axis. A score is the sum of one en
 table.
 
 Training rows: labels whose crc32(id) mod 3 is not 1, at most ``MOST_ROWS`` of them, those with
-the smallest hash of the id. That bound also bounds what is broadcast and collected. Scoring is
+the smallest hash of the id. That bounds what is broadcast. Features of the texts with these ids are
+measured by the executors; of as many rows as repeat an id, those with the smallest hash of the text
+are taken, ``MOST_ROWS`` in all, and only their features reach the driver. Scoring is
 a map over all documents.
 
 Defined results: null text counts as empty; an empty text has features of its own and a score;
-null or repeated labels are skipped or averaged by their rows; without training rows of both
+null labels are skipped; repeated labels, and documents that repeat an id, are rows of their own; without training rows of both
 classes every score is the share of label 1, 0.5 if there is none; a null id is not held out;
 other columns are carried along untouched.
 """
@@ -190,9 +192,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"id": b["id_"], "label": b["label_"], "x": list(feature_rows(b["t_"]))})
+            yield pd.DataFrame({"id": b["id_"], "label": b["label_"], "h": b["h_"], "x": list(feature_rows(b["t_"]))})
 
-    got = sorted(picked.mapInPandas(measure, "id long, label int, x array<double>").collect())
+    measured = picked.withColumn("h_", F.xxhash64("t_")).mapInPandas(measure, "id long, label int, h long, x array<double>")
+    got = measured.orderBy(F.xxhash64(F.lit(9), "id"), "id", "h", "label").limit(most_rows).collect()  # bounded by most_rows
     return fit(np.array([r["x"] for r in got]).reshape(-1, len(FEATURES)), np.array([r["label"] for r in got], dtype=float))
 
 
