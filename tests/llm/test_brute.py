@@ -16,31 +16,64 @@ from .conftest import corpus, prose
 # -- fingerprints -----------------------------------------------------------------------------
 
 
-def likeness(a, b):
-    x, y = set((a or "").split("\n")), set((b or "").split("\n"))
-    return len(x & y) / len(x | y)
+def keys_of(spark, texts):
+    """The keys of texts as the operator makes them, each checked to stand for one paragraph."""
+    from pyspark.sql import functions as F
+
+    d = spark.createDataFrame([(t,) for t in texts], "t string").select("t", fingerprints.paragraph_keys(F.col("t")).alias("k"))
+    return {r["t"]: set(r["k"]) for r in d.collect()}
+
+
+def test_paragraphs_are_lines_cut_by_content(spark):
+    rng = random.Random(5)
+    line = prose(rng, 3000)
+    got = keys_of(spark, [line, "before " + line, line[: len(line) // 2], line + "\nend", ""])
+    n = len(got[line])
+    assert 50 < n < 200 and len(got[""]) == 1
+    assert len(got[line] & got["before " + line]) >= n - 1 and len(got[line] - got[line + "\nend"]) == 0
+    assert len(got[line] & got[line[: len(line) // 2]]) > 0.4 * n
 
 
-@pytest.mark.parametrize(("per_range", "bounds"), [(5, 1000), (2, 3), (1000, 1000)])
-def test_fingerprints(spark, frame, monkeypatch, per_range, bounds):
+@pytest.mark.parametrize(("per_range", "bounds", "here"), [(5, 1000, 512), (2, 3, 8), (1000, 1000, 0)])
+def test_fingerprints(spark, frame, monkeypatch, per_range, bounds, here):
     monkeypatch.setattr(fingerprints, "ROWS_PER_RANGE", per_range)
     monkeypatch.setattr(fingerprints, "MOST_BOUNDS", bounds)
-    rows = sorted((i + (1 << 60) * (i % 7 == 0), *r) for i, *r in corpus(1)) + [(None, "last\none", "en", None, 0)]
+    monkeypatch.setattr(fingerprints, "HERE", here)
+    rows = sorted((i + (1 << 60) * (i % 7 == 0), *r) for i, *r in corpus(1)) + [((1 << 63) - 1, "the largest id", "en", None, 0), (None, "last\none", "en", None, 0)]
     rows[5] = (rows[5][0], "\n".join(str(k) for k in range(700)), "en", None, 0)
     got = {r["doc_id"]: r for r in fingerprints.fingerprints(frame(rows, extra=True)).collect()}
     assert len(got) == len(rows)
-    prints = defaultdict(set)
+    prints, edits = defaultdict(set), {}
     for k, (i, t, *_) in enumerate(rows):
         t, after = t or "", rows[(k + 1) % len(rows)][1] or ""
         half = len(t) // 2
-        edited, r = t[: len(t) - half] + after[:half], got[i]
+        edits[i] = t, t[: len(t) - half] + after[:half], after
+    keys = keys_of(spark, {x for v in edits.values() for x in v})
+    for i, (t, edited, after) in edits.items():
+        r, a, b, c = got[i], keys[t], keys[edited], keys[after]
         assert (r["n_chars"], r["edited_sha256"]) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
-        assert r["near_edited"] == pytest.approx(likeness(t, edited)) and r["near_next"] == pytest.approx(likeness(t, after))
+        assert r["near_edited"] == pytest.approx(len(a & b) / len(a | b)) and r["near_next"] == pytest.approx(len(a & c) / len(a | c))
+        assert sorted(r["lost"]) == sorted(a - b) and sorted(r["gained"]) == sorted(b - a)
         prints[t].add(r["fingerprint"])
         prints[edited].add(r["edited_fingerprint"])
     assert all(len(v) == 1 for v in prints.values())
 
 
+def test_ids_that_many_rows_repeat_are_cut_by_their_texts(spark, frame, monkeypatch):
+    monkeypatch.setattr(fingerprints, "ROWS_PER_RANGE", 10)
+    rows = [(i, f"text {k} of {i}", "en", None, 0) for i in (None, 7, 5) for k in range(150)] + [(i, f"other {i}", "en", None, 0) for i in (1, 6, 8, 9)]
+    d = frame(rows)
+    dealt, _ = fingerprints.with_next(d, "doc_id", "text")
+    sizes = sorted(r["count"] for r in dealt.groupBy("range").count().collect())
+    assert sizes[-1] < 20
+    got = fingerprints.fingerprints(d).collect()
+    assert len(got) == len(rows)
+    hashes = {r["t"]: r["h"] for r in d.selectExpr("text t", "xxhash64(text) h").collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, hashes[r[1]]))
+    want = {hashlib.sha256((t[: len(t) - len(t) // 2] + order[(k + 1) % len(order)][1][: len(t) // 2]).encode()).hexdigest() for k, (_, t, *_) in enumerate(order)}
+    assert {r["edited_sha256"] for r in got} == want
+
+
 def test_fingerprints_of_few_rows(spark, frame):
     assert fingerprints.fingerprints(frame([])).count() == 0
     one = fingerprints.fingerprints(frame([(7, "abcd", "en", None, 4)])).first()
@@ -56,9 +89,9 @@ def test_sketches_retry_until_they_peel(spark):
         a = [rng.getrandbits(63) for _ in range(n)]
         rows.append((n, 0, a, a[: n // 2] + [rng.getrandbits(63) for _ in range(n // 3 + 1)]))
     d = spark.createDataFrame(rows, "x long, y long, keys array<long>, others array<long>")
-    for tries in (0, 8):
-        got = {r["x"]: r["near"] for r in fingerprints.recovered(d, tries).collect()}
-        assert got == pytest.approx({n: len(set(a) & set(b)) / len(set(a) | set(b)) for n, _, a, b in rows})
+    for tries in (1, 8):
+        got = {r["x"]: (set(r["plus"]), set(r["minus"]), len(r["plus"]), len(r["minus"])) for r in fingerprints.recovered(d, tries).collect()}
+        assert got == {n: (x := set(a) - set(b), y := set(b) - set(a), len(x), len(y)) for n, _, a, b in rows}
 
 
 # -- suffix arrays ----------------------------------------------------------------------------

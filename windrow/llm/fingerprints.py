@@ -1,19 +1,26 @@
 """Document fingerprints as invertible Bloom lookup sketches, with DataFrame functions only.
 
-A text's paragraphs (its lines) are hashed to 64-bit keys, a set. A sketch has ``CELLS`` cells in
+A text's paragraphs are its lines, cut further behind words whose hash is a multiple of ``CUT``, so
+that a long line is cut alike wherever it stands. They are hashed to 64-bit keys, a set. A sketch has
+``CELLS`` cells in
 four equal parts; each key is added to one cell of each part, as a count, the XOR of the keys and
 the XOR of 32-bit checks of the keys. Two sketches subtract cell by cell; what both texts have
 cancels, and peeling recovers the keys that differ: a cell that holds one key gives it away, and
 it is taken out of its other cells. The likeness of two texts is the Jaccard likeness of their
-key sets, known from the counts of recovered keys.
+key sets, known from the counts of recovered keys. The keys that the edited text has lost and gained
+are returned.
 
 Where peeling gets stuck, the keys are dealt to sub-tables of ``CELLS`` cells, one for about eight
-keys and twice as many on each further try, and peeled there; the work is linear in the length of
-the text. After ``TRIES`` tries the differing keys are counted directly.
+keys and twice as many on each further try. Pairs of up to ``HERE`` keys are peeled so where they
+are, ``TRIES_HERE`` times; longer ones, and what is stuck even then, are dealt out over all tasks by
+pair and sub-table, and only the sub-tables that got stuck are tried again. The work is linear in the
+length of the text. After ``TRIES`` tries the differing keys are counted directly.
 
 The next document comes from a window within ranges of ids, which quantiles of the ids bound, so
-that they hold about as many rows each. Each range also gets a copy of the
-first row of the next range; there is one such row for each of at most ``MOST_RANGES`` ranges,
+that they hold about as many rows each. An id that very many rows repeat, and rows without one, are
+cut further by a hash of the text. Each range also gets a copy of the
+first row of the next range; there is one such row for each of at most ``MOST_RANGES`` ranges and
+``SLICES`` for each of ``MOST_BOUNDS`` such ids,
 which bounds what is broadcast. Texts are shuffled once.
 
 Defined results: null text counts as empty, and the empty text is one empty paragraph; a null id
@@ -23,24 +30,29 @@ next; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from windrow.llm.common import partitions, saved
+from windrow.sources.scratch import tidied
 from windrow.sources.tables import table
 
 CELLS, PARTS = 24, 4
-ROUNDS = 8
+CUT = 32
+ROUNDS = 10
 TRIES = 8
-ROWS_PER_RANGE, MOST_RANGES, MOST_BOUNDS = 1000, 65_536, 1000
-LAST_ID = (1 << 63) - 1
+#: Keys of a pair that are peeled in its own row, and how often that is tried.
+HERE, TRIES_HERE = 512, 2
+ROWS_PER_RANGE, MOST_RANGES, MOST_BOUNDS = 250, 65_536, 1000
+SLICES = 64
 
 _CHECK = 977
 
 
 def paragraph_keys(text: Column) -> Column:
     """The set of keys of a text's paragraphs."""
-    return F.array_distinct(F.transform(F.split(text, "\n"), lambda p: F.xxhash64(p)))
+    words = F.transform(F.split(text, " "), lambda w: F.when(F.pmod(F.xxhash64(w), F.lit(CUT)) == 0, F.concat(w, F.lit("\n"))).otherwise(w))
+    return F.array_distinct(F.transform(F.split(F.array_join(words, " "), "\n"), lambda p: F.xxhash64(p)))
 
 
 def check(key: Column) -> Column:
@@ -84,7 +96,7 @@ def minus(a: Column, b: Column) -> Column:
 
 
 def peeled(difference: Column, seed: int = 0) -> Column:
-    """``cells, plus, minus``: what is left, and how many keys of either side came out."""
+    """``cells, plus, minus``: what is left, and the keys of either side that came out."""
 
     def step(acc: Column, _: Column) -> Column:
         alone = F.filter(acc["cells"], lambda c: (F.abs(c["n"]) == 1) & (check(c["k"]) == c["c"]))
@@ -92,16 +104,56 @@ def peeled(difference: Column, seed: int = 0) -> Column:
 
         def take(keys: Column) -> Column:
             rest = minus(acc["cells"], _let(F.transform(keys, lambda x: _placed(x["k"], x["n"], seed)), _cells))
-            more = lambda sign: F.size(F.filter(keys, lambda x: x["n"] == sign))
-            after = F.struct(rest.alias("cells"), (acc["plus"] + more(1)).alias("plus"), (acc["minus"] + more(-1)).alias("minus"))
-            return F.when(F.size(keys) == 0, acc).otherwise(after)
+            more = lambda side, sign: F.concat(acc[side], F.transform(F.filter(keys, lambda x: x["n"] == sign), lambda x: x["k"])).alias(side)
+            over = F.struct(acc["cells"].alias("cells"), acc["plus"].alias("plus"), acc["minus"].alias("minus"), F.lit(True).alias("over"))
+            return F.when(F.size(keys) == 0, over).otherwise(F.struct(rest.alias("cells"), more("plus", 1), more("minus", -1), F.lit(False).alias("over")))
 
-        return _let(found, take)
+        return F.when(acc["over"], acc).otherwise(_let(found, take))
 
-    start = F.struct(difference.alias("cells"), F.lit(0).alias("plus"), F.lit(0).alias("minus"))
+    none = F.array().cast("array<long>")
+    start = F.struct(difference.alias("cells"), none.alias("plus"), none.alias("minus"), F.lit(False).alias("over"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step)
 
 
+def signed(keys: Column, others: Column) -> Column:
+    """Keys of both sides with their signs."""
+    side = lambda ks, sign: F.transform(ks, lambda k: F.struct(k.alias("k"), F.lit(sign).alias("s")))
+    return F.concat(side(keys, 1), side(others, -1))
+
+
+def sub_tables(n: Column, t: int) -> Column:
+    """How many sub-tables ``n`` keys are dealt to on try ``t``."""
+    return F.greatest(F.lit(1), F.ceil(n * 2 ** (t - 1) / 8)).cast("long")
+
+
+def peeled_here(keys: Column, others: Column, t: int = 1) -> Column:
+    """``ok, plus, minus`` of a pair, by sub-tables in its own row."""
+    tables = sub_tables(F.size(keys) + F.size(others), t)
+    dealt = F.transform(signed(keys, others), lambda x: F.struct(_placed(x["k"], x["s"], t).alias("x"), F.pmod(F.xxhash64(F.lit(-t), x["k"]), tables).alias("sub")))
+    own = lambda d, sub: F.transform(F.filter(d, lambda y: y["sub"] == sub), lambda y: y["x"])
+    tried = _let(dealt, lambda d: F.transform(F.sequence(F.lit(0).cast("long"), tables - 1), lambda sub: peeled(_let(own(d, sub), _cells), t)))
+
+    def whole(rs: Column) -> Column:
+        side = lambda c: F.flatten(F.transform(rs, lambda r: r[c])).alias(c)
+        return F.struct(F.forall(rs, lambda r: empty(r["cells"])).alias("ok"), side("plus"), side("minus"))
+
+    def again(r: Column) -> Column:
+        return r if t >= TRIES_HERE else F.when(r["ok"], r).otherwise(peeled_here(keys, others, t + 1))
+
+    return _let(_let(tried, whole), again)
+
+
+def recovered_here(cells: Column, other_cells: Column, keys: Column, others: Column) -> Column:
+    """``ok, plus, minus`` of a pair: from its two sketches, or else by larger ones."""
+
+    def again(r: Column) -> Column:
+        done = F.struct(empty(r["cells"]).alias("ok"), r["plus"].alias("plus"), r["minus"].alias("minus"))
+        few = F.size(keys) + F.size(others) <= HERE
+        return F.when(empty(r["cells"]) | ~few, done).otherwise(peeled_here(keys, others))
+
+    return _let(peeled(minus(cells, other_cells)), again)
+
+
 def empty(cells: Column) -> Column:
     return ~F.exists(cells, lambda c: (c["n"] != 0) | (c["k"] != 0) | (c["c"] != 0))
 
@@ -140,53 +192,71 @@ def _range(x: Column, bounds: list[int], parts: int) -> Column:
     return _let(at, part).cast("long")
 
 
-def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``range, id, doc_id, text, next_text`` in ascending order of ids, the last with the first."""
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+def with_next(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, WindowSpec]:
+    """``extra, doc_id, text`` in windows, where each row that isn't extra is followed by the next
+    document in ascending order of ids, the last by the first."""
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     n = d.count()
     ranges = max(1, min(MOST_RANGES, n // ROWS_PER_RANGE))
     parts = min(ranges, MOST_BOUNDS)
-    shares = [k / parts for k in range(parts + 1)]
-    bounds = sorted(set(d.agg(F.percentile_approx("id", shares, 10_000)).first()[0] or [0]))
-    d = d.withColumn("range", _range(F.col("id"), bounds, -(-ranges // parts)))
-    firsts = d.groupBy("range").agg(F.min("id").alias("first"))
+    quantiles = d.agg(F.percentile_approx("doc_id", [k / parts for k in range(parts + 1)], 10_000)).first()[0] or [0]
+    bounds = sorted(set(quantiles))
+    heavy = [x for x, y in zip(quantiles, quantiles[1:], strict=False) if x == y]
+    # A range is cut by the hash for an id that fills it, and for null; other ids of it come after that.
+    cut = F.col("doc_id").isNull() | F.col("doc_id").isin(heavy) if heavy else F.col("doc_id").isNull()
+    piece = F.when(cut, F.shiftright("h", 58) + SLICES // 2).otherwise(F.lit(SLICES)).cast("long")
+    base = F.coalesce(_range(F.col("doc_id"), bounds, -(-ranges // parts)), F.lit((len(bounds) + 1) * (-(-ranges // parts))).cast("long"))
+    d = d.withColumn("range", base * (2 * SLICES) + piece)
+    firsts = d.groupBy("range").agg(F.min(F.struct("doc_id", "h")).alias("first"))
     order = Window.orderBy("range")
-    firsts = firsts.select("first", F.coalesce(F.lag("range").over(order), F.max("range").over(Window.partitionBy())).alias("before"))
-    d = d.join(F.broadcast(firsts), F.col("id") == F.col("first"), "left")  # at most MOST_RANGES + 1 rows
+    firsts = firsts.select(F.col("range").alias("of"), F.col("first.doc_id").alias("i_"), F.col("first.h").alias("h_"), F.coalesce(F.lag("range").over(order), F.max("range").over(Window.partitionBy())).alias("before"))
+    d = d.join(F.broadcast(firsts), (F.col("range") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("i_")) & (F.col("h") == F.col("h_")), "left")  # one row for each range
     here = F.struct(F.col("range"), F.lit(0).alias("extra"))
-    places = F.when(F.col("first").isNull(), F.array(here)).otherwise(F.array(here, F.struct(F.col("before").alias("range"), F.lit(1).alias("extra"))))
-    dealt = d.select("doc_id", "id", "text", F.explode(places).alias("at")).select("at.range", "at.extra", "doc_id", "id", "text").repartition("range")
-    w = Window.partitionBy("range").orderBy("extra", "id", F.xxhash64("text"))
-    return dealt.withColumn("next_text", F.lead("text").over(w)).filter("extra = 0").drop("extra")
+    places = F.when(F.col("of").isNull(), F.array(here)).otherwise(F.array(here, F.struct(F.col("before").alias("range"), F.lit(1).alias("extra"))))
+    dealt = d.select("doc_id", "h", "text", F.explode(places).alias("at")).select("at.range", "at.extra", "doc_id", "h", "text").repartition("range")
+    return dealt, Window.partitionBy("range").orderBy("extra", F.col("doc_id").asc_nulls_last(), "h")
 
 
+@tidied
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For each document: its fingerprint, that of its edited text, and two likenesses."""
+    """For each document: its fingerprint, that of its edited text, two likenesses, and the keys of
+    the paragraphs that the edited text has lost and gained."""
     half = F.floor(F.col("n_chars") / 2).cast("int")
-    base = (
-        with_next(docs, id_col, text_col)
+    dealt, following = with_next(docs, id_col, text_col)
+    here = lambda c: F.when(F.col("extra") == 0, c)
+    made = (
+        dealt.withColumn("next_text", F.lead("text").over(following))
         .withColumn("n_chars", F.length("text").cast("long"))
-        .withColumn("edited", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring("next_text", F.lit(1), half)))
-        .select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), paragraph_keys(F.col("text")).alias("keys"), paragraph_keys(F.col("edited")).alias("edited_keys"), paragraph_keys(F.col("next_text")).alias("next_keys"))
-        .withColumns({"cells": sketch(F.col("keys")), "edited_cells": sketch(F.col("edited_keys")), "next_cells": sketch(F.col("next_keys"))})
-        .withColumns({"e": peeled(minus(F.col("cells"), F.col("edited_cells"))), "x": peeled(minus(F.col("cells"), F.col("next_cells")))})
+        .withColumn("edited", here(F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring("next_text", F.lit(1), half))))
+        .select("range", "extra", "doc_id", "h", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), paragraph_keys(F.col("text")).alias("keys"), here(paragraph_keys(F.col("edited"))).alias("edited_keys"))
+        .withColumns({"cells": sketch(F.col("keys")), "edited_cells": here(sketch(F.col("edited_keys")))})
+        .withColumns({"next_keys": F.lead("keys").over(following), "next_cells": F.lead("cells").over(following)})
+        .filter("extra = 0")
+        .withColumn("e", recovered_here(F.col("cells"), F.col("edited_cells"), F.col("keys"), F.col("edited_keys")))
+        .withColumn("x", recovered_here(F.col("cells"), F.col("next_cells"), F.col("keys"), F.col("next_keys")))
     )
-    n = F.size("keys")
-    near = lambda r: F.when(empty(F.col(f"{r}.cells")), likeness(n, F.col(f"{r}.plus"), F.col(f"{r}.minus")))
-    main = base.select(
-        "doc_id", "n_chars", "edited_sha256", as_text(F.col("cells")).alias("fingerprint"), as_text(F.col("edited_cells")).alias("edited_fingerprint"),
-        near("e").alias("near_edited"), near("x").alias("near_next"), "keys", "edited_keys", "next_keys",
+    open_ = ~F.col("e.ok") | ~F.col("x.ok")
+    near = lambda r: F.when(F.col(f"{r}.ok"), likeness(F.size("keys"), F.size(f"{r}.plus"), F.size(f"{r}.minus")))
+    main = saved(
+        made.select(
+            "doc_id", "n_chars", "edited_sha256", as_text(F.col("cells")).alias("fingerprint"), as_text(F.col("edited_cells")).alias("edited_fingerprint"),
+            near("e").alias("near_edited"), near("x").alias("near_next"), F.when(F.col("e.ok"), F.col("e.plus")).alias("lost"), F.when(F.col("e.ok"), F.col("e.minus")).alias("gained"),
+            F.when(open_, F.col("keys")).alias("keys"), F.when(~F.col("e.ok"), F.col("edited_keys")).alias("edited_keys"), F.when(~F.col("x.ok"), F.col("next_keys")).alias("next_keys"),
+        ),
+        "fingerprints",
     )
-    main = main.withColumn("keys", F.when(F.col("near_edited").isNull() | F.col("near_next").isNull(), F.col("keys")))
-    main = main.withColumns({"edited_keys": F.when(F.col("near_edited").isNull(), F.col("edited_keys")), "next_keys": F.when(F.col("near_next").isNull(), F.col("next_keys"))})
-    main = saved(main, "fingerprints")
-    open_ = main.select("keys", F.explode(F.array("edited_keys", "next_keys")).alias("others")).filter(F.col("others").isNotNull())
-    done = recovered(saved(open_.select(*_pair(), "keys", "others").dropDuplicates(["x", "y"]), "stuck"))
+    stuck = main.filter("keys is not null").select("keys", F.explode(F.array("edited_keys", "next_keys")).alias("others")).filter(F.col("others").isNotNull())
+    if stuck.isEmpty():
+        return main.drop("keys", "edited_keys", "next_keys")
+    done = saved(recovered(saved(stuck.select(*_pair(), "keys", "others").dropDuplicates(["x", "y"]), "stuck")), "recovered")
     out = main
     for col, others in (("near_edited", "edited_keys"), ("near_next", "next_keys")):
-        got = done.withColumnRenamed("near", "near_")
-        out = out.withColumns({"x_": F.xxhash64("keys"), "y_": F.xxhash64(others)}).join(got, (F.col(others).isNotNull()) & (F.col("x_") == got["x"]) & (F.col("y_") == got["y"]), "left")
-        out = out.withColumn(col, F.coalesce(col, "near_")).drop("x_", "y_", "x", "y", "near_")
+        got = done.select("x", "y", F.col("plus").alias("plus_"), F.col("minus").alias("minus_"))
+        out = out.withColumns({"x_": F.xxhash64("keys"), "y_": F.xxhash64(others)}).join(got, F.col(others).isNotNull() & (F.col("x_") == got["x"]) & (F.col("y_") == got["y"]), "left")
+        out = out.withColumn(col, F.coalesce(col, likeness(F.size("keys"), F.size("plus_"), F.size("minus_"))))
+        if col == "near_edited":
+            out = out.withColumns({"lost": F.coalesce("lost", "plus_"), "gained": F.coalesce("gained", "minus_")})
+        out = out.drop("x_", "y_", "x", "y", "plus_", "minus_")
     return out.drop("keys", "edited_keys", "next_keys")
 
 
@@ -195,28 +265,28 @@ def _pair() -> tuple[Column, Column]:
 
 
 def recovered(pairs: DataFrame, tries: int = TRIES) -> DataFrame:
-    """``x, y, near`` of the pairs ``x, y, keys, others`` of key sets, by ever larger sketches."""
-    out = []
+    """``x, y, plus, minus`` of the pairs ``x, y, keys, others`` of key sets, by ever larger sketches."""
+    n = F.size("keys") + F.size("others")
+    left = pairs.select("x", "y", n.alias("n"), F.explode(signed(F.col("keys"), F.col("others"))).alias("e"))
+    out = [pairs.select("x", "y", F.array().cast("array<long>").alias("plus"), F.array().cast("array<long>").alias("minus"))]
     for t in range(1, tries + 1):
-        if pairs.isEmpty():
-            break
-        tables = F.greatest(F.lit(1), F.ceil((F.size("keys") + F.size("others")) * (2 ** (t - 1)) / 8)).cast("long")
-        sides = F.explode(F.concat(F.transform("keys", lambda k: F.struct(k.alias("k"), F.lit(1).alias("s"))), F.transform("others", lambda k: F.struct(k.alias("k"), F.lit(-1).alias("s"))))).alias("e")
-        keys = pairs.select("x", "y", tables.alias("tables"), sides).select("x", "y", "e.k", "e.s", F.pmod(F.xxhash64(F.lit(-t), "e.k"), "tables").alias("sub"))
+        keys = left.select("x", "y", "n", "e", F.pmod(F.xxhash64(F.lit(-t), "e.k"), sub_tables(F.col("n"), t)).alias("sub"))
         # Peeling costs far more than its bytes say: tasks are not to be merged by size.
-        keys = keys.repartition(partitions(pairs.sparkSession), "x", "y", "sub")
-        subs = keys.groupBy("x", "y", "sub").agg(F.collect_list(F.when(F.col("s") == 1, F.col("k"))).alias("a"), F.collect_list(F.when(F.col("s") == -1, F.col("k"))).alias("b"))
-        subs = subs.select("x", "y", peeled(minus(sketch(F.col("a"), t), sketch(F.col("b"), t)), t).alias("r")).select("x", "y", empty(F.col("r.cells")).alias("ok"), "r.plus", "r.minus")
-        sums = saved(subs.groupBy("x", "y").agg(F.min("ok").alias("ok"), F.sum("plus").alias("plus"), F.sum("minus").alias("minus")), "peeled")
-        good = sums.filter("ok")
-        out.append(pairs.join(good, ["x", "y"]).select("x", "y", likeness(F.size("keys"), F.col("plus"), F.col("minus")).alias("near")))
-        pairs = saved(pairs.join(good, ["x", "y"], "left_anti"), "stuck")
-    both = F.size(F.array_intersect("keys", "others"))
-    out.append(pairs.select("x", "y", (both / (F.size("keys") + F.size("others") - both)).alias("near")))
+        subs = keys.repartition(partitions(pairs.sparkSession), "x", "y", "sub").groupBy("x", "y", "n", "sub").agg(F.collect_list("e").alias("es"))
+        tried = subs.withColumn("r", peeled(_let(F.transform("es", lambda e: _placed(e["k"], e["s"], t)), _cells), t)).withColumn("ok", empty(F.col("r.cells")))
+        tried = saved(tried.select("x", "y", "n", "ok", "r.plus", "r.minus", F.when(~F.col("ok"), F.col("es")).alias("es")), "peeled")
+        out.append(tried.filter("ok").select("x", "y", "plus", "minus"))
+        left = tried.filter("not ok").select("x", "y", "n", F.explode("es").alias("e"))
+        if left.isEmpty():
+            break
+    rest = left.groupBy("x", "y", F.col("e.k").alias("k")).agg(F.sum("e.s").alias("s"))
+    only = lambda sign: F.when(F.col("s") == sign, F.array("k")).otherwise(F.array().cast("array<long>"))
+    out.append(rest.select("x", "y", only(1).alias("plus"), only(-1).alias("minus")))
     whole = out[0]
     for o in out[1:]:
         whole = whole.unionAll(o)
-    return whole
+    both = lambda c: F.flatten(F.collect_list(c)).alias(c)
+    return whole.groupBy("x", "y").agg(both("plus"), both("minus"))
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
