@@ -42,7 +42,7 @@ CUT = 32
 ROUNDS = 10
 TRIES = 8
 #: Keys of a pair that are peeled in its own row, and how often that is tried.
-HERE, TRIES_HERE = 512, 2
+HERE, TRIES_HERE = 2048, 4
 ROWS_PER_RANGE, MOST_RANGES, MOST_BOUNDS = 250, 65_536, 1000
 SLICES = 64
 
@@ -59,9 +59,9 @@ def check(key: Column) -> Column:
     return F.xxhash64(F.lit(_CHECK), key).bitwiseAND(F.lit(0xFFFFFFFF))
 
 
-def _placed(key: Column, sign: Column, seed: int) -> Column:
+def _placed(key: Column, sign: Column, seed: Column) -> Column:
     """A key with its check and its place in each part."""
-    u = F.xxhash64(F.lit(seed), key)
+    u = F.xxhash64(seed, key)
     places = [F.pmod(F.shiftrightunsigned(u, 16 * j), F.lit(CELLS // PARTS)).cast("int") for j in range(PARTS)]
     return F.struct(key.alias("k"), check(key).alias("c"), sign.alias("s"), F.array(*places).alias("p"))
 
@@ -81,9 +81,9 @@ def _cells(placed: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), cell)
 
 
-def sketch(keys: Column, seed: int = 0) -> Column:
+def sketch(keys: Column) -> Column:
     """The cells ``n, k, c`` of a set of keys."""
-    return _let(F.transform(keys, lambda k: _placed(k, F.lit(1), seed)), _cells)
+    return _let(F.transform(keys, lambda k: _placed(k, F.lit(1), F.lit(0))), _cells)
 
 
 def _let(value: Column, f) -> Column:
@@ -95,7 +95,7 @@ def minus(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: F.struct((x["n"] - y["n"]).alias("n"), x["k"].bitwiseXOR(y["k"]).alias("k"), x["c"].bitwiseXOR(y["c"]).alias("c")))
 
 
-def peeled(difference: Column, seed: int = 0) -> Column:
+def peeled(difference: Column, seed: Column) -> Column:
     """``cells, plus, minus``: what is left, and the keys of either side that came out."""
 
     def step(acc: Column, _: Column) -> Column:
@@ -121,37 +121,30 @@ def signed(keys: Column, others: Column) -> Column:
     return F.concat(side(keys, 1), side(others, -1))
 
 
-def sub_tables(n: Column, t: int) -> Column:
-    """How many sub-tables ``n`` keys are dealt to on try ``t``."""
-    return F.greatest(F.lit(1), F.ceil(n * 2 ** (t - 1) / 8)).cast("long")
+def sub_tables(n: Column, t: Column) -> Column:
+    """How many sub-tables ``n`` keys are dealt to on try ``t``: one, the sketch itself, on try 0."""
+    return F.when(t == 0, F.lit(1)).otherwise(F.greatest(F.lit(1), F.ceil(n * F.pow(F.lit(2.0), t - 1) / 8))).cast("long")
 
 
-def peeled_here(keys: Column, others: Column, t: int = 1) -> Column:
-    """``ok, plus, minus`` of a pair, by sub-tables in its own row."""
-    tables = sub_tables(F.size(keys) + F.size(others), t)
-    dealt = F.transform(signed(keys, others), lambda x: F.struct(_placed(x["k"], x["s"], t).alias("x"), F.pmod(F.xxhash64(F.lit(-t), x["k"]), tables).alias("sub")))
-    own = lambda d, sub: F.transform(F.filter(d, lambda y: y["sub"] == sub), lambda y: y["x"])
-    tried = _let(dealt, lambda d: F.transform(F.sequence(F.lit(0).cast("long"), tables - 1), lambda sub: peeled(_let(own(d, sub), _cells), t)))
+def recovered_here(cells: Column, keys: Column, others: Column, other_cells: Column) -> Column:
+    """``ok, plus, minus`` of a pair in one row: from its two sketches, or else by larger ones."""
+    n = F.size(keys) + F.size(others)
 
-    def whole(rs: Column) -> Column:
-        side = lambda c: F.flatten(F.transform(rs, lambda r: r[c])).alias(c)
-        return F.struct(F.forall(rs, lambda r: empty(r["cells"])).alias("ok"), side("plus"), side("minus"))
+    def step(acc: Column, t: Column) -> Column:
+        tables = sub_tables(n, t)
+        deal = F.transform(signed(keys, others), lambda x: F.struct(_placed(x["k"], x["s"], t).alias("x"), F.pmod(F.xxhash64(-t, x["k"]), tables).alias("sub")))
+        own = lambda d, sub: F.transform(F.filter(d, lambda y: y["sub"] == sub), lambda y: y["x"])
+        cells_of = lambda d, sub: F.when(t == 0, minus(cells, other_cells)).otherwise(_let(own(d, sub), _cells))
+        tried = _let(F.when(t > 0, deal), lambda d: F.transform(F.sequence(F.lit(0).cast("long"), tables - 1), lambda sub: peeled(cells_of(d, sub), t)))
 
-    def again(r: Column) -> Column:
-        return r if t >= TRIES_HERE else F.when(r["ok"], r).otherwise(peeled_here(keys, others, t + 1))
+        def whole(rs: Column) -> Column:
+            side = lambda c: F.flatten(F.transform(rs, lambda r: r[c])).alias(c)
+            return F.struct(F.forall(rs, lambda r: empty(r["cells"])).alias("ok"), side("plus"), side("minus"))
 
-    return _let(_let(tried, whole), again)
+        return F.when(acc["ok"] | ((t > 0) & (n > HERE)), acc).otherwise(_let(tried, whole))
 
-
-def recovered_here(cells: Column, other_cells: Column, keys: Column, others: Column) -> Column:
-    """``ok, plus, minus`` of a pair: from its two sketches, or else by larger ones."""
-
-    def again(r: Column) -> Column:
-        done = F.struct(empty(r["cells"]).alias("ok"), r["plus"].alias("plus"), r["minus"].alias("minus"))
-        few = F.size(keys) + F.size(others) <= HERE
-        return F.when(empty(r["cells"]) | ~few, done).otherwise(peeled_here(keys, others))
-
-    return _let(peeled(minus(cells, other_cells)), again)
+    none = F.array().cast("array<long>")
+    return F.aggregate(F.sequence(F.lit(0), F.lit(TRIES_HERE)), F.struct(F.lit(False).alias("ok"), none.alias("plus"), none.alias("minus")), step)
 
 
 def empty(cells: Column) -> Column:
@@ -232,8 +225,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .withColumns({"cells": sketch(F.col("keys")), "edited_cells": here(sketch(F.col("edited_keys")))})
         .withColumns({"next_keys": F.lead("keys").over(following), "next_cells": F.lead("cells").over(following)})
         .filter("extra = 0")
-        .withColumn("e", recovered_here(F.col("cells"), F.col("edited_cells"), F.col("keys"), F.col("edited_keys")))
-        .withColumn("x", recovered_here(F.col("cells"), F.col("next_cells"), F.col("keys"), F.col("next_keys")))
+        # Both pairs by one expression: it is large, and plans are gone through node by node.
+        .withColumn("both", F.transform(F.array(F.struct(F.col("edited_keys").alias("k"), F.col("edited_cells").alias("c")), F.struct(F.col("next_keys").alias("k"), F.col("next_cells").alias("c"))), lambda v: recovered_here(F.col("cells"), F.col("keys"), v["k"], v["c"])))
+        .withColumns({"e": F.get("both", F.lit(0)), "x": F.get("both", F.lit(1))})
     )
     open_ = ~F.col("e.ok") | ~F.col("x.ok")
     near = lambda r: F.when(F.col(f"{r}.ok"), likeness(F.size("keys"), F.size(f"{r}.plus"), F.size(f"{r}.minus")))
@@ -270,10 +264,10 @@ def recovered(pairs: DataFrame, tries: int = TRIES) -> DataFrame:
     left = pairs.select("x", "y", n.alias("n"), F.explode(signed(F.col("keys"), F.col("others"))).alias("e"))
     out = [pairs.select("x", "y", F.array().cast("array<long>").alias("plus"), F.array().cast("array<long>").alias("minus"))]
     for t in range(1, tries + 1):
-        keys = left.select("x", "y", "n", "e", F.pmod(F.xxhash64(F.lit(-t), "e.k"), sub_tables(F.col("n"), t)).alias("sub"))
+        keys = left.select("x", "y", "n", "e", F.pmod(F.xxhash64(F.lit(-t), "e.k"), sub_tables(F.col("n"), F.lit(t))).alias("sub"))
         # Peeling costs far more than its bytes say: tasks are not to be merged by size.
         subs = keys.repartition(partitions(pairs.sparkSession), "x", "y", "sub").groupBy("x", "y", "n", "sub").agg(F.collect_list("e").alias("es"))
-        tried = subs.withColumn("r", peeled(_let(F.transform("es", lambda e: _placed(e["k"], e["s"], t)), _cells), t)).withColumn("ok", empty(F.col("r.cells")))
+        tried = subs.withColumn("r", peeled(_let(F.transform("es", lambda e: _placed(e["k"], e["s"], F.lit(t))), _cells), F.lit(t))).withColumn("ok", empty(F.col("r.cells")))
         tried = saved(tried.select("x", "y", "n", "ok", "r.plus", "r.minus", F.when(~F.col("ok"), F.col("es")).alias("es")), "peeled")
         out.append(tried.filter("ok").select("x", "y", "plus", "minus"))
         left = tried.filter("not ok").select("x", "y", "n", F.explode("es").alias("e"))
