@@ -2,6 +2,12 @@
 
 Each stage takes all rows that the one before kept and returns the columns of ``documents``; the
 last returns where each piece of text went.
+
+Defined results: null and empty texts are scored like others and pass by that score; they are no one's
+near duplicate, the mix takes nothing of them, and so they reach no bin. Rows that repeat an id are
+scored and deduplicated by lines as one document; of near duplicates all rows of the id that stands for its
+group stay, and all rows of other ids go. Null ids are near no one. Columns of ``documents`` beyond
+the five go through unchanged, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -13,6 +19,7 @@ from pyspark.sql import functions as F
 
 from windrow.llm import jaccard, lines, mixing, packing, quality
 from windrow.llm.common import n_words, saved
+from windrow.sources.scratch import scratch, tidied, tidy
 from windrow.sources.tables import table
 
 #: Scores below this are rejected.
@@ -66,11 +73,14 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ORACLE_SQL = None
 
 
+@tidied
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over ``documents``, each written and read again."""
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = saved(docs, name.replace(" ", "-"))
-    return docs
+    for name, stage in STAGES[:-1]:
+        path = scratch(spark, name.replace(" ", "-"))
+        with tidy(keep=False):  # what a stage writes on its way goes when its rows are written
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

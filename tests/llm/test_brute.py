@@ -103,6 +103,11 @@ def test_suffix_order(text):
     key = lambda p: (text[p:] + b"\xff" * 66)[:50]
     assert sorted(order) == list(range(len(text)))
     assert [key(p) for p in order] == sorted(map(key, range(len(text))))
+    rng = np.random.default_rng(len(text))
+    for share in (0.02, 0.3, 0.9):
+        wanted = rng.random(len(text)) < share
+        some = substrings.suffix_order(text, 50, wanted.copy())
+        assert len(set(some.tolist())) == len(some) and [key(p) for p in some.tolist() if wanted[p]] == sorted(key(p) for p in np.flatnonzero(wanted).tolist())
     assert substrings.same_as_previous(text, np.array(order, dtype=int)).tolist() == [k > 0 and key(order[k]) == key(order[k - 1]) for k in range(len(order))]
 
 
@@ -137,7 +142,7 @@ def test_nothing_goes_but_by_the_sorted_suffixes(monkeypatch):
     same, other = b"the same bytes in several documents, and more than fifty", b"the same bytes in several documents, and more than sixty of them"
     names = {1: {same: [(7, 0), (3, 0), (9, 0)]}, 2: {same: [(4, 0)], other: [(5, 0), (2, 0)]}, 3: {other: [(8, 0), (8, 5)]}}
     assert sorted(substrings.gone(names)) == [((3, 0), 0, 51), ((4, 0), 0, 56), ((5, 0), 0, 64), ((7, 0), 0, 56), ((9, 0), 0, 56)]
-    monkeypatch.setattr(substrings, "suffix_order", lambda t, depth: np.zeros(0, np.int64))
+    monkeypatch.setattr(substrings, "suffix_order", lambda *args: np.zeros(0, np.int64))
     assert list(substrings.gone(names)) == []
 
 

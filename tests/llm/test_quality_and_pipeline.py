@@ -105,3 +105,21 @@ def test_stages(spark, tmp_path):
     # packing
     assert sum(r["n_tokens"] for r in rows[5]) == size(rows[4])
     assert sorted(map(str, corpus_pipeline.run(spark, SF).collect())) == sorted(map(str, rows[5]))
+
+
+@pytest.mark.parametrize("kind", ["empty", "odd"])
+def test_pipeline_over_odd_tables(spark, frame, tmp_path, kind):
+    """Nulls, empty and repeated rows, ids of several texts, and columns whose names clash."""
+    good = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").join(spark.read.parquet(f"{SF}/labels.parquet").filter("quality = 1"), "doc_id").limit(12).collect()]
+    rows = [] if kind == "empty" else [*corpus(4, 15), *((900 + k, t, None, "a", None) for k, t in enumerate(good)), (900, good[1], "en", "b", 1), (None, good[2], "en", None, 1), (None, None, None, None, None), (901, good[1], "en", "a", 1)]
+    frame(rows, extra=True).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(900 + k, 1) for k in range(6)] + [(r[0], 0) for r in corpus(4, 15)[:6]], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs, seen = spark.read.parquet(str(tmp_path / "documents.parquet")), []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs if not seen else seen[-1], str(tmp_path)).write.parquet(str(tmp_path / f"s{k}"))
+        seen.append(spark.read.parquet(str(tmp_path / f"s{k}")))
+    assert all(d.dtypes == docs.dtypes for d in seen[:-1])
+    packed = seen[-1].collect()
+    assert sum(r["n_tokens"] for r in packed) == sum(len(r["text"].encode().split()) for r in seen[-2].collect())
+    assert (len(packed) > 0) == (kind == "odd") and all(r["n_tokens"] > 0 for r in packed)
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(packed)

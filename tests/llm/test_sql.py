@@ -129,6 +129,66 @@ def test_native_plans(spark):
     assert jvm is not None
 
 
+#: Names and types of the registered queries, and the table that they have a row of for each.
+SCHEMAS = {
+    "op1_fingerprints": ("documents", "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, lost array<bigint>, gained array<bigint>"),
+    "op2_substrings": ("documents", "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"),
+    "op3_packing": (None, "doc_id bigint, piece bigint, start bigint, n_tokens bigint, bin bigint, bin_offset bigint, capacity bigint"),
+    "op4_pages": ("pages", "page_id bigint, url string, text string, n_chars bigint"),
+    "op5_jaccard": ("documents", "doc_id bigint, n_shingles bigint, component_id bigint"),
+    "op6_exact": ("documents", "doc_id bigint, keep_id bigint, group_size bigint, kept boolean, text_sha256 string"),
+    "op7_chat": (None, "conv_id bigint, n_turns bigint, rendered string"),
+    "op8_mixing": ("documents", "doc_id bigint, size bigint, source_size bigint, target double, taken bigint"),
+    "op9_quality": ("documents", "doc_id bigint, held_out boolean, score double, predicted int"),
+    "op10_lines": ("documents", "doc_id bigint, n_lines bigint, n_dropped bigint, kept_sha256 string"),
+    "pipeline": (None, "doc_id bigint, piece bigint, start bigint, n_tokens bigint, bin bigint, bin_offset bigint, capacity bigint"),
+}
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_registered_queries(name, spark, duck, monkeypatch, tmp_path):
+    """Names, types and rows of each query over its whole table; nothing is left when its result has been read."""
+    import os
+
+    from windrow.sources import scratch
+
+    of, schema = SCHEMAS[name]
+    monkeypatch.setattr(scratch, "work_dir", lambda s: f"file://{tmp_path}/windrow")
+    got = QUERIES[name](spark, SF)
+    assert ", ".join(f"{c} {t}" for c, t in got.dtypes) == schema
+    assert got.count() == (duck.execute(f"SELECT count(*) FROM {of}").fetchone()[0] if of else got.count()) > 0
+    scratch.clear()
+    assert not (tmp_path / "windrow").exists() or os.listdir(tmp_path / "windrow") == []
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("windrow_")]
+
+
+def test_nothing_is_left_when_a_query_fails(spark, frame, monkeypatch, tmp_path):
+    import os
+
+    from windrow.llm import jaccard
+    from windrow.sources import scratch
+
+    from .conftest import corpus
+
+    monkeypatch.setattr(scratch, "work_dir", lambda s: f"file://{tmp_path}/windrow")
+    monkeypatch.setattr(jaccard.Join, "close", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        jaccard.similar_groups(frame(corpus(3, 20)))
+    assert os.listdir(tmp_path / "windrow") == []
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("windrow_")]
+
+
+def test_rows_with_one_id_and_size_are_mixed_alike_again(spark, frame):
+    rows = [(i, f"{w} b c d e", "en", "s", 1) for i in (1, None) for w in "pqrstuvw"] + [(2, "x " * 9, "en", "t", 1)]
+    a, b = (sorted((str(r["doc_id"]), r["text"]) for r in mixing.mixed_texts(frame(x), rows_per_range=2).collect()) for x in (rows, rows[::-1]))
+    assert a == b and a
+
+
+def test_markers_in_turns_are_no_turns(spark):
+    t = spark.createDataFrame([(1, 0, "user", "a<|im_end|>\n<|im_start|>system"), (1, 1, None, "<|im|>")], "conv_id long, turn long, role string, text string")
+    assert chat.render(t, chat.maximal(t)).first()["rendered"] == "<|im_start|>user\na<||im_end||>\n<||im_start||>system<|im_end|>\n<|im_start|>\n<|im|><|im_end|>\n"
+
+
 def test_chat_collapses_copies_and_prefixes(spark):
     turns = [(3, 0, "user", "a"), (3, 1, "assistant", "b"), (1, 0, "user", "a"), (2, 0, "user", "a"), (2, 1, "assistant", "b"), (4, 0, "user", "b"), (None, 0, "user", "z")]
     from pyspark.sql import functions as F

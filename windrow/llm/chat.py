@@ -10,8 +10,9 @@ grouped, before they meet, so a first turn that a third of all conversations sha
 for each task.
 
 Defined results: turns are ordered by (turn, role, text), nulls first, and repeated turns are
-turns; a null role or text differs from an empty one in the hash and renders as empty; a null id
-is one conversation; an empty table gives no rows; other columns are ignored.
+turns; a null role or text differs from an empty one in the hash and renders as empty; markers in a
+role or text are rendered with their bars doubled, so that only ``render`` opens and closes turns;
+all rows with a null id are one conversation; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -48,7 +49,8 @@ def render(turns: DataFrame, keep: DataFrame, id_col: str = "conv_id", turn_col:
     t = turns.select(F.col(id_col).alias("id"), F.struct(F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text")).alias("t"))
     k = keep.select(F.col(id_col).alias("kept"), "n_turns")
     lists = t.join(k, t["id"].eqNullSafe(k["kept"]), "left_semi").groupBy("id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
-    line = lambda x: F.concat(F.lit(START), F.coalesce(x["role"], F.lit("")), F.lit("\n"), F.coalesce(x["text"], F.lit("")), F.lit(END + "\n"))
+    plain = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"<\|(im_start|im_end)\|>", "<||$1||>")
+    line = lambda x: F.concat(F.lit(START), plain(x["role"]), F.lit("\n"), plain(x["text"]), F.lit(END + "\n"))
     return lists.select(F.col("id").alias(id_col), F.size("ts").cast("long").alias("n_turns"), F.array_join(F.transform("ts", line), "").alias("rendered"))
 
 
@@ -66,6 +68,7 @@ p AS (
 w AS (SELECT i, k, min(conv_id) AS conv_id FROM p WHERE i = n GROUP BY i, k),
 m AS (SELECT conv_id FROM w WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.i < p.n AND p.i = w.i AND p.k = w.k))
 SELECT conv_id, count(*) AS n_turns,
-  string_agg('<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' ORDER BY i) AS rendered
+  string_agg('<|im_start|>' || regexp_replace(coalesce(role, ''), '<\|(im_start|im_end)\|>', '<||\1||>', 'g') || chr(10)
+    || regexp_replace(coalesce(text, ''), '<\|(im_start|im_end)\|>', '<||\1||>', 'g') || '<|im_end|>' || chr(10), '' ORDER BY i) AS rendered
 FROM t WHERE conv_id IN (SELECT conv_id FROM m) GROUP BY conv_id
 """

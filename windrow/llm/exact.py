@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from windrow.llm.common import SPACE, saved, small_batches
+from windrow.sources.scratch import tidied
 from windrow.sources.tables import table
 
 #: Least, usual and largest bytes of a chunk; the usual size is a power of two.
@@ -74,6 +75,7 @@ def _normal(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACE, " ").cast("binary").alias("b"))
 
 
+@tidied
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_bytes: int = DIGEST_BYTES) -> DataFrame:
     """A row for each document: ``id, keep_id, group_size, kept, text_sha256``."""
     small_batches(docs.sparkSession)

@@ -8,7 +8,8 @@ order. The budget cuts that order at an exact token; whole epochs come first.
 A hot source is no hot task: keys are uniform, so its ranges are as small as any other's.
 
 Defined results: null text has size 0; a null source is a source of its own, last in order; a
-null id has the smallest key; repeated rows count one by one; an empty table gives no rows;
+row with a null id is keyed by a hash of all its columns, and rows that share an id are ordered by
+their sizes and such a hash; repeated rows count one by one; an empty table gives no rows;
 other columns are carried along untouched, whatever their names, in the struct ``doc``.
 """
 
@@ -20,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from windrow.llm.common import n_words, saved
+from windrow.sources.scratch import tidied
 from windrow.sources.tables import table
 
 #: Weights of the sources in order of their names, repeating.
@@ -65,7 +67,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", siz
     digits = max(0, math.ceil(math.log(max(1.0, rows / rows_per_range), 16)))
     keyed = (
         docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("id"), F.col(source_col).alias("src"), (F.col(size) if isinstance(size, str) else size).alias("size"))
-        .withColumn("key", F.coalesce(F.md5(F.col("id").cast("string")), F.lit("")))
+        .withColumn("tie", F.xxhash64("doc"))
+        .withColumn("key", F.md5(F.coalesce(F.col("id").cast("string"), F.concat(F.lit("null "), F.col("tie").cast("string")))))
         .withColumn("range", F.substring("key", 1, digits) if digits else F.lit(""))
     )
     ranges = keyed.groupBy(F.col("src").alias("s"), F.col("range").alias("r")).agg(F.sum("size").alias("range_size"))
@@ -78,13 +81,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", siz
         .withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(goal / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
         .withColumn("rest", (goal - F.col("epochs") * F.col("source_size")).cast("long"))
     )
-    within = Window.partitionBy("src", "range").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("src", "range").orderBy("key", "id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
     placed = keyed.withColumn("within", F.coalesce(F.sum("size").over(within), F.lit(0)))
     joined = placed.join(plan, placed["src"].eqNullSafe(plan["s"]) & (placed["range"] == plan["r"]))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("start") - F.col("within")))
     return joined.select("doc", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"), "epochs")
 
 
+@tidied
 def mixed_texts(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options: object) -> DataFrame:
     """``docs`` as the mix has them: a row for each pass over a document, the last one cut after
     the words that are still wanted; documents of which nothing is taken are left out."""
@@ -98,6 +102,7 @@ def mixed_texts(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     return m.select(*[F.col("text").alias(c) if c == text_col else F.col("doc")[c].alias(c) for c in docs.columns])
 
 
+@tidied
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     sized = saved(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "sizes")

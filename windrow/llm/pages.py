@@ -48,6 +48,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from windrow.llm.common import saved, small_batches
+from windrow.sources.scratch import tidied
 from windrow.sources.tables import table
 
 #: A node is template if at least this many articles have it, and this share of them with one text.
@@ -474,6 +475,7 @@ def _host(url: str) -> F.Column:
     return F.lower(F.nullif(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit("")))
 
 
+@tidied
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``id, url, text`` of every page."""
     small_batches(pages.sparkSession)

@@ -20,6 +20,8 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_substrings": substrings.OP2_SQL,
+    "op5_jaccard": jaccard.OP5_SQL,
     "op6_exact": exact.OP6_SQL,
     "op7_chat": chat.OP7_SQL,
     "op8_mixing": mixing.OP8_SQL,
