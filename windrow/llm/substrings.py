@@ -82,15 +82,25 @@ def runs(b: bytes, window: int = WINDOW, gram: int = GRAM, seed: int = 0) -> tup
     return m[starts], starts, np.concatenate([at, [len(m)]])
 
 
-def suffix_order(t: bytes, depth: int = WINDOW) -> np.ndarray:
-    """Starts of all suffixes of ``t`` in the order of their first ``depth`` bytes, or more."""
+def suffix_order(t: bytes, depth: int = WINDOW, wanted: np.ndarray | None = None) -> np.ndarray:
+    """Starts of all suffixes of ``t`` in the order of their first ``depth`` bytes, or more; with
+    ``wanted``, of those marked there and of what they are induced from."""
     n, padded = len(t), np.frombuffer(t + _END * (depth + 16), dtype=np.uint8)
     c = padded[:n]
-    direct = np.flatnonzero(c <= padded[1 : n + 1])
+    falls = c > padded[1 : n + 1]  # larger than its successor
+    if wanted is not None:
+        # A suffix that is larger than its successor is put in place by it: up to the next that isn't.
+        ends = np.flatnonzero(wanted & ~np.append(wanted[1:], False))
+        stops = np.minimum.accumulate(np.where(falls, n - 1, np.arange(n))[::-1])[::-1][ends]
+        step = np.bincount(ends, minlength=n + 1) - np.bincount(stops, minlength=n + 1)
+        wanted = wanted | (np.cumsum(step[:n]) > 0)
+        wanted[stops] = True
+    direct = np.flatnonzero(~falls if wanted is None else wanted & ~falls)
     word = lambda k, at: np.ndarray((n + 1,), ">u8", padded, 8 * k, (1,))[at].astype(_U)
     words = -(-depth // 8)
-    order = np.lexsort((word(1, direct), word(0, direct)))
-    first, second = word(0, direct)[order], word(1, direct)[order]
+    first, second = word(0, direct), word(1, direct)
+    order = np.lexsort((second, first))
+    first, second = first[order], second[order]
     same = np.concatenate([[False], (first[1:] == first[:-1]) & (second[1:] == second[:-1])])
     tied = same | np.append(same[1:], False)
     if tied.any() and words > 2:
@@ -108,6 +118,8 @@ def suffix_order(t: bytes, depth: int = WINDOW) -> np.ndarray:
         out.append(bucket)
         before = bucket[bucket > 0] - 1
         before = before[c[before] > x]  # larger than their successors, which are in place now
+        if wanted is not None:
+            before = before[wanted[before]]
         to = c[before]
         by = np.argsort(to, kind="stable")
         heads, at = np.unique(to[by], return_index=True)
@@ -127,21 +139,23 @@ def same_as_previous(t: bytes, order: np.ndarray, depth: int = WINDOW) -> np.nda
     return same
 
 
-def least_holders(contexts: list[bytes], holders: list[int], window: int = WINDOW) -> list[np.ndarray]:
-    """For each context and each of its windows, the least holder of a context with an equal one."""
+def least_holders(contexts: list[bytes], holders: list[int], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """For the windows of all contexts, one after the other, the least holder of a context with an
+    equal one; and where the windows of each context begin."""
     t = _END.join(contexts) + _END
     lengths = np.array([len(x) for x in contexts])
     firsts = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
     owner = np.repeat(np.arange(len(contexts)), lengths + 1)
     offset = np.arange(len(t)) - firsts[owner]
-    order = suffix_order(t, window)
-    order = order[offset[order] <= lengths[owner[order]] - window]
+    starts = offset <= (lengths - window)[owner]
+    order = suffix_order(t, window, starts)
+    order = order[starts[order]]
     start = np.flatnonzero(~same_as_previous(t, order, window))
     held = np.array(holders)[owner[order]]
     least = np.full(len(t), np.iinfo(np.int64).max)
     if len(order):
         least[order] = np.repeat(np.minimum.reduceat(held, start), np.diff(np.append(start, len(order))))
-    return [least[f : f + n - window + 1] for f, n in zip(firsts.tolist(), lengths.tolist(), strict=True)]
+    return least[starts], np.concatenate([[0], np.cumsum(lengths - window + 1)])
 
 
 #: Contexts by their names, and by their bytes the occurrences: the document and where it has them.
@@ -161,13 +175,14 @@ def gone(names: Names, window: int = WINDOW) -> Iterator[tuple[tuple[int, ...],
         if block and (same is None or held >= BLOCK):
             rank = {d: k for k, d in enumerate(sorted({at[0] for _, where in block for at in where}))}
             holders = [min(rank[at[0]] for at in where) for _, where in block]
-            for (c, where), least in zip(block, least_holders([c for c, _ in block], holders, window), strict=True):
-                low, high = int(least.min()), int(least.max())
+            least, bounds = least_holders([c for c, _ in block], holders, window)
+            lows, highs = (f.reduceat(least, bounds[:-1]).tolist() for f in (np.minimum, np.maximum))
+            for (c, where), low, high, k, m in zip(block, lows, highs, bounds.tolist(), bounds[1:].tolist(), strict=False):
                 for at in where:
                     if (r := rank[at[0]]) > high:
                         yield at, 0, len(c)
                     elif r > low:
-                        for x, y in zip(*(z.tolist() for z in spans(r > least)), strict=True):
+                        for x, y in zip(*(z.tolist() for z in spans(r > least[k:m])), strict=True):
                             yield at, x, y + window - 1
             block, held = [], 0
 
@@ -326,3 +341,22 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(table(spark, sf_dir, "documents"), with_text=False).withColumnRenamed("id", "doc_id")
+
+
+OP2_SQL = r"""
+WITH t AS (SELECT doc_id, encode(coalesce(text, '')) AS b, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents),
+w AS (SELECT doc_id, i, b[i:i + 49] AS s FROM (SELECT doc_id, b, unnest(range(1, n - 48)) AS i FROM t) x),
+m AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+g AS (SELECT w.doc_id, w.i FROM w JOIN m ON w.s = m.s WHERE w.doc_id > m.least),
+f AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS fresh FROM g),
+r AS (SELECT doc_id, span, min(i) AS a, max(i) + 49 AS z FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM f) x GROUP BY doc_id, span),
+k AS (
+  SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) + 1 AS a, a - 1 AS z FROM r
+  UNION ALL SELECT t.doc_id, coalesce(max(r.z), 0) + 1, t.n FROM t LEFT JOIN r ON r.doc_id = t.doc_id GROUP BY t.doc_id, t.n),
+kept AS (
+  SELECT k.doc_id, sha256(unhex(coalesce(string_agg(hex(t.b[k.a:k.z]), '' ORDER BY k.a) FILTER (WHERE k.z >= k.a), ''))) AS kept_sha256
+  FROM k JOIN t ON t.doc_id = k.doc_id GROUP BY k.doc_id),
+c AS (SELECT doc_id, CAST(sum(z - a + 1) AS BIGINT) AS n_removed, count(*) AS n_spans FROM r GROUP BY doc_id)
+SELECT t.doc_id, t.n AS n_bytes, coalesce(c.n_removed, 0) AS n_removed, coalesce(c.n_spans, 0) AS n_spans, kept.kept_sha256
+FROM t JOIN kept ON kept.doc_id = t.doc_id LEFT JOIN c ON c.doc_id = t.doc_id
+"""
