@@ -109,13 +109,28 @@ def test_greedy_groups(spark, seed):
 
 
 def test_index_of_a_sound_file_has_no_violations(spark):
-    v = layout.violations(layout.region_index(layout_plans.regions(spark, SF), 4)).agg(F.sum("negative"), F.sum("before"), F.sum("gap")).first()
-    assert tuple(v) == (0, 0, 0)
+    index = layout.region_index(layout_plans.regions(spark, SF), 4).withColumn("magic", F.lit(layout.MAGIC))
+    files = layout_plans.records(spark, SF).groupBy("producer").agg(F.sum("bytes").alias("file_bytes"))
+    v = layout.violations(index, files).agg(*[F.sum(c) for c in ("negative", "before", "beyond", "magic", "gap")]).first()
+    assert tuple(v) == (0, 0, 0, 0, 0)
+
+
+def test_trailers(spark):
+    import struct
+
+    index = layout.region_index(layout_plans.regions(spark, SF), 4)
+    rows = {r["producer"]: r for r in layout.trailer(index).collect()}
+    for p, r in rows.items():
+        own = index.filter(F.col("producer") == p).orderBy("region", "sub").collect()
+        b = b"".join(struct.pack(">qqi", x["offset"], x["bytes"], layout.MAGIC) for x in own)
+        assert (r["n_regions"], r["index_bytes"], r["crc"]) == (len(own) // 4, len(b), zlib.crc32(b))
+    lost = layout.committed(index.filter("producer <> 'en'"), layout.trailer(index))
+    assert dict(lost.collect()) == {p: "missing" if p == "en" else "ok" for p in rows}
 
 
 def test_crc32(spark):
-    for r in layout.with_checksum(spark.createDataFrame([("",), ("abc",), ("é",)], "t string"), F.col("t").cast("binary")).collect():
-        assert r["crc"] == zlib.crc32(r["t"].encode())
+    for r in layout.with_header(spark.createDataFrame([("",), ("abc",), ("é",)], "t string"), F.col("t").cast("binary"), F.col("t") != "abc").collect():
+        assert (r["bytes"], r["crc"]) == (len(r["t"].encode()), 0 if r["t"] == "abc" else zlib.crc32(r["t"].encode()))
 
 
 def workers(spark, rows):
@@ -147,6 +162,33 @@ def test_min_num(spark, seed):
     assert [r["worker"] for r in got] == want
 
 
+def test_min_num_makes_no_more_places_than_it_needs(spark):
+    """One worker has very many partitions already; the others share the requests."""
+    w = workers(spark, [(k, k, 0, 0, 0, 0, 1_000_000 if k == 0 else k % 3) for k in range(200)])
+    got = placement.min_num(spark.range(2000).withColumnRenamed("id", "request"), w)
+    counts = {r["worker"]: r["count"] for r in got.groupBy("worker").count().collect()}
+    assert got.count() == 2000 and 0 not in counts and max(counts.values()) - min(counts.values()) <= 3
+
+
+def test_numbering_ranges_hold_alike_many_rows(spark):
+    from windrow.operators.ranking import quantiles, range_of
+
+    d = spark.range(20_000).unionAll(spark.createDataFrame([(1 << 60,)], "id long"))
+    bounds, parts = quantiles(d, "id", 20)
+    sizes = [r["count"] for r in d.groupBy(range_of(F.col("id"), bounds, parts)).count().collect()]
+    assert len(sizes) == 20 and max(sizes) < 1300
+    assert numbered(d, "id", "at", rows_per_range=1000).filter("at <> least(id, 20000) + 1").count() == 0
+
+
+def test_disks_take_turns(spark):
+    """Ten thousand requests are spread over the disks with room, evenly."""
+    d = spark.createDataFrame([(1, k, "SSD" if k < 4 else "HDD", 500 if k != 2 else 5, 0, k != 3) for k in range(8)], "worker long, disk long, medium string, free long, used long, healthy boolean")
+    q = spark.range(1200).select(F.col("id").alias("request"), F.lit(1).cast("long").alias("worker"))
+    share = lambda **o: {r["disk"]: r["count"] for r in placement.spread_over_disks(q, d, reserve=100, limit=100, **o).groupBy("disk").count().collect()}
+    assert share(preferred="SSD") == {0: 600, 1: 600} and share(preferred="HDD") == {k: 300 for k in range(4, 8)}
+    assert share(preferred="HDD", only="SSD") == {0: 600, 1: 600}
+
+
 def test_locality_and_strategies(spark):
     w = workers(spark, [(1, 7, 0, 0, 0, 0, 0), (2, 7, 0, 0, 0, 0, 0), (3, 8, 0, 0, 0, 0, 0)])
     q = spark.createDataFrame([(0, 7), (1, 9), (2, 8), (3, 9), (4, None)], "request long, host long")
@@ -186,7 +228,7 @@ def test_amounts(spark, text, size, nanos):
     assert tuple(d.select(config.memory_bytes(F.col("s")), config.duration_nanos(F.col("s"))).first()) == (size, nanos)
 
 
-@pytest.mark.parametrize(("text", "want"), [("A;B;C", ["A", "B", "C"]), ("'A;B';C", ["A;B", "C"]), ("\"AB'D\";B;C", ["AB'D", "B", "C"]), ("'it''s';\"a\"\"b\"", ["it's", 'a"b'])])
+@pytest.mark.parametrize(("text", "want"), [("A;B;C", ["A", "B", "C"]), ("'A;B';C", ["A;B", "C"]), ("\"AB'D\";B;C", ["AB'D", "B", "C"]), ("'it''s';\"a\"\"b\"", ["it's", 'a"b']), ("A;;B", ["A", "", "B"]), ("'';B", ["", "B"]), ("'a'x;B", None), ("'open;B", None), ("a'b;c", ["a'b", "c"]), (";A;", ["A"]), ("", [])])
 def test_quoted_lists(spark, text, want):
     assert spark.createDataFrame([(text,)], "s string").select(config.split_quoted(F.col("s"))).first()[0] == want
 

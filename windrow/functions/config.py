@@ -48,15 +48,25 @@ def duration_nanos(text: Column) -> Column:
 
 def split_quoted(text: Column, delimiter: str = ";") -> Column:
     """Split where the delimiter is not within single or double quotes; a doubled quote within
-    quotes is one."""
+    quotes is one. Two delimiters with nothing between them, or an empty pair of quotes, are an
+    empty item; one at the start or end is none. An open quote, or text behind a closed one, makes
+    the whole list null."""
     d = "\\" + delimiter
-    pattern = rf"""(?:^|{d})(\s*"(?:[^"]|"")*"\s*|\s*'(?:[^']|'')*'\s*|[^{d}]*)"""
-    clean = lambda x: (
-        F.when(F.trim(x).rlike(r'^".*"$'), F.replace(F.regexp_extract(F.trim(x), r'(?s)^"(.*)"$', 1), F.lit('""'), F.lit('"')))
-        .when(F.trim(x).rlike(r"^'.*'$"), F.replace(F.regexp_extract(F.trim(x), r"(?s)^'(.*)'$", 1), F.lit("''"), F.lit("'")))
-        .otherwise(F.trim(x))
+    single, double = r"'[^']*+(?:''[^']*+)*+'", r'"[^"]*+(?:""[^"]*+)*+"'
+    token = rf"""{single}|{double}|{d}|[^\s{d}'"][^{d}]*+"""
+    tokens = F.regexp_extract_all(text, F.lit(rf"({token})"), F.lit(1))
+    is_quoted = lambda x: x.startswith("'") | x.startswith('"')
+    inside = lambda x: F.substring(x, F.lit(2), F.length(x) - 2)
+    item = lambda x: (
+        F.when(x.startswith("'"), F.replace(inside(x), F.lit("''"), F.lit("'")))
+        .when(x.startswith('"'), F.replace(inside(x), F.lit('""'), F.lit('"')))
+        .otherwise(F.regexp_replace(x, r"\s+$", ""))
     )
-    return F.filter(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), clean), lambda x: x != "")
+    pairs = F.zip_with(tokens, F.slice(tokens, 2, F.greatest(F.size(tokens), F.lit(1))), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+    broken = F.exists(pairs, lambda p: is_quoted(p["x"]) & F.coalesce(p["y"] != delimiter, F.lit(False)))
+    kept = F.filter(pairs, lambda p: (p["x"] != delimiter) | F.coalesce(p["y"] == delimiter, F.lit(False)))
+    items = F.transform(kept, lambda p: F.when(p["x"] == delimiter, F.lit("")).otherwise(item(p["x"])))
+    return F.when(text.rlike(rf"^(?:\s*+(?:{token}))*+\s*+$") & ~broken, items)
 
 
 def quoted(text: Column, delimiter: str = ";") -> Column:
@@ -87,3 +97,18 @@ def human_bytes(n: Column) -> Column:
     for unit, k in (("kb", 1 << 10), ("mb", 1 << 20), ("gb", 1 << 30), ("tb", 1 << 40)):
         out = F.when(n >= k, F.concat(F.format_string("%.2f", n / k), F.lit(f" {unit}"))).otherwise(out)
     return out
+
+
+def split_framed(payload: Column) -> Column:
+    """The pieces of bytes in which each piece follows its length in four bytes; null if they don't come out even."""
+
+    def step(acc: Column, _: Column) -> Column:
+        size = F.conv(F.hex(F.substring(payload, acc["at"], F.lit(4))), 16, 10).cast("int")
+        piece = F.substring(payload, acc["at"] + 4, size)
+        more = F.struct((acc["at"] + 4 + size).alias("at"), F.concat(acc["out"], F.array(piece)).alias("out"))
+        return F.when(acc["at"] + 3 <= F.octet_length(payload), more).otherwise(acc)
+
+    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<binary>").alias("out"))
+    most = F.floor(F.octet_length(payload) / 4).cast("int")
+    done = F.aggregate(F.sequence(F.lit(0), most), start, step, lambda s: F.when(s["at"] == F.octet_length(payload) + 1, s["out"]))
+    return done

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of bookkeeping for each record in a sort buffer.
 ENTRY_BYTES = 16
+#: Marks an entry of an index and a header of a buffer.
+MAGIC = 0x57494E44
 
 
 def greedy_groups(df: DataFrame, keys: list[str], order: list[str], size: str, capacity: int, mode: str | None = None, entry: int = 0, col: str = "grp") -> DataFrame:
@@ -57,15 +59,66 @@ def read_order(index: DataFrame, first: int, last: int) -> DataFrame:
     return index.filter(F.col("sub").between(first, last) & (F.col("bytes") > 0)).withColumn("nth", F.row_number().over(w).cast("long"))
 
 
-def violations(index: DataFrame) -> DataFrame:
-    """Number of entries of each producer that break a rule of the index."""
-    w = Window.partitionBy("producer").orderBy("region", "sub")
-    end = F.lag(F.col("offset") + F.col("bytes")).over(w)
-    gap = ~F.col("is_broadcast") & (F.coalesce(F.lag("is_broadcast").over(w), F.lit(False)) == F.lit(False)) & (F.col("offset") != F.coalesce(end, F.lit(0)))
-    marked = index.select("producer", (F.col("bytes") < 0).alias("negative"), (F.col("offset") < 0).alias("before"), gap.alias("gap"))
-    n = lambda c: F.sum(F.col(c).cast("long")).alias(c)
-    return marked.groupBy("producer").agg(n("negative"), n("before"), n("gap"))
+def schedule(index: DataFrame) -> DataFrame:
+    """The extents of all readers of a file in the order they are read: always the one next that begins first."""
+    w = Window.partitionBy("producer").orderBy("offset", "sub")
+    return index.filter(F.col("bytes") > 0).withColumn("turn", F.row_number().over(w).cast("long"))
+
+
+def read_out(regions: DataFrame, order: list[int]) -> DataFrame:
+    """Records of a region with ``nth``, their place when subpartitions are read out in ``order``; those of one keep theirs."""
+    place = F.array_position(F.array(*map(F.lit, order)), F.col("sub"))
+    return regions.withColumn("nth", F.row_number().over(Window.partitionBy("producer", "region").orderBy(place, "seq")).cast("long"))
 
 
-def with_checksum(df: DataFrame, payload: Column) -> DataFrame:
-    return df.withColumn("crc", F.crc32(payload))
+def order_violations(written: DataFrame, at: str) -> DataFrame:
+    """By producer, how many records fall back to a lesser subpartition within their region in the
+    order of ``at``, go to all but not by the first, or are empty."""
+    before = F.lag("sub").over(Window.partitionBy("producer", "region").orderBy(at))
+    n = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("long"))
+    marked = written.withColumn("falls", ~F.col("is_broadcast") & (before > F.col("sub")))
+    return marked.groupBy("producer").agg(F.count(F.lit(1)).alias("n"), n(F.col("falls")).alias("n_falling"), n(F.col("is_broadcast") & (F.col("sub") != 0)).alias("n_broadcast_elsewhere"), n(F.col("bytes") == 0).alias("n_empty"))
+
+
+def violations(index: DataFrame, files: DataFrame) -> DataFrame:
+    """Number of entries of each producer that break a rule of the index: ``producer, region, sub,
+    is_broadcast, offset, bytes, magic`` against the sizes ``producer, file_bytes`` of the data. The
+    entries of a region for all point to one place, so only the first of them follows on the entry before."""
+    w = Window.partitionBy("producer").orderBy("region", "sub")
+    end = F.lag(F.col("offset") + F.col("bytes")).over(w)
+    first = F.row_number().over(Window.partitionBy("producer", "region").orderBy("sub")) == 1
+    marked = index.withColumns({"end_": end, "first_": first}).join(files, "producer")
+    broken = {
+        "negative": F.col("bytes") < 0,
+        "before": F.col("offset") < 0,
+        "beyond": (F.col("bytes") >= 0) & (F.col("offset") + F.col("bytes") > F.col("file_bytes")),
+        "magic": F.col("magic") != MAGIC,
+        "gap": (~F.col("is_broadcast") | F.col("first_")) & (F.col("offset") != F.coalesce("end_", F.lit(0))),
+    }
+    return marked.groupBy("producer").agg(*[F.sum(c.cast("long")).alias(k) for k, c in broken.items()])
+
+
+def _entry() -> Column:
+    """The bytes of an entry, in hexadecimal: offset, length, magic."""
+    part = lambda c, n: F.lpad(F.hex(c), n, "0")
+    return F.concat(part(F.col("offset"), 16), part(F.col("bytes"), 16), part(F.lit(MAGIC), 8))
+
+
+def trailer(index: DataFrame) -> DataFrame:
+    """``producer, n_regions, index_bytes, crc``: what a file's index ends with when it is committed.
+    An index is a few bytes for each region, held in one row."""
+    regions = index.groupBy("producer", "region").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sub", _entry().alias("e")))), lambda x: x["e"]), "").alias("e"))
+    files = regions.groupBy("producer").agg(F.count(F.lit(1)).alias("n_regions"), F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("region", "e"))), lambda x: x["e"]), "")).alias("b"))
+    return files.select("producer", "n_regions", F.octet_length("b").cast("long").alias("index_bytes"), F.crc32("b").alias("crc"))
+
+
+def committed(found: DataFrame, trailers: DataFrame) -> DataFrame:
+    """``producer, state``: whether an index is the one that its trailer was written for: ok, size, crc, or missing."""
+    now = trailer(found).select("producer", F.col("n_regions").alias("n_"), F.col("crc").alias("crc_"))
+    state = F.when(F.col("n_").isNull(), "missing").when(F.col("n_") != F.col("n_regions"), "size").when(F.col("crc_") != F.col("crc"), "crc").otherwise("ok")
+    return trailers.join(now, "producer", "left").select("producer", state.alias("state"))
+
+
+def with_header(df: DataFrame, payload: Column, checked: Column) -> DataFrame:
+    """``bytes, magic, crc`` of a buffer; the checksum is 0 where checking is off."""
+    return df.withColumns({"bytes": F.octet_length(payload).cast("long"), "magic": F.lit(MAGIC), "crc": F.when(checked, F.crc32(payload)).otherwise(F.lit(0).cast("long"))})

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: A group name that stands for every group with it as prefix.
@@ -36,11 +36,13 @@ def select_groups(metrics: DataFrame, groups: Iterable[str] | None, prefix: str
     """Metrics of the named groups. The prefix stands for all groups that begin with it; where
     nothing is left to ask for, everything is returned; unknown names select nothing."""
     names = set(groups or ())
-    if prefix in names:
-        names.discard(prefix)
-        known = metrics.select("grp").distinct().filter(F.col("grp").startswith(prefix))
-        names |= {r[0] for r in known.collect()}  # names of metric groups, a fixed catalogue
-    return metrics.filter(F.col("grp").isin(*names)) if names else metrics
+    begins = F.col("grp").startswith(prefix)
+    if prefix not in names:
+        return metrics.filter(F.col("grp").isin(*names)) if names else metrics
+    names.discard(prefix)
+    if not names and metrics.filter(begins).isEmpty():
+        return metrics
+    return metrics.filter(begins | F.col("grp").isin(*names)) if names else metrics.filter(begins)
 
 
 def summaries(metrics: DataFrame, *shares: float) -> DataFrame:
@@ -55,3 +57,22 @@ def memory_plan(jobs: DataFrame, per_partition: int, per_gate: int, buffer: int)
     n = F.floor(F.lit(per_partition) / buffer)
     sort = F.greatest(F.lit(1), F.floor(n * 7 / 8))
     return jobs.select("*", (F.col("outputs") * per_partition + F.col("inputs") * per_gate).cast("long").alias("bytes"), sort.cast("long").alias("sort_buffers"), F.greatest(F.lit(1), n - sort).cast("long").alias("transport_buffers"))
+
+
+def by_kind(metrics: DataFrame) -> DataFrame:
+    """What each kind of metric shows, from ``grp, name, at, value``: a gauge its latest value, a
+    counter the sum, a meter events a second from first to last, a timer and a histogram their
+    extremes, mean and exact percentiles."""
+    seconds = F.unix_micros(F.max("at").cast("timestamp")) - F.unix_micros(F.min("at").cast("timestamp"))
+    return metrics.groupBy("grp", "name").agg(
+        F.max_by("value", F.struct("at", "value")).alias("gauge"), F.sum("value").alias("counter"), F.count(F.lit(1)).alias("events"),
+        F.when(seconds > 0, F.count(F.lit(1)) * 1e6 / seconds).alias("meter"), F.min("value").alias("low"), F.max("value").alias("high"), F.avg("value").alias("mean"),
+        F.percentile("value", F.lit(0.5)).alias("p50"), F.percentile("value", F.lit(0.99)).alias("p99"),
+    )
+
+
+def occupancy(events: DataFrame) -> DataFrame:
+    """``pool, most, last, short``: of the buffers that a pool has given (+) and got back (-) in
+    order, how many were out at most and at the end, and how often fewer than none."""
+    out = F.sum("buffers").over(Window.partitionBy("pool").orderBy("seq"))
+    return events.withColumn("out", out).groupBy("pool").agg(F.max("out").alias("most"), F.max_by("out", "seq").alias("last"), F.sum((F.col("out") < 0).cast("long")).alias("short"))

@@ -37,19 +37,21 @@ def min_num(requests: DataFrame, workers: DataFrame) -> DataFrame:
     """``request, worker``: each to the worker with the fewest partitions, the first of equals.
 
     Partitions fill the workers like water: the places are (level, worker) in that order, and the
-    n-th request takes the n-th place.
+    n-th request takes the n-th place. As many places are made as there are requests, and one more
+    for each worker at most.
     """
     n = requests.count()
     w = workers.select("worker", F.coalesce("n_partitions", F.lit(0)).alias("have"))
-    stats = w.agg(F.min("have").alias("low"), F.max("worker").alias("top"), F.count(F.lit(1)).alias("n")).first()
-    if not n or not stats["n"]:
+    rising = Window.orderBy("have").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    levels = w.groupBy("have").agg(F.count(F.lit(1)).alias("k"), F.max("worker").alias("top"))  # one row for each number that workers have
+    levels = levels.select("have", F.sum("k").over(rising).alias("workers"), F.sum(F.col("k") * F.col("have")).over(rising).alias("held"), F.max("top").over(Window.partitionBy()).alias("top"))
+    # The highest that all requests still fill up to; from there they rise evenly.
+    last = levels.filter(F.col("workers") * F.col("have") - F.col("held") <= n).orderBy(F.desc("have")).first()
+    if not n or not last:
         return requests.select("request").limit(0).withColumn("worker", F.lit(None).cast("long"))
-    # Above this level no place is used: a worker alone would reach it with all requests, and all
-    # of them together reach it once their present partitions and the requests are spread evenly.
-    level = w.agg(F.max("have")).first()[0]
-    top = min(stats["low"] + n, level + -(-n // stats["n"]) + 1)
-    places = w.select("worker", F.explode(F.sequence(F.col("have"), F.greatest(F.col("have"), F.lit(top)))).alias("level"))
-    places = places.withColumn("place", F.col("level") * (stats["top"] + 1) + F.col("worker"))
+    level = (n + last["held"]) // last["workers"]  # places below it are all taken, and some at it
+    places = w.filter(F.col("have") <= level).select("worker", F.explode(F.sequence(F.col("have"), F.lit(level))).alias("level"))
+    places = places.withColumn("place", F.col("level") * (last["top"] + 1) + F.col("worker"))
     p = numbered(places, "place", "nth").select("worker", "nth").filter(F.col("nth") <= n)
     return numbered(requests.select("request"), "request", "nth").join(p, "nth").select("request", "worker")
 
@@ -89,11 +91,29 @@ def once_for_each_key(requests: DataFrame, keys: list[str], workers: DataFrame,
     return requests.join(first, keys).join(got, "first").select("request", "worker")
 
 
+def _ranked(disks: DataFrame, preferred: str, reserve: int, limit: int) -> DataFrame:
+    """Healthy disks with ``first``: whether they are the ones to use on their worker. These are, in
+    this order: the preferred ones with room, the others with room, the preferred ones with the most
+    free space, the others with the most."""
+    room = (F.col("free") > reserve) & (F.col("used") < limit)
+    mine = F.col("medium") == preferred
+    order = Window.partitionBy("worker").orderBy(F.when(room & mine, 0).when(room, 1).when(mine, 2).otherwise(3), F.when(~room, -F.col("free")))
+    return disks.filter("healthy").withColumn("first", F.dense_rank().over(order) == 1)
+
+
+def spread_over_disks(requests: DataFrame, disks: DataFrame, preferred: str, reserve: int, limit: int, only: str | None = None) -> DataFrame:
+    """``request, worker, disk, medium``: the disks of a request's worker in turns, in the order of
+    requests; with ``only``, no disks of another medium. Requests for which there is none are left out."""
+    pool = _ranked(disks.filter(F.col("medium") == only) if only else disks, preferred, reserve, limit).filter("first")
+    pool = pool.select("worker", "disk", "medium", F.row_number().over(Window.partitionBy("worker").orderBy("disk")).cast("long").alias("turn"), F.count(F.lit(1)).over(Window.partitionBy("worker")).alias("disks"))
+    nth = F.row_number().over(Window.partitionBy("worker").orderBy("request"))
+    sizes = pool.filter("turn = 1").select("worker", "disks")
+    asked = requests.select("request", "worker", nth.alias("nth")).join(sizes, "worker").withColumn("turn", cyclic(F.col("nth"), F.col("disks")))
+    return asked.select("request", "worker", "turn").join(pool, ["worker", "turn"]).select("request", "worker", "disk", "medium")
+
+
 def choose_disk(disks: DataFrame, preferred: str, reserve: int, limit: int) -> DataFrame:
     """The disk of each worker that is next: of the preferred medium with room, else of the other
     with room, else the one with the most free space, preferred medium first. Unhealthy ones never."""
-    room = (F.col("free") > reserve) & (F.col("used") < limit)
-    mine = F.col("medium") == preferred
-    score = F.when(room & mine, 0).when(room, 1).when(mine, 2).otherwise(3)
-    order = Window.partitionBy("worker").orderBy(score, F.when(room, F.col("disk")), F.when(~room, -F.col("free")), "disk")
-    return disks.filter("healthy").withColumn("r_", F.row_number().over(order)).filter("r_ = 1").drop("r_")
+    order = Window.partitionBy("worker").orderBy("disk")
+    return _ranked(disks, preferred, reserve, limit).filter("first").withColumn("r_", F.row_number().over(order)).filter("r_ = 1").drop("r_", "first")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from windrow.functions import config
+from windrow.functions import config, options
 from windrow.operators import metrics, reconcile
 from windrow.registry import query
 from windrow.sources.tables import table
@@ -63,6 +63,122 @@ def release_by_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.unregister(k, spark.range(2, 3).withColumnRenamed("id", "job"), "job").drop("job")
 
 
+@query("release_by_partition", f"SELECT worker, partition, releasing FROM ({_KNOWN}) k WHERE partition % 7 <> 3")
+def release_by_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gone = table(spark, sf_dir, "orders").filter("o_orderkey % 7 = 3").select(F.col("o_orderkey").alias("partition"))
+    return reconcile.unregister(_known(spark, sf_dir), gone, "partition").select("worker", "partition", "releasing")
+
+
+@query("release_by_dataset", f"SELECT worker, partition, releasing FROM ({_KNOWN}) k WHERE partition // 100 NOT IN (1, 4)")
+def release_by_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = _known(spark, sf_dir).withColumn("dataset", F.floor(F.col("partition") / 100))
+    return reconcile.unregister(k, spark.createDataFrame([(1,), (4,)], "dataset long"), "dataset").select("worker", "partition", "releasing")
+
+
+@query(
+    "readable_partitions",
+    "SELECT l_orderkey AS partition, CASE WHEN o_orderstatus = 'F' AND o_orderkey % 9 <> 2 THEN 'readable' ELSE 'not found' END AS state FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_linenumber = 1",
+)
+def readable_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select(F.col("l_orderkey").alias("partition"))
+    stored = table(spark, sf_dir, "orders").filter("o_orderkey % 9 <> 2").select(F.col("o_orderkey").alias("partition"), (F.col("o_orderstatus") == "F").alias("finished"))
+    return reconcile.readable(wanted, stored)
+
+
+_OPENED = "SELECT l_partkey AS partition, l_orderkey * 8 + l_linenumber AS writer, epoch_us(l_shipdate) // 1000000 AS begins, epoch_us(l_shipdate) // 1000000 + CAST(l_quantity AS BIGINT) * 2592000 AS ends FROM lineitem"
+
+
+@query(
+    "single_writer",
+    f"""
+    WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY partition ORDER BY begins, writer) AS i FROM ({_OPENED}) x),
+    go AS (
+      SELECT partition, writer, i, ends AS until, true AS free FROM o WHERE i = 1
+      UNION ALL SELECT o.partition, o.writer, o.i, CASE WHEN o.begins >= go.until THEN o.ends ELSE go.until END, o.begins >= go.until FROM go JOIN o ON o.partition = go.partition AND o.i = go.i + 1)
+    SELECT partition, writer, CASE WHEN free THEN 'writes' ELSE 'refused' END AS state FROM go
+    """,
+)
+def single_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    begins = F.unix_seconds(F.col("l_shipdate").cast("timestamp"))
+    li = table(spark, sf_dir, "lineitem")
+    return reconcile.writers(li.select(F.col("l_partkey").alias("partition"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("writer"), begins.alias("begins"), (begins + F.col("l_quantity").cast("long") * 2_592_000).alias("ends")))
+
+
+@query(
+    "metastore_recovery",
+    """
+    SELECT o_orderkey AS partition, CASE WHEN o_orderkey % 10 = 0 THEN 'delete_meta' WHEN o_custkey % 3 = 0 AND o_custkey % 4 > 0 THEN 'release_data_and_drop_meta'
+      WHEN o_custkey % 3 = 0 OR o_custkey % 4 = 0 THEN 'drop_meta' ELSE 'track' END AS action FROM orders
+    """,
+)
+def metastore_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("o_custkey")
+    return reconcile.recovered(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("partition"), (F.col("o_orderkey") % 10 > 0).alias("readable"), (c % 3 == 0).alias("marked"), (c % 4 > 0).alias("has_data")))
+
+
+_MARKERS = """SELECT l_orderkey AS writer, l_linenumber * 10 + k AS seq,
+    CASE k WHEN 0 THEN CASE WHEN l_linenumber % 7 = 5 THEN 'D' ELSE 'S' END WHEN 1 THEN 'D' WHEN 2 THEN 'F' ELSE 'E' END AS marker
+  FROM (SELECT *, max(l_linenumber) OVER (PARTITION BY l_orderkey) AS last FROM lineitem) l, (SELECT unnest(range(0, 4)) AS k) r WHERE k < 3 OR (l_linenumber = last AND l_orderkey % 5 > 0)"""
+
+
+@query(
+    "marker_streams",
+    f"""
+    SELECT writer, CAST(count(*) AS BIGINT) AS n, CAST(sum((coalesce(prev, '^') || marker NOT IN ({', '.join(repr(x) for x in reconcile.FOLLOWS)}))::INT) AS BIGINT) AS n_illegal, max_by(marker, seq) = 'E' AS ended
+    FROM (SELECT *, lag(marker) OVER (PARTITION BY writer ORDER BY seq) AS prev FROM ({_MARKERS}) m) x GROUP BY writer
+    """,
+)
+def marker_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
+    last = li.groupBy("l_orderkey").agg(F.max("l_linenumber").alias("last"))
+    n = F.col("l_linenumber")
+    kinds = F.array(F.when(n % 7 == 5, "D").otherwise("S"), F.lit("D"), F.lit("F"), F.when((n == F.col("last")) & (F.col("l_orderkey") % 5 > 0), "E"))
+    m = li.join(last, "l_orderkey").select(F.col("l_orderkey").alias("writer"), n, F.posexplode(kinds).alias("k", "marker")).filter("marker is not null")
+    return reconcile.broken_streams(m.select("writer", (F.col("l_linenumber") * 10 + F.col("k")).alias("seq"), "marker"))
+
+
+@query(
+    "end_of_input",
+    """
+    WITH e AS (SELECT l_suppkey % 40 AS gate, l_partkey % 6 AS channel, l_linenumber AS sub, l_orderkey * 8 + l_linenumber AS seq FROM lineitem WHERE l_linenumber <= 4 AND l_orderkey % 3 > 0),
+    s AS (SELECT gate, channel, sub, count(*) AS n, min(seq) AS seq FROM e GROUP BY gate, channel, sub),
+    c AS (SELECT gate, channel, count(*) AS subs, sum(n - 1) AS more, max(seq) AS seq FROM s GROUP BY gate, channel)
+    SELECT gate, CAST(count(*) AS BIGINT) AS n_channels, CAST(sum((subs = 4)::INT) AS BIGINT) AS n_complete, CAST(sum(more) AS BIGINT) AS n_duplicates, CASE WHEN min((subs = 4)::INT) = 1 THEN max(seq) END AS surfaced FROM c GROUP BY gate
+    """,
+)
+def end_of_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem").filter("l_linenumber <= 4 and l_orderkey % 3 > 0")
+    return reconcile.ends_of_input(li.select((F.col("l_suppkey") % 40).alias("gate"), (F.col("l_partkey") % 6).alias("channel"), F.col("l_linenumber").alias("sub"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq")), 4)
+
+
+@query("lost_partitions", "SELECT l_partkey AS partition, CAST(count(DISTINCT l_suppkey) AS BIGINT) AS n_readers FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size % 4 > 0) GROUP BY l_partkey")
+def lost_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reads = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("partition"), F.col("l_suppkey").alias("reader"))
+    return reconcile.to_run_again(reads, table(spark, sf_dir, "part").filter("p_size % 4 > 0").select(F.col("p_partkey").alias("partition")))
+
+
+@query(
+    "lost_workers",
+    """
+    SELECT user_id AS worker, CAST(coalesce(sum((gap > 180)::INT), 0) AS BIGINT) AS n_lost, max(gap) AS longest
+    FROM (SELECT user_id, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts)) / 1000000 AS gap FROM events) g GROUP BY user_id
+    """,
+)
+def lost_workers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reconcile.lost_workers(table(spark, sf_dir, "events").select(F.col("user_id").alias("worker"), F.col("ts").alias("at")), 180)
+
+
+@query(
+    "channel_order",
+    "SELECT l_suppkey AS gate, channel, row_number() OVER (PARTITION BY l_suppkey ORDER BY md5(l_suppkey || '-' || channel), channel) AS turn FROM (SELECT DISTINCT l_suppkey, l_partkey % 16 AS channel FROM lineitem) c",
+)
+def channel_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Channels of a gate in an order drawn by a hash; reruns agree."""
+    c = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("gate"), (F.col("l_partkey") % 16).alias("channel")).distinct()
+    drawn = Window.partitionBy("gate").orderBy(F.md5(F.concat_ws("-", F.col("gate").cast("string"), F.col("channel").cast("string"))), "channel")
+    return c.withColumn("turn", F.row_number().over(drawn).cast("long"))
+
+
 _PARTS = "SELECT l_partkey % 5 AS storage, CAST(l_linenumber AS BIGINT) AS regions, CAST(l_linenumber * 20 AS BIGINT) AS index_bytes, CAST(l_quantity * 1000 AS BIGINT) AS data_bytes FROM lineitem"
 
 
@@ -113,7 +229,7 @@ def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     grp = F.lit("other")
     for k, v in names.items():
         grp = F.when(F.col("event_type") == k, v).otherwise(grp)
-    return table(spark, sf_dir, "events").select(grp.alias("grp"), F.concat(F.lit("m"), (F.col("user_id") % 3).cast("string")).alias("name"), "value")
+    return table(spark, sf_dir, "events").select(grp.alias("grp"), F.concat(F.lit("m"), (F.col("user_id") % 3).cast("string")).alias("name"), "value", F.col("ts").alias("at"))
 
 
 def _by_group(df: DataFrame) -> DataFrame:
@@ -141,6 +257,34 @@ def metric_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.summaries(_metrics(spark, sf_dir), 0.5, 0.95)
 
 
+_EVENTS = _METRICS.replace("value FROM events", "ts, value FROM events")
+
+
+@query(
+    "metric_kinds",
+    f"""
+    SELECT grp, name, max_by(value, (ts, value)) AS gauge, sum(value) AS counter, CAST(count(*) AS BIGINT) AS events, CASE WHEN max(ts) > min(ts) THEN count(*) * 1e6 / (epoch_us(max(ts)) - epoch_us(min(ts))) END AS meter,
+      min(value) AS low, max(value) AS high, avg(value) AS mean, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.99) AS p99 FROM ({_EVENTS}) m GROUP BY grp, name
+    """,
+)
+def metric_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.by_kind(_metrics(spark, sf_dir))
+
+
+@query(
+    "pool_occupancy",
+    """
+    SELECT pool, max(held) AS most, max_by(held, seq) AS last, CAST(sum((held < 0)::INT) AS BIGINT) AS short FROM (
+      SELECT pool, seq, CAST(sum(buffers) OVER (PARTITION BY pool ORDER BY seq) AS BIGINT) AS held FROM (
+        SELECT l_suppkey % 20 AS pool, l_orderkey * 8 + l_linenumber AS seq, CASE WHEN l_linenumber % 2 = 1 THEN CAST(l_quantity AS BIGINT) ELSE -CAST(l_quantity AS BIGINT) END AS buffers FROM lineitem) e) o GROUP BY pool
+    """,
+)
+def pool_occupancy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("l_quantity").cast("long")
+    e = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 20).alias("pool"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"), F.when(F.col("l_linenumber") % 2 == 1, n).otherwise(-n).alias("buffers"))
+    return metrics.occupancy(e)
+
+
 @query(
     "memory_plan",
     """
@@ -189,6 +333,52 @@ def split_quoted_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.posexplode(config.split_quoted(line)).alias("p", "item")).select("p_partkey", "item", (F.col("p") + 1).alias("nth"))
 
 
+@query(
+    "split_quoted_oddities",
+    """
+    SELECT p_partkey, CAST(coalesce(len(items), -1) AS INT) AS n, array_to_string(items, '|') AS items FROM (
+      SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN ['A', '', 'B'] WHEN 1 THEN ['', 'B'] WHEN 4 THEN ['A', 'B'] WHEN 5 THEN ['it''s;', 'x"y'] WHEN 6 THEN ['', p_brand || ' x'] WHEN 7 THEN [] END AS items FROM part) t
+    """,
+)
+def split_quoted_oddities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    odd = ["A;;B", "'';B", "'a'x;B", "'open;B", ";A; B ;", "'it''s;' ; \"x\"\"y\"", None, "  "]
+    line = F.coalesce(F.element_at(F.array(*map(F.lit, odd)), (F.col("p_partkey") % 8 + 1).cast("int")), F.concat(F.lit(" ; ;"), "p_brand", F.lit(" x ")))
+    d = table(spark, sf_dir, "part").select("p_partkey", config.split_quoted(line).alias("items"))
+    return d.select("p_partkey", F.coalesce(F.size("items"), F.lit(-1)).alias("n"), F.array_join("items", "|").alias("items"))
+
+
+@query(
+    "typed_options",
+    """
+    SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 7 WHEN p_size % 3 = 1 THEN p_size ELSE NULL END AS retries, CASE WHEN p_size % 2 = 0 THEN p_size % 4 = 0 ELSE true END AS compress,
+      CAST(CASE WHEN p_size % 5 = 0 THEN 32768 ELSE p_size * 1024 END AS BIGINT) AS buffer, CAST(p_size AS BIGINT) * 1000000000 AS timeout, CAST(0.75 AS DOUBLE) AS share FROM part
+    """,
+)
+def typed_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.col("p_size").cast("string")
+    o = F.map_filter(F.create_map(
+        F.lit("retries"), F.when(F.col("p_size") % 3 == 1, F.concat(F.lit(" "), size)).when(F.col("p_size") % 3 == 2, F.lit("many")),
+        F.lit("compress"), F.when(F.col("p_size") % 4 == 0, F.lit("TRUE")).when(F.col("p_size") % 2 == 0, F.lit("false")),
+        F.lit("buffer"), F.when(F.col("p_size") % 5 != 0, F.concat(size, F.lit("k"))),
+        F.lit("timeout"), F.concat(size, F.lit(" s")),
+    ), lambda k, v: v.isNotNull())
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", options.option(o, "retries", "int", 7).alias("retries"), options.option(o, "compress", "boolean", True).alias("compress"),
+        options.option(o, "buffer", "memory", 32_768).alias("buffer"), options.option(o, "timeout", "duration", 0).alias("timeout"), options.option(o, "share", "double", 0.75).alias("share"),
+    )
+
+
+@query("unframed_bytes", "SELECT n_nationkey, n_name AS first, CASE WHEN n_nationkey % 4 = 0 THEN '' ELSE 'x' || n_regionkey END AS second, CAST(CASE WHEN n_nationkey % 5 = 0 THEN -1 ELSE 2 END AS INT) AS pieces FROM nation WHERE n_nationkey % 5 > 0 UNION ALL SELECT n_nationkey, NULL, NULL, -1 FROM nation WHERE n_nationkey % 5 = 0")
+def unframed_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two framed pieces in a row are told apart; bytes that don't come out even are no frames."""
+    k = F.col("n_nationkey")
+    second = F.when(k % 4 == 0, F.lit("")).otherwise(F.concat(F.lit("x"), F.col("n_regionkey").cast("string")))
+    both = F.concat(config.with_length(F.col("n_name").cast("binary")), config.with_length(second.cast("binary")), F.when(k % 5 == 0, F.lit(b"\x00")).otherwise(F.lit(b"")))
+    got = config.split_framed(both)
+    d = table(spark, sf_dir, "nation").select("n_nationkey", got.alias("p"))
+    return d.select("n_nationkey", F.get("p", F.lit(0)).cast("string").alias("first"), F.get("p", F.lit(1)).cast("string").alias("second"), F.coalesce(F.size("p"), F.lit(-1)).alias("pieces"))
+
+
 @query(
     "data_dirs",
     """

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from windrow.operators import flow
 from windrow.registry import query
-from windrow.sources import files
+from windrow.sources import files, schemas
 from windrow.sources.scratch import scratch, scratch_table, tidy
 from windrow.sources.tables import table
 
@@ -195,3 +195,59 @@ def byte_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count(F.lit(1)).alias("n_records"), F.countDistinct("record").alias("n_distinct"), F.sum(F.octet_length("record")).cast("long").alias("n_bytes"),
         F.min(F.lower(F.substring(F.hex("record"), 1, 16))).alias("least"),
     )
+
+
+@query("collection_source", "SELECT word, CAST(n AS BIGINT) AS n FROM (VALUES ('to', 2), ('be', 2), ('or', 1), ('not', 1)) t(word, n)")
+def collection_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = files.collection(spark, [("To be, or not",), ("to be",)], "text string")
+    return flow.keyed_sum(flow.words(lines), "word", F.lit(1), "n")
+
+
+@query("counting_sink", "SELECT CAST(count(*) AS BIGINT) AS n FROM orders")
+def counting_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows are discarded; what was observed on their way tells how many they were."""
+    d, seen = flow.observed_count(table(spark, sf_dir, "orders").select("o_orderkey"))
+    files.discard(d)
+    return spark.createDataFrame([(seen.get["n"],)], "n long")
+
+
+@query("declared_tables", "SELECT tbl, CAST(n AS BIGINT) AS n_columns, first, last FROM (VALUES ('result_table', 1, 'res', 'res'), ('store_sales', 23, 'ss_sold_date_sk', 'ss_net_profit'), ('web_sales', 34, 'ws_sold_date_sk', 'ws_net_profit'), ('item', 22, 'i_item_sk', 'i_product_name'), ('date_dim', 28, 'd_date_sk', 'd_current_year')) t(tbl, n, first, last)")
+def declared_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five tables are created over empty folders, and what the catalogue then knows of them."""
+    out = []
+    with tidy():
+        for kind in schemas.TABLES:
+            name, path = scratch_table(spark, kind)
+            schemas.create_table(spark, kind, name, path)
+            fields = spark.table(name).schema.fields
+            out.append((kind, len(fields), fields[0].name, fields[-1].name))
+    return spark.createDataFrame(out, "tbl string, n_columns long, first string, last string")
+
+
+@query(
+    "declared_star_count",
+    "SELECT CAST(count(1) AS BIGINT) AS res FROM (SELECT DISTINCT l_partkey, l_orderkey, CASE WHEN l_linenumber = 3 THEN NULL ELSE l_extendedprice END AS price, p_brand, o_orderpriority FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey) t",
+)
+def declared_star_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows written as delimited files under the declared schemas, read through their tables, joined, and counted into the declared sink."""
+
+    def rows(kind: str, source: str, **columns: Column) -> DataFrame:
+        names = [c.split()[0] for c in schemas.TABLES[kind].split(",")]
+        return table(spark, sf_dir, source).select(*[columns.get(c, F.lit(None).cast("string")).cast("string").alias(c) for c in names])
+
+    made = {
+        "store_sales": rows("store_sales", "lineitem", ss_item_sk=F.col("l_partkey"), ss_sold_date_sk=F.col("l_orderkey"), ss_sales_price=F.when(F.col("l_linenumber") == 3, F.lit("n/a")).otherwise(F.col("l_extendedprice").cast("string"))),
+        "item": rows("item", "part", i_item_sk=F.col("p_partkey"), i_brand=F.col("p_brand")),
+        "date_dim": rows("date_dim", "orders", d_date_sk=F.col("o_orderkey"), d_day_name=F.col("o_orderpriority")),
+    }
+    with tidy():
+        names = {}
+        for kind in (*made, "result_table"):
+            names[kind], path = scratch_table(spark, kind)
+            if kind in made:
+                files.write_delimited(made[kind], path)
+            schemas.create_table(spark, kind, names[kind], path)
+        spark.sql(f"""
+            INSERT INTO {names["result_table"]} SELECT count(1) FROM (
+              SELECT DISTINCT ss_item_sk, ss_sold_date_sk, ss_sales_price, i_brand, d_day_name FROM {names["store_sales"]} JOIN {names["item"]} ON ss_item_sk = i_item_sk JOIN {names["date_dim"]} ON ss_sold_date_sk = d_date_sk)""")
+        return files.read_delimited(spark, path, schemas.TABLES["result_table"])

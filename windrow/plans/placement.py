@@ -55,7 +55,7 @@ def place_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "place_min_num",
     f"""
-    {_ROUND}, places AS (SELECT worker, row_number() OVER (ORDER BY level, worker) AS nth FROM (SELECT worker, unnest(range(n_partitions, n_partitions + 2000)) AS level FROM v) p)
+    {_ROUND}, places AS (SELECT worker, row_number() OVER (ORDER BY level, worker) AS nth FROM (SELECT worker, unnest(range(n_partitions, (SELECT count(*) FROM orders) // (SELECT count(*) FROM v) + (SELECT max(n_partitions) FROM v) + 2)) AS level FROM v) p)
     SELECT request, worker FROM q JOIN places USING (nth)
     """,
 )
@@ -102,21 +102,46 @@ def placement_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placement.round_robin(requests(spark, sf_dir), valid(spark, sf_dir)).groupBy("worker").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(
-    "disk_choice",
-    f"""
-    WITH d AS (
-      SELECT p_partkey % 100 AS worker, p_partkey AS disk, CASE WHEN p_partkey % 3 = 0 THEN 'SSD' ELSE 'HDD' END AS medium, p_partkey * 7919 % 2048 AS free, p_partkey * 104729 % 2048 AS used, p_size % 5 > 0 AS healthy FROM part),
-    s AS (
-      SELECT *, free > 1500 AND used < 1000 AS room, CASE WHEN free > 1500 AND used < 1000 AND medium = 'SSD' THEN 0 WHEN free > 1500 AND used < 1000 THEN 1 WHEN medium = 'SSD' THEN 2 ELSE 3 END AS score FROM d WHERE healthy)
-    SELECT worker, disk, medium FROM (
-      SELECT *, row_number() OVER (PARTITION BY worker ORDER BY score, CASE WHEN room THEN disk END NULLS FIRST, CASE WHEN NOT room THEN -free END NULLS FIRST, disk) AS r FROM s) x WHERE r = 1
-    """,
-)
-def disk_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+_DISKS = """
+d AS (
+  SELECT p_partkey % 50 AS worker, p_partkey AS disk, CASE WHEN p_partkey % 3 = 0 THEN 'SSD' ELSE 'HDD' END AS medium, p_partkey * 7919 % 2048 AS free, p_partkey * 104729 % 2048 AS used, p_size % 5 > 0 AS healthy FROM part),
+s AS (
+  SELECT *, CASE WHEN free > 1500 AND used < 1000 AND medium = 'SSD' THEN 0 WHEN free > 1500 AND used < 1000 THEN 1 WHEN medium = 'SSD' THEN 2 ELSE 3 END AS score,
+    CASE WHEN free > 1500 AND used < 1000 THEN 0 ELSE -free END AS rest FROM d WHERE healthy {only}),
+f AS (SELECT *, dense_rank() OVER (PARTITION BY worker ORDER BY score, rest) AS r FROM s),
+p AS (SELECT worker, disk, medium, row_number() OVER (PARTITION BY worker ORDER BY disk) AS turn, count(*) OVER (PARTITION BY worker) AS n FROM f WHERE r = 1)
+"""
+_ASKED = "q AS (SELECT o_orderkey AS request, o_custkey % 50 AS worker, row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey) AS nth FROM orders)"
+_SPREAD = f"{_ASKED} SELECT request, q.worker, disk, medium FROM q JOIN p ON p.worker = q.worker AND turn = (nth - 1) % n + 1"
+
+
+def disks(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
-    disks = table(spark, sf_dir, "part").select((k % 100).alias("worker"), k.alias("disk"), F.when(k % 3 == 0, "SSD").otherwise("HDD").alias("medium"), (k * 7919 % 2048).alias("free"), (k * 104729 % 2048).alias("used"), (F.col("p_size") % 5 > 0).alias("healthy"))
-    return placement.choose_disk(disks, "SSD", 1500, 1000).select("worker", "disk", "medium")
+    return table(spark, sf_dir, "part").select((k % 50).alias("worker"), k.alias("disk"), F.when(k % 3 == 0, "SSD").otherwise("HDD").alias("medium"), (k * 7919 % 2048).alias("free"), (k * 104729 % 2048).alias("used"), (F.col("p_size") % 5 > 0).alias("healthy"))
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("request"), (F.col("o_custkey") % 50).alias("worker"))
+
+
+@query("disk_choice", f"WITH {_DISKS.format(only='')} SELECT worker, disk, medium FROM p WHERE turn = 1")
+def disk_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return placement.choose_disk(disks(spark, sf_dir), "SSD", 1500, 1000).select("worker", "disk", "medium")
+
+
+@query("disk_round_robin", f"WITH {_DISKS.format(only='')}, {_SPREAD}")
+def disk_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return placement.spread_over_disks(_asked(spark, sf_dir), disks(spark, sf_dir), "SSD", 1500, 1000)
+
+
+@query("disk_round_robin_hdd_only", f"WITH {_DISKS.format(only="AND medium = 'HDD'")}, {_SPREAD}")
+def disk_round_robin_hdd_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return placement.spread_over_disks(_asked(spark, sf_dir), disks(spark, sf_dir), "HDD", 1500, 1000, only="HDD")
+
+
+@query("disk_round_robin_ssd_only", f"WITH {_DISKS.format(only="AND medium = 'SSD'")}, {_SPREAD}")
+def disk_round_robin_ssd_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return placement.spread_over_disks(_asked(spark, sf_dir), disks(spark, sf_dir), "SSD", 1500, 1000, only="SSD")
 
 
 @query(
