@@ -294,3 +294,27 @@ def test_what_queries_write_is_removed(spark, monkeypatch, tmp_path):
     assert scratch.shared("hdfs://x/y/", "yarn") == "hdfs://x/y" and scratch.shared(None, "local[4]").startswith("file:")
     with pytest.raises(RuntimeError, match="checkpoint.dir"):
         scratch.shared(None, "local-cluster[2,1,1024]")
+
+
+def test_catalogue(spark):
+    sizes = {g: len(names.split()) for g, names in metrics.CATALOGUE.items()}
+    assert sizes == {"cluster": 8, "storage": 22, "network": 6}
+    got = {r["metric"]: r["value"] for r in metrics.catalogued(spark.createDataFrame([(3, 5)], "num_data_partitions long, other int"), "storage").collect()}
+    assert len(got) == 22 and got["exchange.storage.num_data_partitions"] == 3.0
+
+
+def test_blocking_edges(spark):
+    """A shuffle is written in full before its readers begin: they are a stage of their own."""
+    spark.sparkContext.setJobGroup("blocking", "")
+    spark.range(100).repartition(3).filter("id > 1").groupBy((F.col("id") % 3).alias("k")).count().collect()
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("blocking")
+    stages = {s for j in jobs for s in spark.sparkContext.statusTracker().getJobInfo(j).stageIds}
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(stages) >= 3
+
+
+def test_framed_bytes_come_apart(spark):
+    pieces = [b"", b"abc", bytes(300)]
+    framed = b"".join(len(x).to_bytes(4, "big") + x for x in pieces)
+    d = spark.createDataFrame([(framed,), (framed[:-1],), (b"",)], "b binary").select(config.split_framed(F.col("b")))
+    assert [r[0] and [bytes(x) for x in r[0]] for r in d.collect()] == [pieces, None, []]

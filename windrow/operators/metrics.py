@@ -11,6 +11,27 @@ from pyspark.sql import functions as F
 ALL_GROUPS = "exchange"
 
 
+#: Metrics by group. Fixed values.
+CATALOGUE = {
+    "cluster": """
+        num_shuffle_workers num_jobs_serving total_num_data_partitions resource_request_throughput
+        hdd_max_free_bytes ssd_max_free_bytes hdd_max_used_bytes ssd_max_used_bytes""",
+    "storage": """
+        num_data_partitions num_available_writing_buffers num_available_reading_buffers total_num_executors total_num_writing_buffers
+        total_num_reading_buffers time_waiting_reading_buffers time_waiting_writing_buffers hdd_max_free_bytes ssd_max_free_bytes hdd_max_used_bytes
+        ssd_max_used_bytes total_partition_file_bytes total_data_file_bytes total_index_file_bytes max_data_file_bytes max_index_file_bytes
+        avg_data_file_bytes avg_index_file_bytes max_num_data_regions writing_throughput_bytes reading_throughput_bytes""",
+    "network": """
+        num_writing_connections num_reading_connections num_writing_flows num_reading_flows writing_throughput_bytes reading_throughput_bytes""",
+}
+
+
+def catalogued(values: DataFrame, group: str) -> DataFrame:
+    """``metric, value``: the catalogue's metrics of a group in long form, from one row of columns so named; null where it has none."""
+    named = [(n, F.col(n).cast("double") if n in values.columns else F.lit(None).cast("double")) for n in CATALOGUE[group].split()]
+    return values.select(F.explode(F.array(*[F.struct(F.lit(f"{ALL_GROUPS}.{group}.{n}").alias("metric"), c.alias("value")) for n, c in named])).alias("m")).select("m.*")
+
+
 def store_stats(partitions: DataFrame) -> DataFrame:
     """Count, most regions, and total, largest and average bytes of index and data; averages are
     whole numbers, and 0 without partitions."""

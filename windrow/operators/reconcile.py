@@ -70,7 +70,7 @@ def writers(opened: DataFrame) -> DataFrame:
                 out.append("writes" if free else "refused")
             yield b[["partition", "writer"]].assign(state=out)
 
-    o = opened.select("partition", "writer", "begins", "ends").repartition("partition").sortWithinPartitions("partition", "begins", "writer")
+    o = opened.select("partition", "writer", "begins", "ends").repartition("partition").sortWithinPartitions("partition", "begins", "writer", "ends")
     return o.mapInPandas(go, "partition long, writer long, state string")
 
 

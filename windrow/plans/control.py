@@ -91,7 +91,7 @@ _OPENED = "SELECT l_partkey AS partition, l_orderkey * 8 + l_linenumber AS write
 @query(
     "single_writer",
     f"""
-    WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY partition ORDER BY begins, writer) AS i FROM ({_OPENED}) x),
+    WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY partition ORDER BY begins, writer, ends) AS i FROM ({_OPENED}) x),
     go AS (
       SELECT partition, writer, i, ends AS until, true AS free FROM o WHERE i = 1
       UNION ALL SELECT o.partition, o.writer, o.i, CASE WHEN o.begins >= go.until THEN o.ends ELSE go.until END, o.begins >= go.until FROM go JOIN o ON o.partition = go.partition AND o.i = go.i + 1)
@@ -220,6 +220,27 @@ def cluster_gauges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.gauges(workers(spark, sf_dir))
 
 
+@query(
+    "metric_catalogue",
+    """
+    SELECT 'exchange.cluster.' || name AS metric, value FROM (
+      SELECT unnest(['num_shuffle_workers', 'num_jobs_serving', 'total_num_data_partitions', 'resource_request_throughput', 'hdd_max_free_bytes', 'ssd_max_free_bytes', 'hdd_max_used_bytes', 'ssd_max_used_bytes']) AS name,
+        unnest([count(*)::DOUBLE, (SELECT count(DISTINCT o_custkey) FROM orders)::DOUBLE, sum(s_suppkey * 31 % 40)::DOUBLE, NULL, max(s_suppkey * 7919 % 2048)::DOUBLE, max(s_suppkey * 104729 % 2048)::DOUBLE,
+          max(s_suppkey * 1299709 % 2048)::DOUBLE, max(CASE WHEN s_suppkey % 13 = 0 THEN NULL ELSE s_suppkey * 15485863 % 2048 END)::DOUBLE]) AS value FROM supplier) m
+    """,
+)
+def metric_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The metrics of the cluster, as far as the tables tell them."""
+    from windrow.plans.placement import workers
+
+    w = workers(spark, sf_dir)
+    g = metrics.gauges(w).select("*", *[F.col(f"max_{m}_{k}").alias(f"{m}_max_{k}_bytes") for m in ("hdd", "ssd") for k in ("free", "used")], F.col("n_partitions").alias("total_num_data_partitions"))
+    n = w.agg(F.count(F.lit(1)).alias("num_shuffle_workers"))
+    jobs = table(spark, sf_dir, "orders").agg(F.countDistinct("o_custkey").alias("num_jobs_serving"))
+    one = g.join(F.broadcast(n), F.lit(True)).join(F.broadcast(jobs), F.lit(True))  # a row each
+    return metrics.catalogued(one, "cluster")
+
+
 _METRICS = """SELECT CASE event_type WHEN 'view' THEN 'jvm' WHEN 'click' THEN 'system' WHEN 'error' THEN 'exchange.errors' WHEN 'purchase' THEN 'exchange.store' ELSE 'other' END AS grp,
   'm' || user_id % 3 AS name, value FROM events"""
 

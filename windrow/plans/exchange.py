@@ -73,3 +73,51 @@ def bytes_out_vs_produced(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fan_in_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 8).alias("producer"), (F.col("l_orderkey") % 4).cast("int").alias("sub"))
     return exchange.route(li, 4, "sub").groupBy("producer").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("sub").alias("n_subs"))
+
+
+@query(
+    "compressed_round_trip",
+    "SELECT doc_id AS id, CAST(octet_length(encode(text)) AS BIGINT) AS bytes, sha256(text) AS sha, true AS no_larger, length(text) > 200 AS is_compressed FROM documents WHERE length(text) > 200 OR length(text) < 10",
+)
+def compressed_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of some length shrink, those of a few letters are stored as they are; all come back."""
+    d = table(spark, sf_dir, "documents").filter("length(text) > 200 or length(text) < 10").select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("payload"))
+    stored = exchange.compressed(d)
+    back = exchange.decompressed(stored).select("id", F.octet_length("payload").cast("long").alias("bytes"), F.sha2("payload", 256).alias("sha"))
+    return back.join(stored.select("id", F.octet_length("stored").alias("n"), "is_compressed"), "id").select("id", "bytes", "sha", (F.col("n") <= F.col("bytes")).alias("no_larger"), "is_compressed")
+
+
+_CHANNELS = "SELECT l_suppkey AS gate, l_orderkey * 8 + l_linenumber AS turn, CAST(l_quantity AS BIGINT) AS takes FROM lineitem"
+
+
+@query(
+    "open_channels",
+    f"""
+    WITH RECURSIVE c AS (SELECT *, row_number() OVER (PARTITION BY gate ORDER BY turn, takes) AS i FROM ({_CHANNELS}) x),
+    o AS (
+      SELECT gate, turn, takes, i, [0, 0, takes]::BIGINT[] AS ends, CAST(0 AS BIGINT) AS opens FROM c WHERE i = 1
+      UNION ALL SELECT c.gate, c.turn, c.takes, c.i, list_sort(list_append(o.ends[2:], o.ends[1] + c.takes)), o.ends[1] FROM o JOIN c ON c.gate = o.gate AND c.i = o.i + 1)
+    SELECT gate, turn, takes, opens, opens + takes AS closes FROM o
+    """,
+)
+def open_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    return exchange.opened(li.select(F.col("l_suppkey").alias("gate"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("turn"), F.col("l_quantity").cast("long").alias("takes")), 3)
+
+
+@query(
+    "buffer_grants",
+    """
+    WITH RECURSIVE q AS (
+      SELECT l_suppkey AS pool, l_orderkey * 8 + l_linenumber AS seq, CAST(l_linenumber AS BIGINT) AS least, CAST(l_quantity AS BIGINT) + l_linenumber AS most,
+        row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey * 8 + l_linenumber, CAST(l_quantity AS BIGINT) + l_linenumber) AS i FROM lineitem),
+    g AS (
+      SELECT pool, seq, least, most, i, CASE WHEN 500 < least THEN -1 ELSE 500 - least(500, most) END AS rest, CASE WHEN 500 >= least THEN least(500, most) END AS granted FROM q WHERE i = 1
+      UNION ALL SELECT q.pool, q.seq, q.least, q.most, q.i, CASE WHEN g.rest < q.least THEN -1 ELSE g.rest - least(g.rest, q.most) END, CASE WHEN g.rest >= q.least THEN least(g.rest, q.most) END
+      FROM g JOIN q ON q.pool = g.pool AND q.i = g.i + 1)
+    SELECT pool, seq, least, most, CAST(granted AS BIGINT) AS granted FROM g
+    """,
+)
+def buffer_grants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li, n = table(spark, sf_dir, "lineitem"), F.col("l_linenumber").cast("long")
+    return exchange.granted(li.select(F.col("l_suppkey").alias("pool"), (F.col("l_orderkey") * 8 + n).alias("seq"), n.alias("least"), (F.col("l_quantity").cast("long") + n).alias("most")), 500)
