@@ -30,19 +30,22 @@ next; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from windrow.llm.common import partitions, saved
+from windrow.operators.ranking import range_of
 from windrow.sources.scratch import tidied
 from windrow.sources.tables import table
 
 CELLS, PARTS = 24, 4
-CUT = 32
+CUT = 64
 ROUNDS = 10
 TRIES = 8
 #: Keys of a pair that are peeled in its own row, and how often that is tried.
-HERE, TRIES_HERE = 2048, 4
+HERE, TRIES_HERE = 256, 4
 ROWS_PER_RANGE, MOST_RANGES, MOST_BOUNDS = 250, 65_536, 1000
 SLICES = 64
 
@@ -60,25 +63,23 @@ def check(key: Column) -> Column:
 
 
 def _placed(key: Column, sign: Column, seed: Column) -> Column:
-    """A key with its check and its place in each part."""
+    """A key with its check and its cells, a bit for each."""
     u = F.xxhash64(seed, key)
-    places = [F.pmod(F.shiftrightunsigned(u, 16 * j), F.lit(CELLS // PARTS)).cast("int") for j in range(PARTS)]
-    return F.struct(key.alias("k"), check(key).alias("c"), sign.alias("s"), F.array(*places).alias("p"))
+    bits = [F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftrightunsigned(u, 16 * j), F.lit(CELLS // PARTS)).cast("int") + j * (CELLS // PARTS)) for j in range(PARTS)]
+    return F.struct(key.alias("k"), check(key).alias("c"), sign.alias("s"), reduce(Column.bitwiseOR, bits).alias("m"))
 
 
-def _cells(placed: Column) -> Column:
-    """The cells of an array of placed keys."""
+def _added(placed: Column, i: Column, start: Column, sign: int = 1) -> Column:
+    """Cell ``start``, the i-th, with those of an array of placed keys that are in it added, or taken out."""
+    n = lambda a, x: a["n"] + x["s"] if sign > 0 else a["n"] - x["s"]
+    more = lambda a, x: F.struct(n(a, x).alias("n"), a["k"].bitwiseXOR(x["k"]).alias("k"), a["c"].bitwiseXOR(x["c"]).alias("c"))
+    return F.aggregate(placed, start, lambda a, x: F.when(F.call_function("bit_get", x["m"], i) == 1, more(a, x)).otherwise(a))
 
-    def cell(i: Column) -> Column:
-        part, place = (i / (CELLS // PARTS)).cast("int"), (i % (CELLS // PARTS)).cast("int")
-        mine = F.filter(placed, lambda x: F.get(x["p"], part) == place)
-        return F.struct(
-            F.aggregate(mine, F.lit(0), lambda a, x: a + x["s"]).alias("n"),
-            F.aggregate(mine, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x["k"])).alias("k"),
-            F.aggregate(mine, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x["c"])).alias("c"),
-        )
 
-    return F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), cell)
+def _cells(placed: Column) -> Column:
+    """The cells of an array of placed keys."""
+    none = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("c"))
+    return F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda i: _added(placed, i, none))
 
 
 def sketch(keys: Column) -> Column:
@@ -103,7 +104,7 @@ def peeled(difference: Column, seed: Column) -> Column:
         found = F.array_distinct(F.transform(alone, lambda c: F.struct(c["k"].alias("k"), c["n"].alias("n"))))
 
         def take(keys: Column) -> Column:
-            rest = minus(acc["cells"], _let(F.transform(keys, lambda x: _placed(x["k"], x["n"], seed)), _cells))
+            rest = _let(F.transform(keys, lambda x: _placed(x["k"], x["n"], seed)), lambda placed: F.transform(acc["cells"], lambda c, i: _added(placed, i, c, -1)))
             more = lambda side, sign: F.concat(acc[side], F.transform(F.filter(keys, lambda x: x["n"] == sign), lambda x: x["k"])).alias(side)
             over = F.struct(acc["cells"].alias("cells"), acc["plus"].alias("plus"), acc["minus"].alias("minus"), F.lit(True).alias("over"))
             return F.when(F.size(keys) == 0, over).otherwise(F.struct(rest.alias("cells"), more("plus", 1), more("minus", -1), F.lit(False).alias("over")))
@@ -132,7 +133,7 @@ def recovered_here(cells: Column, keys: Column, others: Column, other_cells: Col
 
     def step(acc: Column, t: Column) -> Column:
         tables = sub_tables(n, t)
-        deal = F.transform(signed(keys, others), lambda x: F.struct(_placed(x["k"], x["s"], t).alias("x"), F.pmod(F.xxhash64(-t, x["k"]), tables).alias("sub")))
+        deal = _let(tables, lambda m: F.transform(signed(keys, others), lambda x: F.struct(_placed(x["k"], x["s"], t).alias("x"), F.pmod(F.xxhash64(-t, x["k"]), m).alias("sub"))))
         own = lambda d, sub: F.transform(F.filter(d, lambda y: y["sub"] == sub), lambda y: y["x"])
         cells_of = lambda d, sub: F.when(t == 0, minus(cells, other_cells)).otherwise(_let(own(d, sub), _cells))
         tried = _let(F.when(t > 0, deal), lambda d: F.transform(F.sequence(F.lit(0).cast("long"), tables - 1), lambda sub: peeled(cells_of(d, sub), t)))
@@ -161,30 +162,6 @@ def likeness(n: Column, plus: Column, minus_: Column) -> Column:
     return (n - plus) / (n + minus_)
 
 
-def _range(x: Column, bounds: list[int], parts: int) -> Column:
-    """The place of ``x`` among ascending bounds, by halving, and among ``parts`` equal parts of the
-    stretch between two of them; it never falls as ``x`` rises."""
-    array = F.array(*map(F.lit, bounds)).cast("array<long>")
-
-    def halve(s: Column, _: Column) -> Column:
-        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
-        right = F.struct((mid + 1).alias("lo"), s["hi"].alias("hi"))
-        left = F.struct(s["lo"].alias("lo"), mid.alias("hi"))
-        return F.when(s["lo"] >= s["hi"], s).when(F.get(array, mid) <= x, right).otherwise(left)
-
-    start = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
-    at = F.aggregate(F.sequence(F.lit(1), F.lit(len(bounds).bit_length())), start, halve, lambda s: s["lo"])
-    if parts == 1:
-        return at.cast("long")
-
-    def part(k: Column) -> Column:
-        lo, hi = F.get(array, k - 1).cast("double"), F.get(array, k).cast("double")
-        share = F.floor((x.cast("double") - lo) / (hi - lo) * parts)
-        return k * parts + F.coalesce(F.greatest(F.lit(0), F.least(share, F.lit(parts - 1))), F.lit(0))
-
-    return _let(at, part).cast("long")
-
-
 def with_next(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, WindowSpec]:
     """``extra, doc_id, text`` in windows, where each row that isn't extra is followed by the next
     document in ascending order of ids, the last by the first."""
@@ -198,7 +175,7 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, W
     # A range is cut by the hash for an id that fills it, and for null; other ids of it come after that.
     cut = F.col("doc_id").isNull() | F.col("doc_id").isin(heavy) if heavy else F.col("doc_id").isNull()
     piece = F.when(cut, F.shiftright("h", 58) + SLICES // 2).otherwise(F.lit(SLICES)).cast("long")
-    base = F.coalesce(_range(F.col("doc_id"), bounds, -(-ranges // parts)), F.lit((len(bounds) + 1) * (-(-ranges // parts))).cast("long"))
+    base = F.coalesce(range_of(F.col("doc_id"), bounds, -(-ranges // parts)), F.lit((len(bounds) + 1) * (-(-ranges // parts))).cast("long"))
     d = d.withColumn("range", base * (2 * SLICES) + piece)
     firsts = d.groupBy("range").agg(F.min(F.struct("doc_id", "h")).alias("first"))
     order = Window.orderBy("range")
