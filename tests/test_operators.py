@@ -318,3 +318,23 @@ def test_framed_bytes_come_apart(spark):
     framed = b"".join(len(x).to_bytes(4, "big") + x for x in pieces)
     d = spark.createDataFrame([(framed,), (framed[:-1],), (b"",)], "b binary").select(config.split_framed(F.col("b")))
     assert [r[0] and [bytes(x) for x in r[0]] for r in d.collect()] == [pieces, None, []]
+
+
+def test_scopes_within_scopes(spark, monkeypatch, tmp_path):
+    """What an outer scope keeps is still known to ``clear`` when inner ones, empty or not, have ended."""
+    import os
+
+    from windrow.sources import scratch
+
+    monkeypatch.setattr(scratch, "work_dir", lambda s: f"file://{tmp_path}/windrow")
+    scratch.clear()
+    with scratch.tidy():
+        kept = scratch.scratch(spark, "kept")
+        spark.range(1).write.parquet(kept)
+        with scratch.tidy():
+            pass
+        with scratch.tidy(keep=False):
+            spark.range(1).write.parquet(scratch.scratch(spark, "gone"))
+    assert [kept.rsplit("/", 1)[1]] == os.listdir(tmp_path / "windrow")
+    scratch.clear()
+    assert os.listdir(tmp_path / "windrow") == []

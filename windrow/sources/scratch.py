@@ -21,7 +21,7 @@ from pyspark.sql import SparkSession
 _OWN: list[tempfile.TemporaryDirectory] = []
 
 
-@dataclass
+@dataclass(eq=False)  # a scope is itself, not what it holds
 class _Left:
     """Folders and catalogue tables, with the session that made them."""
 
