@@ -134,6 +134,8 @@ def test_substrings(spark, frame, monkeypatch, seed, per_group, hot):
         rows[k] = (i, (t or "")[: rng.randrange(80)] + passage[rng.randrange(20) :] + (t or "")[80:], *rest)
     rows.append((max(r[0] for r in rows) + 1, "ab" * 400, "en", None, 0))
     rows.append((max(r[0] for r in rows) + 1, "b" + "ab" * 200, "en", None, 0))
+    for k in (2, 3):  # one document has a passage of others several times
+        rows.append((max(r[0] for r in rows) + 1, f"{k} {passage} | {k} {passage} | " * k, "en", None, 0))
     got = {r["id"]: tuple(r)[1:5] for r in substrings.dedup_substrings(frame(rows, extra=True), with_text=False, rows_per_group=per_group, hot_groups=hot).collect()}
     assert got == brute_windows(rows)
 

@@ -116,7 +116,7 @@ def test_mix_reaches_its_targets_and_repeats(spark, frame):
 
 def test_native_plans(spark):
     """No plan that the native operators run has Python in it, those of their steps included."""
-    jvm, sc = spark._jvm, spark.sparkContext
+    sc = spark.sparkContext
     for name in ("op1_fingerprints", "op7_chat", "op8_mixing"):
         store = spark._jsparkSession.sharedState().statusStore()
         before = store.executionsCount()
@@ -126,7 +126,6 @@ def test_native_plans(spark):
         plans = [ran.apply(k).physicalPlanDescription() for k in range(ran.size())]
         assert len(plans) >= 1 + (name != "op7_chat"), name
         assert not any(x in p for p in plans for x in ("Python", "Pandas", "Arrow")), name
-    assert jvm is not None
 
 
 #: Names and types of the registered queries, and the table that they have a row of for each.

@@ -265,7 +265,8 @@ class Repeats:
                             outside.add(x)
             g = t.column("g")[0].as_py()
             rows = []
-            keep = [(x, *min(where), c) for x in outside for c, where in here[x].items()]
+            # Wherever the least document has it, which may be several times.
+            keep = [(x, *at, c) for x in outside for c, where in here[x].items() for least in (min(where)[0],) for at in where if at[0] == least]
             if keep:
                 h, r, s, c = (np.array(x, ty) for x, ty in zip((x for k, x in enumerate(zip(*keep, strict=True)) if k != 1), (_U, np.int32, np.int32, object), strict=True))
                 null = np.array([k[1] == LAST for k in keep])
